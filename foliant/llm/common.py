@@ -26,6 +26,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def fixed(value: Column) -> Column:
+    """``value``, which the optimizer then computes once a row where it stands.
+
+    Filters that Spark infers or pushes down would otherwise copy the expression into lambdas, where it
+    would run once per array element. The partition number is never negative but counts as non-deterministic.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

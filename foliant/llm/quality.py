@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, free_name, text_of, words_of
+from foliant.llm.common import SPACE, fixed, free_name, text_of, words_of
 
 # What the contract calls symbols, and phrases that mark boilerplate.
 SYMBOLS = "[#*$%&|<>]"
@@ -79,22 +79,22 @@ def quality_verdict(docs: DataFrame, rules: QualityRules = QualityRules(), text_
     Windows are compared by their 64-bit hashes within one text.
     """
     t, w, h, ls = (free_name(docs, x) for x in ("q_text", "q_words", "q_windows", "q_lines"))
-    out = docs.withColumn(t, text_of(text_col)).withColumn(w, words_of(F.col(t)))
+    out = docs.withColumn(t, text_of(text_col)).withColumn(w, fixed(words_of(F.col(t))))
     at = ", ".join(f"get({w}, i + {k})" for k in range(1, 8))
-    out = out.withColumn(h, F.expr(f"CASE WHEN size({w}) < 8 THEN CAST(array() AS ARRAY<BIGINT>) ELSE slice(transform({w}, (x, i) -> xxhash64(x, {at})), 1, size({w}) - 7) END"))
-    out = out.withColumn(ls, F.split(F.col(t), "\n"))
+    out = out.withColumn(h, fixed(F.expr(f"CASE WHEN size({w}) < 8 THEN CAST(array() AS ARRAY<BIGINT>) ELSE slice(transform({w}, (x, i) -> xxhash64(x, {at})), 1, size({w}) - 7) END")))
+    out = out.withColumn(ls, fixed(F.split(F.col(t), "\n")))
     worded = F.filter(F.col(ls), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     clean = F.filter(F.array_distinct(worded), lambda line: ~line_fails(line, rules))
     n_chars = F.length(t) - _n(F.col(t), SPACE)
-    out = out.withColumn(ls, F.struct(F.size(worded).alias("n"), F.size(F.array_distinct(worded)).alias("d"), F.array_join(clean, "\n").alias("clean")))
+    out = out.withColumn(ls, fixed(F.struct(F.size(worded).alias("n"), F.size(F.array_distinct(worded)).alias("d"), F.array_join(clean, "\n").alias("clean"))))
     q = free_name(docs, "q_base")
     out = out.withColumn(
         q,
-        F.struct(
+        fixed(F.struct(
             F.size(w).cast("long").alias("n_words"), n_chars.cast("long").alias("word_chars"), _n(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
             (F.col(f"{ls}.n") - F.col(f"{ls}.d")).cast("long").alias("n_dup_lines"), _repeat_words(h, 8).alias("n_repeat_words"),
             (n_chars - (F.length(f"{ls}.clean") - _n(F.col(f"{ls}.clean"), SPACE))).cast("long").alias("lost_chars"), F.col(f"{ls}.clean").alias("clean_text"),
-        ),
+        )),
     )
     c = lambda name: F.col(f"{q}.{name}")
     failed = (c("n_words") < rules.min_words) | (c("n_repeat_words") * 100 > c("n_words") * rules.max_repeat_percent)

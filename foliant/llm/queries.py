@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, quality
+from foliant.llm import chat, decontaminate, mixing, quality
 from foliant.sources import read_table
 
 
@@ -68,5 +68,37 @@ FROM v GROUP BY conv_id
 """.replace("TRICKY", TRICKY)
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op6_quality_rules": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a ten-word window of a benchmark item."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT item, array_to_string(w[i:i + 9], ' ') AS g, least(10, len(w)) AS n FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT k, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT k, i, pos.n, item FROM pos JOIN win USING (g, n)),
+covered AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(generate_series(i, i + n - 1)) AS j FROM hit) GROUP BY k),
+its AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (k) LEFT JOIN its USING (k)
+"""
+
+
+QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
+}
+ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL}
