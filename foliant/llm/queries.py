@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, mixing, quality
+from foliant.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens
 from foliant.sources import read_table
 
 
@@ -95,10 +95,35 @@ FROM d LEFT JOIN covered USING (k) LEFT JOIN its USING (k)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.TokenCount(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the spans that the scan finds in every document."""
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL}
