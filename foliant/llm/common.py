@@ -68,3 +68,9 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sided(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` cut and counted: marked for broadcast if it has ``limit`` rows at most, else left to a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_merge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens
+from foliant.llm import chat, decontaminate, mixing, quality, secrets, simhash, suffix, tokens
 from foliant.sources import read_table
 
 
@@ -108,6 +108,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without byte strings of 400 that start elsewhere too."""
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the spans that the scan finds in every document."""
     found = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -124,6 +129,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL}
