@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, mixing, quality, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, mixing, quality, scoring, secrets, simhash, suffix, tokens
 from foliant.sources import read_table
 
 
@@ -102,6 +102,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.TokenCount(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under word counts and under the recurrent model."""
+    return scoring.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -124,6 +129,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
