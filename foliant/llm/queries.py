@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, mixing, quality, scoring, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
 from foliant.sources import read_table
 
 
@@ -95,6 +95,11 @@ FROM d LEFT JOIN covered USING (k) LEFT JOIN its USING (k)
 """
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share passages with others, by component."""
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public byte-level vocabulary."""
     import public_tokenizers
@@ -128,6 +133,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
