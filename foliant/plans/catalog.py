@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.plans.registry import Registry
-from foliant.sources import read_table
+from foliant.plans.text_queries import TEXT
+from foliant.sources.tables import read_table
 
 REGISTRY = Registry()
 
 
 @REGISTRY.query(
     "source_text_summary",
-    "SELECT source, lang, count(*) AS n_docs, sum(length(text)) AS n_chars FROM documents GROUP BY ALL",
+    r"""SELECT source, lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents GROUP BY ALL""",
 )
 def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by source and language."""
+    """Documents, characters and lines by source and language."""
     docs = read_table(spark, sf_dir, "documents")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
+
+
+for _part in (TEXT,):
+    for _name, _query in _part.queries.items():
+        REGISTRY.query(_name, _part.oracles.get(_name))(_query)
