@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.plans.registry import Registry
+from foliant.plans.layout_queries import LAYOUT
 from foliant.plans.text_queries import TEXT
 from foliant.sources.tables import read_table
 
@@ -22,6 +23,6 @@ def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
-for _part in (TEXT,):
+for _part in (TEXT, LAYOUT):
     for _name, _query in _part.queries.items():
         REGISTRY.query(_name, _part.oracles.get(_name))(_query)
