@@ -194,8 +194,8 @@ def drifting_clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "page_number", "cluster", F.col("c.n").alias("n"), F.round(F.col("c.total") / F.col("c.n"), 6).alias("centre"), "c.low", "c.high")
 
 
-@LAYOUT.query("merged_segments", f"""WITH {BLOCKS_SQL}, s AS (SELECT doc_id, page_number, x AS st, x + w / 4 AS en FROM blocks), m AS (SELECT *, max(en) OVER (PARTITION BY doc_id, page_number ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM s),
-g AS (SELECT *, sum(CASE WHEN pe IS NULL OR st - pe > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT doc_id, page_number, run::BIGINT AS run, min(st) AS "start", max(en) AS "end" FROM g GROUP BY doc_id, page_number, run HAVING max(en) - min(st) >= 24""")
+@LAYOUT.query("merged_segments", f"""WITH {BLOCKS_SQL}, s AS (SELECT doc_id, page_number, seq, x AS st, x + w / 4 AS en FROM blocks), m AS (SELECT *, max(en) OVER (PARTITION BY doc_id, page_number ORDER BY st, en, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM s),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR st - pe > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY st, en, seq ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT doc_id, page_number, run::BIGINT AS run, min(st) AS "start", max(en) AS "end" FROM g GROUP BY doc_id, page_number, run HAVING max(en) - min(st) >= 24""")
 def merged_segments(spark: SparkSession, d: str) -> DataFrame:
     """Operators 126, 143: intervals of a page merged from their running end."""
     s = _blocks(spark, d).select("doc_id", "page_number", F.col("x").alias("start"), (F.col("x") + F.col("w") / 4).alias("end"))

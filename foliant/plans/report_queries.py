@@ -131,7 +131,7 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("workload").pivot("s", names).count().na.fill(0, names)
 
 
-@REPORTS.query("batch_status", f"""WITH j AS (SELECT c_custkey, {_STATUS_SQL} AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 3 > 0), b AS (SELECT c_custkey, count(s) AS total, count(*) FILTER (s = 'queued') AS q, count(*) FILTER (s = 'running') AS r, count(*) FILTER (s = 'failed') AS f, count(*) FILTER (s = 'completed') AS c FROM j GROUP BY 1)
+@REPORTS.query("batch_status", f"""WITH j AS (SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN {_STATUS_SQL} END AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 3 > 0), b AS (SELECT c_custkey, count(s) AS total, count(*) FILTER (s = 'queued') AS q, count(*) FILTER (s = 'running') AS r, count(*) FILTER (s = 'failed') AS f, count(*) FILTER (s = 'completed') AS c FROM j GROUP BY 1)
 SELECT CASE WHEN total = 0 THEN 'empty' WHEN q > 0 OR r > 0 THEN 'processing' WHEN f > 0 AND c > 0 THEN 'completed_with_failures' WHEN f > 0 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n_batches, sum(total)::BIGINT AS n_jobs FROM b GROUP BY 1""")
 def batch_status(spark: SparkSession, d: str) -> DataFrame:
     """Operators 58, 69: batches with the status of their jobs."""
