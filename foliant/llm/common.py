@@ -70,7 +70,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sided(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` cut and counted: marked for broadcast if it has ``limit`` rows at most, else left to a shuffled join."""
+def sided(df: DataFrame, limit: int, places: str) -> DataFrame:
+    """``df`` cut and measured: broadcast if its lists ``places`` and its rows together have ``limit`` entries at most, else shuffled."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_merge")
+    n = df.agg(F.sum(F.size(places) + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")

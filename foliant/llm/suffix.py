@@ -34,8 +34,8 @@ class Repeats:
     gram: int = 64
     #: different spans at one anchor that a task sorts; where there are more, windows are compared by hash
     crowd: int = 20_000
-    #: rows of the lists by document that are broadcast at most (a row has some ten places)
-    broadcast_docs: int = 100_000
+    #: places in the lists by document that are broadcast at most, some 100 bytes each
+    broadcast_places: int = 1_000_000
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def repeat_occurrences(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     full = occ.join(twice, ["anchor", "span"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), "end", F.col("span").alias("repeat_id"))
     several = spans.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1")
     ones = spans.join(several, "anchor").select("one.doc_id", "one.text_hash", F.struct("anchor", "one.place", "one.first", "one.end", (F.col("d") > p.crowd).alias("crowd")).alias("x"))
-    lists = sided(ones.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("at")), p.broadcast_docs)
+    lists = sided(ones.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("at")), p.broadcast_places, "at")
     listed = docs.join(lists, _same_doc(docs, lists)).select("text", docs["doc_id"], docs["text_hash"], "at")
     around = cut(_contexts(listed, p))
     part = _scan(around.where("after IS NOT NULL").repartition("key").sortWithinPartitions("key"), p)
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     """
     own = with_key(docs, id_col, text_col)
     spans = repeat_occurrences(own, p)
-    lists = sided(spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("at")), p.broadcast_docs)
+    lists = sided(spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("at")), p.broadcast_places, "at")
     rows = own.join(lists, _same_doc(own, lists), "left").select(own["doc_id"], "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

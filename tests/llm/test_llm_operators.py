@@ -239,7 +239,7 @@ def test_chat(spark):
 
 @pytest.mark.parametrize("crowd", [20_000, 1])
 def test_suffix(docs, none, crowd):
-    p = suffix.Repeats(length=60, gram=16, crowd=crowd)
+    p = suffix.Repeats(length=60, gram=16, crowd=crowd, broadcast_places=crowd)
     data = [(i, (t or "").encode()) for i, t in ROWS]
     seen = bag(b[s : s + 60] for _, b in data for s in range(len(b) - 59))
     want = []
