@@ -9,6 +9,7 @@ from foliant.plans.html_queries import HTML
 from foliant.plans.layout_queries import LAYOUT
 from foliant.plans.registry import Registry
 from foliant.plans.report_queries import REPORTS
+from foliant.plans.sequence_queries import SEQUENCES
 from foliant.plans.text_queries import TEXT
 from foliant.sources.tables import read_table
 
@@ -25,6 +26,6 @@ def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
-for _part in (TEXT, LAYOUT, REPORTS, HTML):
+for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES):
     for _name, _query in _part.queries.items():
         REGISTRY.query(_name, _part.oracles.get(_name))(_query)
