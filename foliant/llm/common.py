@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: White space and words as the operators define them.
@@ -75,3 +75,19 @@ def sided(df: DataFrame, limit: int, places: str) -> DataFrame:
     df = cut(df)
     n = df.agg(F.sum(F.size(places) + 1)).first()[0] or 0
     return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[Row]:
+    """Rows of the highest ``n``, the highest first: all from a count on, ``most`` rows at most.
+
+    The count comes from a histogram over some thousand classes, so that no task sends more than these rows to the
+    driver. ``counts`` (a name and n) is read twice and should be cut.
+    """
+    size = F.floor(F.log2("n") * 64)
+    left, low = most, None
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
+        left -= r["rows"]
+        if left < 0:
+            break
+        low = r["n"]
+    return sorted(counts.where(F.col("n") >= low).collect(), key=lambda r: (-r["n"], r[0])) if low else []

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_of
+from foliant.llm.common import cut, most_frequent, text_of
 
 
 @dataclass(frozen=True)
@@ -91,9 +91,9 @@ def frequent_lengths(docs: DataFrame, p: TokenCount, text_col: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "piece string, n long")
-    top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(p.frequent)
+    counts = cut(found.groupBy("piece").agg(F.sum("n").alias("n")))
     encode = _tokenizer(p.path).encode
-    return {r.piece: len(encode(r.piece, add_special_tokens=False)) for r in top.collect()}
+    return {r.piece: len(encode(r.piece, add_special_tokens=False)) for r in most_frequent(counts, p.frequent)}
 
 
 def count_tokens(docs: DataFrame, p: TokenCount, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
