@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import layout as O
 from foliant.operators import sequences as Q
+from foliant.operators import tables as B
 from foliant.plans.layout_queries import _PARAS
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, blocks_from_documents
@@ -165,3 +166,17 @@ def version_regret(spark: SparkSession, d: str) -> DataFrame:
     b = s.withColumn("best", F.max("score").over(W.partitionBy("doc")))
     loss = F.col("best") - F.col("score")
     return b.groupBy("version").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.count_if(loss == 0).alias("n_best"), F.round(F.avg(loss), 6).alias("mean_regret"), F.round(F.max(loss), 6).alias("max_regret"))
+
+
+@SEQUENCES.query("text_grid_tables")
+def text_grid_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 127, 131 to 136, 139: tables of orders' line items, laid out as a page each."""
+    cell = F.posexplode(F.array(F.col("l_partkey").cast("string"), F.round("l_quantity").cast("string"), F.round("l_extendedprice", 2).cast("string"), F.col("l_returnflag")))
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("c", "text"))
+    head = F.col("l_linenumber") == 1
+    blocks = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("l_linenumber") * 4 + F.col("c")).alias("seq"), F.concat("l_linenumber", F.lit(":"), "c").alias("block_id"), "text",
+        (72.0 + 110 * F.col("c")).alias("x"), (72.0 + 16 * F.col("l_linenumber")).alias("y"), (6.0 * F.length("text")).alias("w"), F.lit(12.0).alias("h"), F.lit(12.0).alias("font_size"),
+        F.when(head, "Times-Bold").otherwise("Times-Roman").alias("font_name"),
+    )
+    return B.text_grid_tables(blocks).groupBy("doc_id", "table_id").agg(F.count("*").alias("n_cells"), (F.max("table_row") + 1).alias("n_rows"), F.count_if(F.col("table_role") == "header").alias("n_headers"), F.max("confidence").alias("confidence"))

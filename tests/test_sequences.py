@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import layout as O
 from foliant.operators import profiles as P
 from foliant.operators import sequences as Q
+from foliant.operators import tables as B
 from foliant.streaming.leases import agent_leases, lease_ms
 
 
@@ -89,3 +90,22 @@ def test_leases_over_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     last = {r.agent_id: r for r in spark.table("leases").withColumn("since", F.unix_timestamp("state_since") - F.unix_timestamp(F.lit(at(0)))).collect()}
     assert (last[1].beats, last[1].expired, last[1].state, last[1].since) == (5, 1, "busy", 20) and last[2].expired == 0
+
+
+def grid(texts, font=lambda row: "Times"):
+    rows = [(1, 1, r * 10 + c, f"{r}:{c}", t, 72.0 + 120 * c, 72.0 + 18 * r, 6.0 * len(t), 12.0, 12.0, font(r)) for r, line in enumerate(texts) for c, t in enumerate(line)]
+    return rows, "doc_id long, page_number int, seq int, block_id string, text string, x double, y double, w double, h double, font_size double, font_name string"
+
+
+def test_text_grid_tables(spark):
+    table = [["Item", "Count", "Price"], ["Bolt", "12", "$3.50"], ["Nut", "7", "$1.25"], ["Pin", "3", "$0.40"]]
+    got = {r.block_id: r for r in B.text_grid_tables(spark.createDataFrame(*grid(table))).collect()}
+    assert len(got) == 12 and got["0:0"].table_role == "header" and (got["2:1"].table_row, got["2:1"].table_column, got["2:1"].table_role) == (2, 1, "cell")
+    assert got["0:0"].confidence == 0.98
+    labels = [["Name", "Ada"], ["Role", "Lead"], ["Team", "Core"]]
+    assert B.text_grid_tables(spark.createDataFrame(*grid(labels))).count() == 0
+
+
+def test_nearest_values_are_taken_once():
+    assert B.nearest_pairs([0.0, 1.0, 9.0], [1.0, 10.0], 3) == [(0, 0), (2, 1)]
+    assert [len(c) for c in B.running_clusters([0, 5, 9, 13, 17], float, 6)] == [2, 3]
