@@ -203,7 +203,7 @@ def keep_one(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest doc_id, one of several equal rows."""
     found = cut(near_duplicates(docs, p))
     keys = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    pick = keys.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k"))
+    pick = keys.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
     pick = cut(pick.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), "k.n"))
     h = free_name(docs, "own_hash")
     out = docs.withColumn(h, F.xxhash64(text_of("text")))

@@ -291,3 +291,12 @@ def test_paragraphs(docs, none, p):
     assert {6, 7, 13, 10, 11} == found
     assert {(r.doc_id, r.removed) for r in got} >= {(6, False), (7, True), (13, True), (10, False), (11, True)}
     assert all(r.component_id in (6, 10) for r in got)
+
+
+def test_plain_characters_split_like_the_library():
+    lengths = tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json"), {}, 100)
+    plain = [chr(c) for c in range(0x2100) if tokens._PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 600
+    for c in plain:
+        text = f"a{c}1 {c} {c}{c}b\n{c}  x{c}'s 2{c}3\n\n {c}"
+        assert lengths.count(text) == len(lengths.encode(text, add_special_tokens=False)), hex(ord(c))
