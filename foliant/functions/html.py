@@ -31,6 +31,26 @@ def attribute(raw: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
+def _head(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"(?s)^<[^>]*>", 0)
+
+
+def unlabelled_fields(html: Column) -> Column:
+    """Array of form fields without a label for their id and without an accessible name; hidden fields don't count."""
+    opening = lambda tag: F.transform(elements(html, tag), _head)
+    fields = F.concat(void_elements(html, "input"), opening("select"), opening("textarea"))
+    targets = F.filter(F.transform(elements(html, "label"), lambda e: attribute(e, "for")), lambda x: x != "")
+    named = lambda e: F.array_contains(targets, attribute(e, "id")) | e.rlike(r"(?i)\saria-label(?:ledby)?\b")
+    shown = lambda e: (F.lower(attribute(e, "type")) != "hidden") & (attribute(e, "aria-hidden") != "true")
+    return F.filter(fields, lambda e: shown(e) & ~named(e))
+
+
+def unscoped_headers(html: Column) -> Column:
+    """Array of opening tags of header cells in tables that have neither scope nor id."""
+    heads = F.flatten(F.transform(elements(html, "table"), lambda e: F.transform(elements(e, "th"), _head)))
+    return F.filter(heads, lambda e: ~e.rlike(r"(?i)\s(?:scope|id)\b"))
+
+
 def audit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, issue, severity, n): findings of a page; issues that do not occur have no row."""
     h = F.coalesce(F.col(html_col), F.lit(""))
@@ -51,6 +71,8 @@ def audit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         ("figure-caption", "warning"): count(elements(h, "figure"), lacks(r"(?i)<figcaption\b")),
         ("table-caption", "error"): count(elements(h, "table"), lacks(r"(?i)<caption\b")),
         ("table-headers", "error"): count(elements(h, "table"), lacks(r"(?i)<th\b")),
+        ("table-header-scope", "warning"): F.size(unscoped_headers(h)),
+        ("form-label", "error"): F.size(unlabelled_fields(h)),
         ("link-target", "error"): count(elements(h, "a"), lambda e: F.btrim(attribute(e, "href")) == ""),
         ("link-purpose", "warning"): count(elements(h, "a"), lambda e: (inner(e) == "") | F.lower(inner(e)).isin(*GENERIC)),
         ("css-reading-order", "warning"): one(h.rlike(r"(?i)\b(order|grid-area)\s*:")),

@@ -33,6 +33,9 @@ SELECT page_id, 'image-alt', 'error', len(list_filter(regexp_extract_all(html, '
 SELECT page_id, 'figure-caption', 'warning', len(list_filter({_EL('figure')}, lambda e: NOT regexp_matches(e, '(?i)<figcaption\b'))) FROM p UNION ALL
 SELECT page_id, 'table-caption', 'error', len(list_filter({_EL('table')}, lambda e: NOT regexp_matches(e, '(?i)<caption\b'))) FROM p UNION ALL
 SELECT page_id, 'table-headers', 'error', len(list_filter({_EL('table')}, lambda e: NOT regexp_matches(e, '(?i)<th\b'))) FROM p UNION ALL
+SELECT page_id, 'table-header-scope', 'warning', len(list_filter(flatten(list_transform({_EL('table')}, lambda e: regexp_extract_all(e, '(?is)<th\b[^>]*>.*?</th>'))), lambda e: NOT regexp_matches(regexp_extract(e, '(?s)^<[^>]*>'), '(?i)\s(?:scope|id)\b'))) FROM p UNION ALL
+SELECT page_id, 'form-label', 'error', len(list_filter(list_concat(list_concat(regexp_extract_all(html, '(?i)<input\b[^>]*>'), {_EL('select')}), {_EL('textarea')}), lambda e: lower({_ATTR('e', 'type')}) <> 'hidden' AND {_ATTR('e', 'aria-hidden')} <> 'true'
+  AND NOT list_contains(list_filter(list_transform({_EL('label')}, lambda l: {_ATTR('l', 'for')}), lambda f: f <> ''), {_ATTR('e', 'id')}) AND NOT regexp_matches(regexp_extract(e, '(?s)^<[^>]*>'), '(?i)\saria-label(?:ledby)?\b'))) FROM p UNION ALL
 SELECT page_id, 'link-target', 'error', len(list_filter({_EL('a')}, lambda e: {_ATTR('e', 'href')} = '')) FROM p UNION ALL
 SELECT page_id, 'link-purpose', 'warning', len(list_filter({_EL('a')}, lambda e: {_INNER} = '' OR lower({_INNER}) IN ('click here', 'here', 'read more', 'more', 'learn more'))) FROM p UNION ALL
 SELECT page_id, 'css-reading-order', 'warning', regexp_matches(html, '(?i)\b(order|grid-area)\s*:')::INT FROM p UNION ALL

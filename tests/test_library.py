@@ -97,6 +97,12 @@ def test_html_audit(spark):
     assert H.summary(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).where("page_id = 1").first().score == 0
 
 
+def test_form_fields_and_header_cells(spark):
+    page = """<label for="a">A</label><input id="a"><input id="b"><input type="hidden"><textarea aria-label="x"></textarea><select><option></select><table><tr><th scope="col">1</th><th>2</th></tr></table>"""
+    r = spark.createDataFrame([(page,)], "h string").select(H.unlabelled_fields(F.col("h")).alias("f"), H.unscoped_headers(F.col("h")).alias("t")).first()
+    assert r.f == ['<input id="b">', "<select>"] and r.t == ["<th>"]
+
+
 def test_similarity(spark):
     r = one(spark, same=T.dice(T.bigrams(F.lit("Abc d")), T.bigrams(F.lit("abc  D!"))), none=T.dice(T.bigrams(F.lit("")), T.bigrams(F.lit(None).cast("string"))), box=T.iou([F.lit(float(v)) for v in (0, 0, 10, 10)], [F.lit(float(v)) for v in (5, 0, 10, 10)]))
     assert r.same == 1.0 and r.none == 1.0 and r.box == pytest.approx(50 / 150)
