@@ -338,3 +338,19 @@ def common_length(left: list[str], right: list[str]) -> int:
         for k, b in enumerate(right, 1):
             before, row[k] = row[k], before + 1 if a == b else max(row[k], row[k - 1])
     return row[-1]
+
+
+def axis_box(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column, width: Column, height: Column, page_height: Column) -> Column:
+    """Struct x, y, w, h from the top: the upright box around a text placed by the matrix (a b c d e f)."""
+    along, up = F.greatest(F.hypot(a, b), F.lit(1e-9)), F.greatest(F.hypot(c, d), F.lit(1e-9))
+    dx, dy, ux, uy = a / along * width, b / along * width, c / up * height, d / up * height
+    xs, ys = [e, e + dx, e + ux, e + dx + ux], [f, f + dy, f + uy, f + dy + uy]
+    left, top = F.least(*xs), F.greatest(*ys)
+    return F.struct(left.alias("x"), (page_height - top).alias("y"), (F.greatest(*xs) - left).alias("w"), (top - F.least(*ys)).alias("h"))
+
+
+def in_bands(nodes: DataFrame, bands: DataFrame) -> DataFrame:
+    """Nodes that overlap a header or footer band (doc_id, page_number, top, bottom) of their page."""
+    b = bands.select(*[F.col(k).alias(f"b_{k}") for k in (*PAGE, "top", "bottom")])
+    same = (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page_number") == F.col("b_page_number"))
+    return nodes.join(b, same & (F.col("y") < F.col("b_bottom")) & (F.col("y") + F.col("h") > F.col("b_top")), "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import layout as O
 from foliant.operators import scores as S
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, blocks_from_documents
@@ -156,3 +157,22 @@ def low_confidence_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Operators 87, 88: histogram of profiles with those of low confidence."""
     p = t(spark, d, "documents").select(F.col("lang").alias("profile"), ((F.col("doc_id") % 50 + 50) / 100).alias("sure"))
     return p.groupBy("profile").agg(F.count("*").alias("n"), F.count_if(F.col("sure") < 0.75).alias("n_low"), F.round(F.min("sure"), 6).alias("least"))
+
+
+@MORE.query("segment_boxes", """SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN 100 WHEN 1 THEN 100 - 10 WHEN 2 THEN 100 - l_quantity ELSE 100 END, 6)::DOUBLE AS x,
+ round(792 - CASE l_linenumber % 4 WHEN 0 THEN 310 WHEN 1 THEN 300 + l_quantity WHEN 2 THEN 300 ELSE 300 END, 6)::DOUBLE AS y, round(CASE l_linenumber % 2 WHEN 0 THEN l_quantity ELSE 10 END, 6)::DOUBLE AS w, round(CASE l_linenumber % 2 WHEN 0 THEN 10 ELSE l_quantity END, 6)::DOUBLE AS h FROM lineitem""")
+def segment_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 4: upright boxes of texts turned by quarters, ten high and as wide as the quantity."""
+    turn = F.radians((F.col("l_linenumber") % 4 * 90).cast("double"))
+    cos, sin, ten = F.cos(turn), F.sin(turn), F.lit(10.0)
+    box = O.axis_box(ten * cos, ten * sin, -ten * sin, ten * cos, F.lit(100.0), F.lit(300.0), F.col("l_quantity"), ten, F.lit(792.0))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", *[F.round(f"b.{c}", 6).alias(c) for c in "xywh"])
+
+
+@MORE.query("band_overlaps", f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS n FROM blocks WHERE page_number <= 2 AND ((y < 100 AND y + h > 60) OR (y < 780 AND y + h > 740)) GROUP BY 1")
+def band_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 63: blocks of the first two pages in the bands of header and footer."""
+    b = _blocks(spark, d)
+    pages = b.where("page_number <= 2").select("doc_id", "page_number").distinct()
+    bands = pages.select("doc_id", "page_number", F.inline(F.array(F.struct(F.lit(60.0).alias("top"), F.lit(100.0).alias("bottom")), F.struct(F.lit(740.0).alias("top"), F.lit(780.0).alias("bottom")))))
+    return O.in_bands(b, bands).groupBy("doc_id").agg(F.count("*").alias("n"))
