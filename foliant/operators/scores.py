@@ -114,3 +114,10 @@ def batch_status(total: Column, queued: Column, running: Column, failed: Column,
 
 def stale_window_ms(heartbeat_ms: Column, check_in_ms: Column, grace_ms: int = 30_000) -> Column:
     return F.greatest(F.coalesce(heartbeat_ms, F.lit(0)) * 3, F.coalesce(check_in_ms, F.lit(0)) * 3, F.lit(grace_ms))
+
+
+def merge_score(reduction: Column, coherent: Column, over: Column, under: Column, explained: Column, errors: Column, warnings: Column) -> Column:
+    """Score of a paragraph merge from its rates, less a penalty for what validators found."""
+    total = reduction * 0.15 + coherent * 0.25 + (1 - over) * 0.35 + (1 - under) * 0.15 + explained * 0.10
+    return F.greatest(F.lit(0.0), total - (errors * 0.05 + warnings * 0.01))
+

@@ -162,3 +162,44 @@ def claimed_runs(candidates: DataFrame, accept: float = 0.7) -> DataFrame:
         return pd.DataFrame(taken, columns=["doc_id", "page_number", "seq", "start", "length", "score"])
 
     return candidates.groupBy(*PAGE).applyInPandas(go, "doc_id long, page_number int, seq int, start int, length int, score double")
+
+
+@dataclass(frozen=True)
+class Margin:
+    """Limits of the merge against a running margin."""
+
+    gap: float = 2.5
+    indent: float = 15
+    height: float = 0.3
+    listed: str = r"^\s*(?:[-*\u2022]|\(?\d+[.)]|\(?[a-zA-Z][.)])\s+"
+
+
+def margin_groups(nodes: DataFrame, p: Margin = Margin()) -> DataFrame:
+    """(doc_id, page_number, block_id, paragraph): lines stay together until something speaks against it.
+
+    Against it speak a wide gap or an overlap, an indent from the group's leftmost edge so far, the end of an indented
+    stretch, another height or column, and a list marker. The margin starts anew with every group.
+    """
+    import re
+
+    marker = re.compile(p.listed)
+
+    def parts(a: tuple, b: tuple, margin: float) -> bool:
+        line = max(a.h, b.h, 1)
+        gap = b.y - (a.y + a.h)
+        return (
+            gap > line * p.gap or gap < -line * 0.5 or b.x - margin > p.indent or (a.x - b.x > p.indent and a.x > margin + p.indent)
+            or (min(a.h, b.h) > 0 and abs(a.h - b.h) / max(a.h, b.h) > p.height) or bool(marker.match(b.text)) or a.column_hint != b.column_hint
+        )
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.assign(row=pdf["y"] // 6).sort_values(["row", "x", "seq"], kind="stable").itertuples())
+        out, margin, n = [], 0.0, -1
+        for k, r in enumerate(rows):
+            if k == 0 or parts(rows[k - 1], r, margin):
+                n, margin = n + 1, r.x
+            margin = min(margin, r.x)
+            out.append((r.doc_id, r.page_number, r.block_id, n))
+        return pd.DataFrame(out, columns=[*PAGE, "block_id", "paragraph"])
+
+    return nodes.where("role = 'P'").groupBy(*PAGE).applyInPandas(group, "doc_id long, page_number int, block_id string, paragraph int")

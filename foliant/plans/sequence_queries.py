@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import layout as O
+from foliant.operators import scores as S
 from foliant.operators import sequences as Q
 from foliant.operators import tables as B
 from foliant.plans.layout_queries import _PARAS
@@ -180,3 +181,23 @@ def text_grid_tables(spark: SparkSession, d: str) -> DataFrame:
         F.when(head, "Times-Bold").otherwise("Times-Roman").alias("font_name"),
     )
     return B.text_grid_tables(blocks).groupBy("doc_id", "table_id").agg(F.count("*").alias("n_cells"), (F.max("table_row") + 1).alias("n_rows"), F.count_if(F.col("table_role") == "header").alias("n_headers"), F.max("confidence").alias("confidence"))
+
+
+@SEQUENCES.query("margin_paragraphs")
+def margin_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 113: lines merged until something speaks against it."""
+    return Q.margin_groups(_blocks(spark, d))
+
+
+@SEQUENCES.query("merge_scores", f"""WITH {_PARAS}, m AS (SELECT doc_id, page_number, paragraph, string_agg(trim(text), ' ' ORDER BY rw, x, seq) AS t, count(*) AS n FROM pg GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS n_in, count(*) AS n_out, count(*) FILTER (length(t) >= 10 AND (regexp_matches(t, '[.!?;:)\\]”’]\\s*$') OR regexp_matches(t, '^[A-ZÀ-Ö0-9(\\["“‘]'))) AS ok, count(*) FILTER (n > 1) AS merged, count(*) FILTER (n > 1 AND length(t) > 800) AS long FROM m GROUP BY 1)
+SELECT doc_id, round((1 - n_out / n_in::DOUBLE) * 0.15 + ok / n_out::DOUBLE * 0.25 + (1 - CASE WHEN merged > 0 THEN long / merged::DOUBLE ELSE 0 END) * 0.35 + 0.25::DOUBLE, 6) AS score FROM s""")
+def merge_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 85: score of the merge of each document by reduction, coherence and overlong paragraphs."""
+    m = O.merge_paragraphs(O.paragraph_groups(_blocks(spark, d))).withColumn("n", F.size("merged_from"))
+    ok = (F.length("text") >= 10) & (F.col("text").rlike(r"[.!?;:)\]”’]\s*$") | F.col("text").rlike(r'^[A-ZÀ-Ö0-9(\["“‘]'))
+    many = F.col("n") > 1
+    s = m.groupBy("doc_id").agg(F.sum("n").alias("n_in"), F.count("*").alias("n_out"), F.count_if(ok).alias("ok"), F.count_if(many).alias("merged"), F.count_if(many & (F.length("text") > 800)).alias("long"))
+    over = F.coalesce(F.try_divide(F.col("long"), F.col("merged")), F.lit(0.0))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return s.select("doc_id", F.round(S.merge_score(1 - F.col("n_out") / F.col("n_in"), F.col("ok") / F.col("n_out"), over, zero, one, zero, zero), 6).alias("score"))

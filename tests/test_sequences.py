@@ -109,3 +109,10 @@ def test_text_grid_tables(spark):
 def test_nearest_values_are_taken_once():
     assert B.nearest_pairs([0.0, 1.0, 9.0], [1.0, 10.0], 3) == [(0, 0), (2, 1)]
     assert [len(c) for c in B.running_clusters([0, 5, 9, 13, 17], float, 6)] == [2, 3]
+
+
+def test_groups_against_a_running_margin(spark):
+    schema = "doc_id long, page_number int, seq int, block_id string, text string, x double, y double, w double, h double, column_hint int, role string"
+    lines = [("a", 72, 100), ("b", 72, 114), ("c", 90, 128), ("d", 72, 142), ("- e", 72, 156), ("f", 72, 230)]
+    df = spark.createDataFrame([(1, 1, k, t[-1], t, float(x), float(y), 200.0, 12.0, 0, "P") for k, (t, x, y) in enumerate(lines)], schema)
+    assert {r.block_id: r.paragraph for r in Q.margin_groups(df).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2, "f": 3}
