@@ -46,15 +46,19 @@ def _n(line: Column, pattern: str) -> Column:
     return F.regexp_count(line, F.lit(pattern))
 
 
-def line_fails(line: Column, rules: QualityRules = QualityRules()) -> Column:
-    """Whether a line breaks one of the punctuation, navigation or boilerplate rules; a line without words doesn't."""
-    n_words = _n(line, r"[^\x20\x09-\x0D]+")
-    n_chars = F.length(line) - _n(line, SPACE)
-    symbols = _n(line, SYMBOLS) * 100 > n_chars * rules.max_symbol_percent
-    separators = _n(line, r"[|»›•]")
-    navigation = (separators >= rules.min_separators) & (separators * 100 > n_words * rules.max_separator_percent)
-    shouting = _n(line, r"!!+(?:[\x20\x09-\x0D]|$)") * 100 > n_words * rules.max_shout_percent
-    bare = (n_words >= rules.unpunctuated_words) & (_n(line, r"[.,;:!?…。，]") == 0)
+def measured(line: Column) -> Column:
+    """Struct of a line and its counts, so that no rule counts again."""
+    n = lambda pattern: _n(line, pattern)
+    return F.struct(line.alias("line"), n(r"[^\x20\x09-\x0D]+").alias("words"), (F.length(line) - n(SPACE)).alias("chars"), n(SYMBOLS).alias("symbols"), n(r"[|»›•]").alias("separators"))
+
+
+def line_fails(m: Column, rules: QualityRules = QualityRules()) -> Column:
+    """Whether a measured line breaks one of the punctuation, navigation or boilerplate rules; a line without words doesn't."""
+    line, n_words = m["line"], m["words"]
+    symbols = m["symbols"] * 100 > m["chars"] * rules.max_symbol_percent
+    navigation = (m["separators"] >= rules.min_separators) & (m["separators"] * 100 > n_words * rules.max_separator_percent)
+    shouting = line.contains("!!") & (_n(line, r"!!+(?:[\x20\x09-\x0D]|$)") * 100 > n_words * rules.max_shout_percent)
+    bare = (n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.,;:!?…。，]")
     boilerplate = (n_words <= rules.boilerplate_words) & line.rlike("(?i)(?:" + "|".join(BOILERPLATE) + ")")
     return symbols | navigation | shouting | bare | boilerplate
 
@@ -82,18 +86,19 @@ def quality_verdict(docs: DataFrame, rules: QualityRules = QualityRules(), text_
     out = docs.withColumn(t, text_of(text_col)).withColumn(w, fixed(words_of(F.col(t))))
     at = ", ".join(f"get({w}, i + {k})" for k in range(1, 8))
     out = out.withColumn(h, fixed(F.expr(f"CASE WHEN size({w}) < 8 THEN CAST(array() AS ARRAY<BIGINT>) ELSE slice(transform({w}, (x, i) -> xxhash64(x, {at})), 1, size({w}) - 7) END")))
-    out = out.withColumn(ls, fixed(F.split(F.col(t), "\n")))
-    worded = F.filter(F.col(ls), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    clean = F.filter(F.array_distinct(worded), lambda line: ~line_fails(line, rules))
+    out = out.withColumn(ls, fixed(F.filter(F.split(F.col(t), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))))
+    out = out.withColumn(ls, fixed(F.struct(F.size(ls).alias("n"), F.array_distinct(ls).alias("lines"))))
+    clean = F.filter(F.transform(f"{ls}.lines", measured), lambda m: ~line_fails(m, rules))
+    out = out.withColumn(ls, fixed(F.struct(F.col(f"{ls}.n").alias("n"), F.size(f"{ls}.lines").alias("d"), clean.alias("clean"))))
     n_chars = F.length(t) - _n(F.col(t), SPACE)
-    out = out.withColumn(ls, fixed(F.struct(F.size(worded).alias("n"), F.size(F.array_distinct(worded)).alias("d"), F.array_join(clean, "\n").alias("clean"))))
+    kept_chars = F.aggregate(f"{ls}.clean", F.lit(0), lambda total, m: total + m["chars"])
     q = free_name(docs, "q_base")
     out = out.withColumn(
         q,
         fixed(F.struct(
             F.size(w).cast("long").alias("n_words"), n_chars.cast("long").alias("word_chars"), _n(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
             (F.col(f"{ls}.n") - F.col(f"{ls}.d")).cast("long").alias("n_dup_lines"), _repeat_words(h, 8).alias("n_repeat_words"),
-            (n_chars - (F.length(f"{ls}.clean") - _n(F.col(f"{ls}.clean"), SPACE))).cast("long").alias("lost_chars"), F.col(f"{ls}.clean").alias("clean_text"),
+            (n_chars - kept_chars).cast("long").alias("lost_chars"), F.array_join(f"{ls}.clean.line", "\n").alias("clean_text"),
         )),
     )
     c = lambda name: F.col(f"{q}.{name}")
