@@ -36,7 +36,7 @@ class Paragraphs:
     bands: int = 3
     similarity: float = 0.8
     #: band keys that occur twice, which are broadcast up to this number (8 bytes each)
-    broadcast_keys: int = 4_000_000
+    broadcast_keys: int = 2_000_000
     #: different paragraphs that a task compares in one band; more are dealt out in blocks
     block: int = 4096
 
@@ -118,7 +118,7 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
 
     again = cut(own.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     few = again.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
-    wanted = spark.sparkContext.broadcast(np.sort(again.toPandas()["key"].to_numpy(np.int64)) if few else None)
+    wanted = spark.sparkContext.broadcast(np.sort(again.toArrow().column("key").to_numpy()) if few else None)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = wanted.value
