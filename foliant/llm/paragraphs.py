@@ -112,7 +112,8 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [paragraphs_of(t, p)[2].ravel() for t in b.column(0).cast(pa.large_binary()).to_pylist()]
+            # Once a document: its own paragraphs overlap, and only those of others are looked for.
+            found = [np.unique(paragraphs_of(t, p)[2]) for t in b.column(0).cast(pa.large_binary()).to_pylist()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
