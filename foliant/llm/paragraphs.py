@@ -62,7 +62,7 @@ def paragraphs_of(text: bytes, p: Paragraphs) -> tuple[np.ndarray, np.ndarray, n
     """(content, first word, band keys, shingles) of a text's different paragraphs; fewer words than one have none."""
     words = text.lower().split()
     if len(words) < p.words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, p.bands), np.uint64), np.zeros((0, p.words - p.shingle + 1), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, p.bands), np.uint64), np.zeros((0, p.words - p.shingle + 1), np.uint32)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     at = _rolled(h, 3, 0)[: len(h) - p.words + 1]
     place, _ = leftmost_minima(at, min(p.starts, len(at)))
@@ -70,7 +70,8 @@ def paragraphs_of(text: bytes, p: Paragraphs) -> tuple[np.ndarray, np.ndarray, n
     place = place[one]
     shingles = _rolled(h, p.shingle, 2)[place[:, None] + np.arange(p.words - p.shingle + 1)]
     keys = np.stack([_mix(_mix(shingles + np.uint64(_MUL[k % 5] & 0xFFFFFFFF), k).min(axis=1) + np.uint64(k), k + 1) for k in range(p.bands)], axis=1)
-    return content, place, keys, np.sort(shingles, axis=1)
+    # Half of each hash is enough to compare twenty with twenty: two pairs in ten million see one false match.
+    return content, place, keys, np.sort((shingles >> np.uint64(32)).astype(np.uint32), axis=1)
 
 
 def _unique_counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +143,10 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
     if not few:  # too many keys for a broadcast: paragraphs meet them by a shuffle
         found = found.withColumn("key", F.explode("keys")).join(again, "key", "left_semi").drop("key").dropDuplicates(["doc_id", "text_hash", "content"])
     found = cut(found)
-    kinds = cut(found.select("content", "keys", "shingles").dropDuplicates(["content"]))
+    kinds = found.select("content", "keys", "shingles").dropDuplicates(["content"])
     rows = kinds.select(F.explode("keys").alias("key"), "content", "shingles")
-    crowded = cut(rows.groupBy("key").count().where(F.col("count") > p.block))
+    sizes = found.select("content", "keys").dropDuplicates(["content"]).select(F.explode("keys").alias("key")).groupBy("key").count()
+    crowded = cut(sizes.where(F.col("count") > p.block))
     part = F.lit(0).cast("long")
     if crowded.limit(1).count():
         # The paragraphs of a crowded band go to blocks by content; each pair of blocks is compared on its own.
@@ -158,7 +160,7 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
         def edges(group: list[tuple]) -> list[tuple[int, int]]:
             if len(group) < 2:
                 return []
-            s = np.frombuffer(b"".join(r[3] for r in group), np.uint64).reshape(-1, width)
+            s = np.frombuffer(b"".join(r[3] for r in group), np.uint32).reshape(-1, width)
             return similar_edges(np.array([r[2] for r in group], np.int64), s, similarity)
 
         group: list[tuple] = []
