@@ -23,7 +23,7 @@ from foliant.llm.gru import Gru, Layout, Params, from_vector, init, to_bytes
 
 @dataclass(frozen=True)
 class Scoring:
-    """Held-out documents, the broadcast table, and how much of the training documents each round learns from."""
+    """Held-out documents, the broadcast table, and which of the training documents each round learns from."""
 
     fold: int = 2
     folds: int = 7
@@ -31,7 +31,7 @@ class Scoring:
     table: int = 262_144
     #: words that a task counts before it passes them on
     task_words: int = 400_000
-    #: rounds of training; round k takes the documents whose hash has remainder k by this many shares
+    #: rounds of training; the shares of documents, by hash, are dealt to the rounds in turn, so that each document is learnt from once
     rounds: int = 2
     shares: int = 8
     #: tokens that a task scores at once; it trains a quarter of them at once, in stretches of so many tokens at most
@@ -160,7 +160,7 @@ def learn(train: DataFrame, vocabulary, params: Params, p: Scoring) -> Params:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(model.p)], pa.binary())], names=["weight", "params"])
 
         schema = "weight long, params binary"
-        parts = train.where(F.col("share") == k).select("text").mapInArrow(run, schema)
+        parts = train.where(F.col("share") % p.rounds == k).select("text").mapInArrow(run, schema)
         row = parts.repartition(p.merge_tasks).mapInArrow(mean, schema).repartition(1).mapInArrow(mean, schema).first()
         if row is not None:
             params = from_vector(np.frombuffer(row.params, np.float32), params)

@@ -117,6 +117,25 @@ def test_model_learns_and_probabilities_sum_to_one(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+@pytest.mark.parametrize("rounds", [2, 3])
+def test_model_learns_from_every_training_document_once(spark, monkeypatch, rounds):
+    # The mean of parameters counts tokens: every task reports how many it has learnt from.
+    seen = spark.sparkContext.accumulator(0)
+    train = scoring.Gru.train
+
+    def counted(self, seqs):
+        n = train(self, seqs)
+        seen.add(n)
+        return n
+
+    monkeypatch.setattr(scoring, "Gru", type("Counted", (scoring.Gru,), {"train": counted}))
+    text = [(i, f"aa bb w{i}") for i in range(300)]
+    p = scoring.Scoring(rounds=rounds, layout=Layout(hidden=4, head_classes=4, slots=4, tail_classes=8, lanes=8, steps=8))
+    assert p.shares == scoring.Scoring().shares > rounds
+    n = scoring.score_documents(spark.createDataFrame(text, "doc_id long, text string"), p).first().train_tokens
+    assert n == 4 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(300)) == seen.value
+
+
 def test_mixing(spark, docs, none):
     assert mixing.mix_sources(none).count() == 0
     got = mixing.mix_sources(docs)
