@@ -1,9 +1,14 @@
 """Substring dedup by MinHash banding over paragraphs.
 
-A paragraph here is a run of 24 words whose start is chosen by content: the smallest hash among 28 starts in a
-row. Any stretch of 51 words has such a start with the whole run inside it, wherever it stands and however it is
-wrapped, and equal stretches have equal runs. Runs that share a band are compared by the exact Jaccard similarity
-of their five-word shingles, and similar runs form components, of which all documents but one lose their copy.
+Paragraphs are the text's own: its lines, its blocks between blank lines, and the text as a whole. Beside them stand
+runs of 24 words whose start is chosen by content, the smallest hash among 28 starts in a row, for passages that are
+spliced into lines: any stretch of 51 words has such a start with the whole run inside it, however it is wrapped, and
+equal stretches have equal runs. What shares a band is compared by the exact Jaccard similarity of five-word shingles,
+and similar paragraphs form components, of which all documents but one lose their copy.
+
+Equal paragraphs are always found: lines and blocks from five words on, which is one shingle, and whole texts from
+one word on. A passage with no line or block of its own is sure to be found from 51 equal words on, and below that
+only where a start happens to be chosen, down to 24 words; a near copy of such a passage only by an equal or similar run.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ from foliant.llm.minima import leftmost_minima
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """Words of a paragraph, starts to choose from, words of a shingle, bands of one minimum each, similarity.
+    """Words of a run, starts to choose from, words of a shingle, bands of a run with one minimum each, similarity.
 
-    With r = 1 minimum a band and b = 3 bands a pair of similarity 0.8 is missed with probability 0.2 ** 3 at one
-    paragraph, and a copied passage has a paragraph for every 14 words.
+    Lines, blocks and texts have ``unit_bands`` bands of ``unit_rows`` minima: a pair of similarity 0.8 is missed with
+    probability (1 - 0.8 ** 2) ** 6, which is 0.2 %. Runs of similarity 0.8 that were chosen in both texts are missed
+    with probability 0.2 ** 3; that says nothing of how often runs are chosen.
     """
 
     words: int = 24
@@ -35,7 +41,9 @@ class Paragraphs:
     shingle: int = 5
     bands: int = 3
     similarity: float = 0.8
-    #: band keys that occur twice, which are broadcast up to this number (8 bytes each)
+    unit_bands: int = 6
+    unit_rows: int = 2
+    #: band keys that occur twice, of runs and of other paragraphs, which are each broadcast up to this number (8 bytes each)
     broadcast_keys: int = 2_000_000
     #: different paragraphs that a task compares in one band; more are dealt out in blocks
     block: int = 4096
@@ -58,40 +66,83 @@ def _rolled(word: np.ndarray, n: int, by: int) -> np.ndarray:
     return _mix(out, by + 1)
 
 
-def paragraphs_of(text: bytes, p: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content, first word, band keys, shingles) of a text's different paragraphs; fewer words than one have none."""
-    words = text.lower().split()
-    if len(words) < p.words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, p.bands), np.uint64), np.zeros((0, p.words - p.shingle + 1), np.uint32)
+def _units(text: bytes, p: Paragraphs) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """(words, (first word, end) of lines and blocks that have a shingle and of the whole text)."""
+    words: list[bytes] = []
+    spans, block = set(), 0
+    for line in text.lower().split(b"\n"):
+        at = len(words)
+        words += line.split()
+        if len(words) > at:
+            spans.add((at, len(words)))
+        else:
+            spans.add((block, at))
+            block = at
+    spans = {x for x in spans | {(block, len(words))} if x[1] - x[0] >= p.shingle}
+    return words, sorted(spans | {(0, len(words))} if words else spans)
+
+
+def _run_keys(shingles: np.ndarray, p: Paragraphs) -> np.ndarray:
+    """Band keys of runs, which are even."""
+    keys = [_mix(_mix(shingles + np.uint64(_MUL[k % 5] & 0xFFFFFFFF), k).min(axis=1) + np.uint64(k), k + 1) for k in range(p.bands)]
+    return np.stack(keys, axis=1) & ~np.uint64(1)
+
+
+def _unit_keys(shingles: np.ndarray, spans: np.ndarray, p: Paragraphs) -> np.ndarray:
+    """Band keys, which are odd, of stretches (first, end) of shingles that may overlap."""
+    padded, cuts, keys = np.append(shingles, np.uint64(0)), spans.ravel(), []
+    for k in range(p.unit_bands):
+        key = np.full(len(spans), k, np.uint64)
+        for j in range(k * p.unit_rows, (k + 1) * p.unit_rows):
+            # Hashes times an odd number are in a new order; what stands between two spans is left out.
+            low = np.minimum.reduceat(padded * np.uint64(int(_mix(np.array([j + 1], np.uint64), 3)[0]) | 1), cuts)[::2]
+            key = _mix(_mix(key, k) + low, j)
+        keys.append(key)
+    return np.stack(keys, axis=1) | np.uint64(1)
+
+
+def paragraphs_of(text: bytes, p: Paragraphs) -> tuple[list[int], list[int], list[np.ndarray], list[tuple[int, int]], np.ndarray]:
+    """(content, first word, band keys, stretch of shingles) of a text's different paragraphs, and the shingles of the text."""
+    words, spans = _units(text, p)
+    if not words:
+        return [], [], [], [], np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    at = _rolled(h, 3, 0)[: len(h) - p.words + 1]
-    place, _ = leftmost_minima(at, min(p.starts, len(at)))
-    content, one = np.unique(_rolled(h, p.words, 1)[place], return_index=True)
-    place = place[one]
-    shingles = _rolled(h, p.shingle, 2)[place[:, None] + np.arange(p.words - p.shingle + 1)]
-    keys = np.stack([_mix(_mix(shingles + np.uint64(_MUL[k % 5] & 0xFFFFFFFF), k).min(axis=1) + np.uint64(k), k + 1) for k in range(p.bands)], axis=1)
-    # Half of each hash is enough to compare twenty with twenty: two pairs in ten million see one false match.
-    return content, place, keys, np.sort((shingles >> np.uint64(32)).astype(np.uint32), axis=1)
-
-
-def _unique_counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks the first of equal neighbours in sorted rows, and counts them."""
-    first = np.concatenate([np.ones((len(s), 1), bool), s[:, 1:] != s[:, :-1]], axis=1)
-    return first, first.sum(axis=1)
-
-
-def similar_edges(content: np.ndarray, shingles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges that connect what pairs of exact Jaccard similarity connect: a search over rows that are not reached yet."""
-    first, size = _unique_counts(shingles)
+    size = min(p.shingle, len(words))
+    shingles = _rolled(h, size, 2)
+    first: dict[int, tuple[int, int]] = {}
+    for a, b in spans:
+        first.setdefault(xxhash.xxh3_64_intdigest(b" ".join(words[a:b])), (a, b - size + 1))
+    content, ends = list(first), list(first.values())
+    keys = list(_unit_keys(shingles, np.array(ends), p))
+    if len(words) >= p.words:
+        at = _rolled(h, 3, 0)[: len(h) - p.words + 1]
+        place, _ = leftmost_minima(at, min(p.starts, len(at)))
+        runs, one = np.unique(_rolled(h, p.words, 1)[place], return_index=True)
+        place = place[one]
+        content += runs.tolist()
+        ends += [(a, a + p.words - p.shingle + 1) for a in place.tolist()]
+        keys += list(_run_keys(shingles[place[:, None] + np.arange(p.words - p.shingle + 1)], p))
+    return content, [a for a, _ in ends], keys, ends, shingles
+
+
+def similar_edges(content: np.ndarray, shingles: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of exact Jaccard similarity connect, from sorted different shingles: a search over rows that are not reached yet."""
     left, edges, stack = np.arange(1, len(content)), [], [0]
+    held, flat, start = left[:0], shingles[0], left[:0]
     while len(left):
         if not stack:
             stack.append(int(left[0]))
             left = left[1:]
             continue
         x = stack.pop()
-        both = (np.isin(shingles[left], shingles[x]) & first[left]).sum(axis=1)
-        near = both >= similarity * (size[left] + size[x] - both)
+        if not len(held) or 2 * len(left) < len(held):
+            held = left
+            size = np.array([len(shingles[i]) for i in held])
+            flat, start = np.concatenate([shingles[i] for i in held]), np.cumsum(size) - size
+        at = np.searchsorted(held, left)
+        own = shingles[x]
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, start, dtype=np.int64)[at]
+        near = both >= similarity * (size[at] + len(own) - both)
         found = left[near]
         edges += [(int(content[x]), int(content[y])) for y in found]
         stack.extend(found.tolist())
@@ -103,7 +154,7 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
     """(doc_id, component_id, n_paragraphs, first_words, removed) for documents that share paragraphs with others.
 
     component_id is the smallest doc_id that has a paragraph of the component; that document keeps it, others lose
-    it (removed). first_words says where in the text, in words. Texts are taken whole; null, empty and short ones
+    it (removed). first_words says where in the text, in words. Texts are taken whole; null and empty ones
     have no paragraph. Repeats within one document and rows that repeat one id and text are not reported, and ties
     go to the smallest id. Extra columns are not read.
     """
@@ -114,28 +165,42 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # Once a document: its own paragraphs overlap, and only those of others are looked for.
-            found = [np.unique(paragraphs_of(t, p)[2]) for t in b.column(0).cast(pa.large_binary()).to_pylist()]
+            found = [np.unique(np.concatenate(k)) for t in b.column(0).cast(pa.large_binary()).to_pylist() if (k := paragraphs_of(t, p)[2])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
     again = cut(own.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    few = again.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
-    wanted = spark.sparkContext.broadcast(np.sort(again.toArrow().column("key").to_numpy()) if few else None)
+    tables = []
+    for odd in (0, 1):
+        some = again.where(F.col("key").bitwiseAND(1) == odd)
+        few = some.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
+        tables.append(np.sort(some.toArrow().column("key").to_numpy()) if few else None)
+    wanted = spark.sparkContext.broadcast(tables)
+    few = all(x is not None for x in tables)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = wanted.value
+        def on(keys: list[np.ndarray]) -> list[int]:
+            """Which paragraphs have a wanted key."""
+            key = np.concatenate(keys)
+            hit, odd = np.ones(len(key), bool), (key & 1).astype(bool)
+            for part, some in zip((~odd, odd), wanted.value):
+                if some is not None:
+                    own = key[part]
+                    hit[part] = some[np.minimum(np.searchsorted(some, own), len(some) - 1)] == own if len(some) else False
+            size = np.array([len(k) for k in keys])
+            return np.flatnonzero(np.logical_or.reduceat(hit, np.cumsum(size) - size)).tolist()
+
         for b in batches:
             for i, t in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
-                content, place, key, shingles = paragraphs_of(t, p)
-                key = key.view(np.int64)
-                if some is not None:
-                    at = np.minimum(np.searchsorted(some, key), max(len(some) - 1, 0))
-                    on = (some[at] == key).any(axis=1) if len(some) else np.zeros(len(key), bool)
-                    content, place, key, shingles = content[on], place[on], key[on], shingles[on]
-                if len(content):
-                    rows = pa.array(np.full(len(content), i))
+                content, place, keys, ends, shingles = paragraphs_of(t, p)
+                keys = [k.view(np.int64) for k in keys]
+                some = on(keys) if keys else []
+                if some:
+                    rows = pa.array(np.full(len(some), i))
+                    # Half of each hash is enough to compare: two pairs of runs in ten million see one false match.
+                    half = (shingles >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows), b.column(2).take(rows), pa.array(content.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(key.tolist(), pa.list_(pa.int64())), pa.array([s.tobytes() for s in shingles], pa.binary())],
+                        [b.column(0).take(rows), b.column(2).take(rows), pa.array(np.array([content[j] for j in some], np.uint64).view(np.int64)), pa.array([place[j] for j in some], pa.int32()), pa.array([keys[j] for j in some], pa.list_(pa.int64())), pa.array([np.unique(half[slice(*ends[j])]).tobytes() for j in some], pa.binary())],
                         names=["doc_id", "text_hash", "content", "place", "keys", "shingles"],
                     )
 
@@ -146,7 +211,10 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
     kinds = found.select("content", "keys", "shingles").dropDuplicates(["content"])
     rows = kinds.select(F.explode("keys").alias("key"), "content", "shingles")
     sizes = found.select("content", "keys").dropDuplicates(["content"]).select(F.explode("keys").alias("key")).groupBy("key").count()
-    crowded = cut(sizes.where(F.col("count") > p.block))
+    sizes = cut(sizes.where("count > 1"))
+    if sizes.limit(p.broadcast_keys // 8 + 1).count() <= p.broadcast_keys // 8:  # what is alone in its bands stays behind
+        rows = rows.join(F.broadcast(sizes.select("key")), "key", "left_semi")
+    crowded = sizes.where(F.col("count") > p.block)
     part = F.lit(0).cast("long")
     if crowded.limit(1).count():
         # The paragraphs of a crowded band go to blocks by content; each pair of blocks is compared on its own.
@@ -154,14 +222,13 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
         rows = rows.withColumn("c", F.pmod("content", F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         part = F.least("c", "j").cast("long") * F.lit(1 << 31) + F.greatest("c", "j")
     rows = rows.select("key", part.alias("part"), "content", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
-    width, similarity = p.words - p.shingle + 1, p.similarity
+    similarity = p.similarity
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(group: list[tuple]) -> list[tuple[int, int]]:
             if len(group) < 2:
                 return []
-            s = np.frombuffer(b"".join(r[3] for r in group), np.uint32).reshape(-1, width)
-            return similar_edges(np.array([r[2] for r in group], np.int64), s, similarity)
+            return similar_edges(np.array([r[2] for r in group], np.int64), [np.frombuffer(r[3], np.uint32) for r in group], similarity)
 
         group: list[tuple] = []
         out: list[tuple[int, int]] = []

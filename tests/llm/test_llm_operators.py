@@ -312,6 +312,21 @@ def test_paragraphs(docs, none, p):
     assert all(r.component_id in (6, 10) for r in got)
 
 
+@pytest.mark.parametrize("p", [paragraphs.Paragraphs(), paragraphs.Paragraphs(broadcast_keys=0, block=2)])
+def test_short_equal_paragraphs_are_found(spark, none, p):
+    lines = [" ".join(WORDS[k * 50 : k * 50 + n]) for k, n in enumerate((5, 8, 12, 23, 24, 30, 50))]
+    w = WORDS[1000:1007]
+    rows = [(1, " ".join(WORDS[2000:2007])), (2, " ".join(WORDS[2000:2007]).upper()), (3, "?"), (4, "?")]
+    rows += [(10 + 2 * k + j, f"{prose(60, 200 + 2 * k + j)}\n{x}\n{prose(50, 300 + 2 * k + j)}") for k, x in enumerate(lines) for j in (0, 1)]
+    rows += [(40, f"{prose(40, 401)}\n\n{' '.join(w[:3])}\n{' '.join(w[3:])}\n \n{prose(30, 402)}"), (41, f"{prose(40, 403)}\n\n{' '.join(w[:4])}\n{' '.join(w[4:])}")]
+    rows += [(50, " ".join(WORDS[2100:2104])), (51, " ".join(WORDS[2104:2108])), (52, None), (53, ""), (54, " \n "), (55, prose(45, 404))]
+    got = paragraphs.repeated_paragraphs(table(spark, rows), p).collect()
+    pairs = [(1, 2), (3, 4), *[(k, k + 1) for k in range(10, 24, 2)], (40, 41)]
+    assert {(r.doc_id, r.component_id, r.removed) for r in got} == {(x, a, x > a) for a, b in pairs for x in (a, b)}
+    at = {r.doc_id: r.first_words for r in got}
+    assert all(60 in at[k] for k in range(10, 24)) and at[1] == [0] and at[40] == [40]
+
+
 def test_plain_characters_split_like_the_library():
     lengths = tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json"), {}, 100)
     plain = [chr(c) for c in range(0x2100) if tokens._PLAIN.fullmatch(chr(c))]
