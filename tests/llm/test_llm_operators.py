@@ -302,6 +302,18 @@ def test_secrets(docs, none):
     assert secrets.added_bytes("user name ", "configuration", " value") < secrets.added_bytes("user name ", "q8Zk2Lw9Xv4Tb", " value")
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('{"value": "Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6", "name": "API_TOKEN"}', "Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6"), ("Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6 # bearer credential", "Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6"),
+        ("DB_PWD: q8Zk2Lw9Xv4Tb", "q8Zk2Lw9Xv4Tb"), ("q8Zk2Lw9" + "Xv4Tb7Rm" * 20 + " " + "x" * 90 + " auth", None), ("Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6 " + "word " * 40 + "auth", None),
+        ("bearer of the q8Zk2Lw9Xv4Tb token", "q8Zk2Lw9Xv4Tb"), ("the secret is in configuration of 20240115", None),
+    ],
+)
+def test_secrets_on_both_sides_of_a_sensitive_word(text, secret):
+    assert [text[a:b] for a, b, _ in secrets.novel_spans(text, [])] == ([secret] if secret else [])
+
+
 @pytest.mark.parametrize("p", [paragraphs.Paragraphs(), paragraphs.Paragraphs(broadcast_keys=0, block=2)])
 def test_paragraphs(docs, none, p):
     assert paragraphs.repeated_paragraphs(none, p).count() == 0
