@@ -339,6 +339,24 @@ def test_short_equal_paragraphs_are_found(spark, none, p):
     assert all(60 in at[k] for k in range(10, 24)) and at[1] == [0] and at[40] == [40]
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_near_copies_of_paragraphs_against_brute_force(spark, whole):
+    r, rows, near = random.Random(17), [], []
+    for k in range(240):
+        w = [r.choice(WORDS) for _ in range(r.randint(25, 200))]
+        other = list(w)
+        for _ in range(r.randint(1, 1 + len(w) // 50)):
+            other[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, other))
+        near.append(len(a & b) >= 0.8 * len(a | b))
+        for j, x in enumerate((w, other)):
+            own = " ".join(x)
+            rows.append((2 * k + j, own if whole else f"{prose(30, 1000 + 4 * k + j)}\n{own}\n{prose(20, 1002 + 4 * k + j)}"))
+    got = {(x.doc_id, x.component_id) for x in paragraphs.repeated_paragraphs(table(spark, rows)).collect()}
+    found = [(2 * k + 1, 2 * k) in got for k in range(240)]
+    assert sum(near) > 100 and sum(f for f, n in zip(found, near) if n) >= 0.99 * sum(near)
+
+
 def test_plain_characters_split_like_the_library():
     lengths = tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json"), {}, 100)
     plain = [chr(c) for c in range(0x2100) if tokens._PLAIN.fullmatch(chr(c))]
