@@ -176,3 +176,12 @@ def band_overlaps(spark: SparkSession, d: str) -> DataFrame:
     pages = b.where("page_number <= 2").select("doc_id", "page_number").distinct()
     bands = pages.select("doc_id", "page_number", F.inline(F.array(F.struct(F.lit(60.0).alias("top"), F.lit(100.0).alias("bottom")), F.struct(F.lit(740.0).alias("top"), F.lit(780.0).alias("bottom")))))
     return O.in_bands(b, bands).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@MORE.query("band_overlaps_all_pages", f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS n FROM blocks WHERE (y < 100 AND y + h > 60) OR (y < 780 AND y + h > 740) GROUP BY 1")
+def band_overlaps_all_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 63: blocks of all pages in the bands of header and footer."""
+    b = _blocks(spark, d)
+    pages = b.select("doc_id", "page_number").distinct()
+    bands = pages.select("doc_id", "page_number", F.inline(F.array(F.struct(F.lit(60.0).alias("top"), F.lit(100.0).alias("bottom")), F.struct(F.lit(740.0).alias("top"), F.lit(780.0).alias("bottom")))))
+    return O.in_bands(b, bands).groupBy("doc_id").agg(F.count("*").alias("n"))
