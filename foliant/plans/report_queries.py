@@ -322,6 +322,17 @@ def bayes_predictions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "label", F.round("confidence", 6).alias("confidence"), "abstained")
 
 
+_NB_ALL = _NB.replace("te AS (SELECT * FROM ex WHERE doc_id % 5 = 0)", "te AS (SELECT * FROM ex)")
+
+
+@REPORTS.query("bayes_predictions_all_blocks", f"{_NB_ALL} SELECT id, split_part(id, ':', 1)::BIGINT % 5 = 0 AS held_out, label, round(sure, 6) AS confidence, sure < 0.55 AS abstained FROM p")
+def bayes_predictions_all_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 210: roles of all blocks, and whether the block was held out from training."""
+    e = _examples(spark, d)
+    p = bayes.predict(e, *bayes.train(e.where("doc_id % 5 > 0")))
+    return p.select("id", (F.split("id", ":")[0].cast("long") % 5 == 0).alias("held_out"), "label", F.round("confidence", 6).alias("confidence"), "abstained")
+
+
 @REPORTS.query("bayes_evaluation", f"{_NB}, b AS (SELECT least(floor(sure * 10), 9) AS bin, count(*) AS n, sum(CASE WHEN actual = label THEN 1.0::DOUBLE ELSE 0 END) AS hits, sum(sure) AS s, sum(pow(sure - CASE WHEN actual = label THEN 1 ELSE 0 END, 2)) AS sq FROM p GROUP BY 1) SELECT sum(n)::BIGINT AS n, round(sum(hits) / sum(n), 6) AS accuracy, round(sum(sq) / sum(n), 6) AS brier, round(sum(abs(hits - s)) / sum(n), 6) AS ece FROM b")
 def bayes_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Operator 211: accuracy and calibration on held-out blocks."""

@@ -19,3 +19,9 @@ def test_bands_of_later_pages_count(spark, tmp_path):
     got = {r.doc_id: r.n for r in REGISTRY.queries["band_overlaps_all_pages"](spark, str(tmp_path)).collect()}
     y = [72 + 14 * (k % 50) + 2 * (k % 9 == 0) for k in range(160)]
     assert got == {1: sum((v < 100 and v + 12 > 60) or (v < 780 and v + 12 > 740) for v in y), 2: 1}
+
+
+def test_every_block_gets_a_role(spark):
+    got = REGISTRY.queries["bayes_predictions_all_blocks"](spark, DIR)
+    blocks = blocks_from_documents(spark.read.parquet(f"{DIR}/documents.parquet"))
+    assert {r[0]: r[1] for r in got.groupBy("held_out").count().collect()} == {True: blocks.where("doc_id % 5 = 0").count(), False: blocks.where("doc_id % 5 > 0").count()}
