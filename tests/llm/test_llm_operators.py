@@ -7,14 +7,17 @@ import random
 import re
 import zlib
 
+import duckdb
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foliant.llm import chat, decontaminate, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
 from foliant.llm.components import connected_components
 from foliant.llm.gru import Layout
+from foliant.llm.queries import OP6_SQL, OP7_SQL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality int, secrets string, w string, text_hash string, fp string, node string, size string"
 rng = random.Random(3)
@@ -364,3 +367,58 @@ def test_plain_characters_split_like_the_library():
     for c in plain:
         text = f"a{c}1 {c} {c}{c}b\n{c}  x{c}'s 2{c}3\n\n {c}"
         assert lengths.count(text) == len(lengths.encode(text, add_special_tokens=False)), hex(ord(c))
+
+
+def test_pipeline_and_its_stages(spark, tmp_path):
+    near = prose(200, 501)
+    secret = prose(40, 504) + "\napi_key = hunter2hunter2 and\n" + prose(20, 505) + "\nbearer Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6 end.\n" + prose(20, 506)
+    rows = [(1, None), (2, ""), (3, "Short one."), (4, near), (5, near), (5, near), (6, near.replace(near.split()[90], "changed", 1)), (7, prose(50, 502) + "\n" + ITEM + "\n" + prose(40, 503)), (8, secret), (9, "same line here it is.\n" * 30), (None, prose(80, 507))]
+    rows += [(20 + k, prose(40 + 7 * k, 600 + k)) for k in range(12)]
+    full = [(i, t, "en", None if k % 4 == 3 else f"s{k % 3}", None if t is None else len(t), f"extra{k}") for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, secrets string"
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = lambda x: spark.createDataFrame(x, schema).repartition(3)
+    stage = lambda k, x: bag(tuple(r) for r in corpus_pipeline.STAGES[k][1](spark, docs(x), str(tmp_path)).select("doc_id", "text", "lang", "source", "n_chars", "secrets").collect())
+
+    def by_sql(sql, keep, x):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in x])
+        con.execute("INSERT INTO benchmark VALUES (1, ?), (2, NULL)", [ITEM])
+        ids = {r[0] for r in con.execute(f"SELECT doc_id FROM ({sql}) WHERE {keep}").fetchall()}
+        return [r for r in x if r[0] in ids]
+
+    def print_of(t):
+        w = words(lower(t))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    # Quality rules: ids with one text each, so the verdict of SQL holds by id.
+    good = by_sql(OP6_SQL, "kept", full)
+    assert stage(0, full) == bag(good) and {1, 2, 3, 9} & {r[0] for r in good} == set() and {r[0] for r in good} >= {4, 5, 6, 7, 8, None}
+    # Near copies: one row of each group stays, with the smallest id; without an id only where no other is there.
+    for x in (full, good):
+        fp = [print_of(r[1] or "") for r in x]
+        root = components(set(fp), [(a, b) for a in set(fp) for b in set(fp) if a < b and bin(a ^ b).count("1") <= 4])
+        low = {}
+        for r, p in zip(x, fp):
+            low[root[p]] = min(low.get(root[p], r), r, key=lambda r: (r[0] is None, r[0] or 0))
+        got = stage(1, x)
+        assert bag(r[:2] for r in got.elements()) == bag(r[:2] for r in low.values()) and set(got) <= set(full)
+    single = list(low.values())
+    for x in (full, single):
+        clean = by_sql(OP7_SQL, "NOT contaminated", x)
+        assert stage(2, x) == bag(clean) and 7 not in {r[0] for r in clean}
+    masked = lambda r: r if r[1] is None else (*r[:1], t := r[1].replace("api_key = hunter2hunter2", "[secret]").replace("Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6", "[secret]"), *r[2:4], len(t), r[5])
+    assert stage(3, full) == bag(map(masked, full)) != bag(full)
+    want = [masked(r) for r in clean]
+    assert {8, None} <= {r[0] for r in want}
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    for x, got in ((full, corpus_pipeline.STAGES[4][1](spark, docs(full), str(tmp_path)).collect()), (want, run.collect())):
+        size = collections.Counter()
+        for r in x:
+            size[r[3]] += len(words(r[1] or ""))
+        assert bag((r.doc_id, r["size"], r.source_size) for r in got) == bag((r[0], len(words(r[1] or "")), size[r[3]]) for r in x)
+        assert all(0 <= r.taken <= 3 * r["size"] for r in got) and abs(sum(r.taken for r in got) - sum(size.values())) <= len(size) * max(r["size"] for r in got)

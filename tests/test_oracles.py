@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from __spark_entry__ import oracle_sql, queries
 from foliant.plans.catalog import REGISTRY
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,3 +43,16 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == rows(columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", [n for n in queries() if n not in REGISTRY.queries])
+def test_optional_query(spark, duck, name):
+    df = queries()[name](spark, DIR)
+    got = rows(df.columns, df.collect())
+    if name not in oracle_sql():
+        assert got
+        return
+    want = duck.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert got == rows(columns, want.fetchall())
