@@ -77,6 +77,20 @@ def sided(df: DataFrame, limit: int, places: str) -> DataFrame:
     return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
 
 
+def skewed_join(rows: DataFrame, labels: DataFrame, key: str, how: str = "inner", hot: int = 20_000) -> DataFrame:
+    """``rows`` joined with ``labels`` (one row per ``key``), where some keys may hold a large share of ``rows``.
+
+    Keys of more than ``hot`` rows, at most one in ``hot`` rows by their number, meet their labels by a broadcast;
+    all others are dealt out by key. A null key has no label.
+    """
+    many = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot).where(F.col(key).isNotNull()).select(key))
+    if not many.limit(1).count():
+        return rows.join(labels, key, how)
+    many = F.broadcast(many)
+    cold = rows.join(many, key, "left_anti").join(labels, key, how)
+    return cold.unionByName(rows.join(many, key, "left_semi").join(F.broadcast(labels.join(many, key, "left_semi")), key, how))
+
+
 def most_frequent(counts: DataFrame, most: int) -> list[Row]:
     """Rows of the highest ``n``, the highest first: all from a count on, ``most`` rows at most.
 

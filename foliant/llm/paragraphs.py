@@ -1,14 +1,16 @@
 """Substring dedup by MinHash banding over paragraphs.
 
-Paragraphs are the text's own: its lines, its blocks between blank lines, and the text as a whole. Beside them stand
-runs of 24 words whose start is chosen by content, the smallest hash among 28 starts in a row, for passages that are
-spliced into lines: any stretch of 51 words has such a start with the whole run inside it, however it is wrapped, and
-equal stretches have equal runs. What shares a band is compared by the exact Jaccard similarity of five-word shingles,
-and similar paragraphs form components, of which all documents but one lose their copy.
-
-Equal paragraphs are always found: lines and blocks from five words on, which is one shingle, and whole texts from
-one word on. A passage with no line or block of its own is sure to be found from 51 equal words on, and below that
-only where a start happens to be chosen, down to 24 words; a near copy of such a passage only by an equal or similar run.
+Paragraphs are the text's lines from five words on, which is one shingle, and, up to 31 words, its blocks between blank
+lines and the text as a whole. Beside them stand runs of 12 words at content-chosen starts: every 24 words in a row have
+the run whose hash is smallest among their 13 runs, so equal stretches of 24 words share a run wherever they stand and
+however they are wrapped. Equal paragraphs and runs need no comparison. Different paragraphs that share a band are
+compared by the exact Jaccard similarity of their five-word shingles, and similar ones form components.
+
+What is sure to be found: equal lines of five words, equal texts of any length, and every shared stretch of 24 words.
+A near copy with k words replaced among n, well inside, has a similarity of 0.8 only if n is 45 k or more, and its longest
+stretch in between then has n / (k + 1) words less one: from 50 words on it holds a run, so near copies are found in
+passages without lines of their own, too. Shared stretches of 12 to 23 words are found where their run is chosen.
+Equality is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,31 +24,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, with_key
+from foliant.llm.common import cut, skewed_join, text_of
 from foliant.llm.components import connected_components
-from foliant.llm.minima import leftmost_minima
 
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """Words of a run, starts to choose from, words of a shingle, bands of a run with one minimum each, similarity.
+    """Words of a run and starts to choose from, of a shingle, from which blocks and texts are left to runs, similarity, and bands.
 
-    Lines, blocks and texts have ``unit_bands`` bands of ``unit_rows`` minima: a pair of similarity 0.8 is missed with
-    probability (1 - 0.8 ** 2) ** 6, which is 0.2 %. Runs of similarity 0.8 that were chosen in both texts are missed
-    with probability 0.2 ** 3; that says nothing of how often runs are chosen.
+    A pair of paragraphs of similarity 0.8 is missed by all bands with probability (1 - 0.8 ** 2) ** 6, which is 0.2 %.
     """
 
-    words: int = 24
-    starts: int = 28
+    words: int = 12
+    starts: int = 13
     shingle: int = 5
-    bands: int = 3
+    whole: int = 32
     similarity: float = 0.8
-    unit_bands: int = 6
-    unit_rows: int = 2
-    #: band keys that occur twice, of runs and of other paragraphs, which are each broadcast up to this number (8 bytes each)
-    broadcast_keys: int = 2_000_000
-    #: different paragraphs that a task compares in one band; more are dealt out in blocks
+    bands: int = 6
+    rows: int = 2
+    #: paragraphs that occur twice, and bands of different lines, of which so many are broadcast at most (16 and 8 bytes each)
+    broadcast_keys: int = 4_000_000
+    #: different lines that a task compares in one band; more are dealt out in blocks
     block: int = 4096
+    #: words that a worker takes at once
+    chunk: int = 250_000
 
 
 _MUL = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -59,70 +60,129 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
 
 def _rolled(word: np.ndarray, n: int, by: int) -> np.ndarray:
     """Hash of every n words in a row."""
-    size = len(word) - n + 1
+    size = max(0, len(word) - n + 1)
     out = np.zeros(size, np.uint64)
     for k in range(n):
         out = out * np.uint64(_MUL[by]) + word[k : k + size]
     return _mix(out, by + 1)
 
 
-def _units(text: bytes, p: Paragraphs) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """(words, (first word, end) of lines and blocks that have a shingle and of the whole text)."""
-    words: list[bytes] = []
-    spans, block = set(), 0
-    for line in text.lower().split(b"\n"):
-        at = len(words)
-        words += line.split()
-        if len(words) > at:
-            spans.add((at, len(words)))
-        else:
-            spans.add((block, at))
-            block = at
-    spans = {x for x in spans | {(block, len(words))} if x[1] - x[0] >= p.shingle}
-    return words, sorted(spans | {(0, len(words))} if words else spans)
-
-
-def _run_keys(shingles: np.ndarray, p: Paragraphs) -> np.ndarray:
-    """Band keys of runs, which are even."""
-    keys = [_mix(_mix(shingles + np.uint64(_MUL[k % 5] & 0xFFFFFFFF), k).min(axis=1) + np.uint64(k), k + 1) for k in range(p.bands)]
-    return np.stack(keys, axis=1) & ~np.uint64(1)
-
-
-def _unit_keys(shingles: np.ndarray, spans: np.ndarray, p: Paragraphs) -> np.ndarray:
-    """Band keys, which are odd, of stretches (first, end) of shingles that may overlap."""
-    padded, cuts, keys = np.append(shingles, np.uint64(0)), spans.ravel(), []
-    for k in range(p.unit_bands):
-        key = np.full(len(spans), k, np.uint64)
-        for j in range(k * p.unit_rows, (k + 1) * p.unit_rows):
-            # Hashes times an odd number are in a new order; what stands between two spans is left out.
-            low = np.minimum.reduceat(padded * np.uint64(int(_mix(np.array([j + 1], np.uint64), 3)[0]) | 1), cuts)[::2]
-            key = _mix(_mix(key, k) + low, j)
-        keys.append(key)
-    return np.stack(keys, axis=1) | np.uint64(1)
+@dataclass
+class Found:
+    """Paragraphs of some texts: row of the text, hash of the words, first word and number of words.
+
+    The first len(bands) are lines and short texts with their band keys and their stretch of ``shingles``; runs follow.
+    """
+
+    row: np.ndarray
+    content: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    bands: np.ndarray
+    stretch: np.ndarray
+    shingles: np.ndarray
 
+    def shingle_set(self, i: int) -> bytes:
+        return np.unique(self.shingles[self.stretch[i, 0] : self.stretch[i, 1]]).tobytes()
 
-def paragraphs_of(text: bytes, p: Paragraphs) -> tuple[list[int], list[int], list[np.ndarray], list[tuple[int, int]], np.ndarray]:
-    """(content, first word, band keys, stretch of shingles) of a text's different paragraphs, and the shingles of the text."""
-    words, spans = _units(text, p)
-    if not words:
-        return [], [], [], [], np.zeros(0, np.uint64)
+
+def _chosen(run: np.ndarray, start: np.ndarray, n_words: np.ndarray, p: Paragraphs) -> np.ndarray:
+    """Places of chosen runs: the smallest of every ``p.starts`` runs in a row, and of all runs of a text that has fewer.
+
+    ``run`` has a hash for every word; a text's words begin at ``start``. Texts stand apart by ``p.starts`` places that
+    hold no run, so that no choice spans two texts.
+    """
+    has = n_words >= p.words
+    start, n_runs = start[has], n_words[has] - p.words + 1
+    if not len(start):
+        return np.zeros(0, np.int64)
+    wide = n_runs + p.starts
+    base = np.cumsum(wide) - wide
+    inside = np.arange(n_runs.sum()) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    at, word = np.repeat(base, n_runs) + inside, np.repeat(start, n_runs) + inside
+    # The place stands in the low bits, so that the smallest value names the leftmost of the smallest hashes.
+    bits = max(1, int(wide.sum()).bit_length())
+    low = np.full(wide.sum(), np.iinfo(np.uint64).max)
+    low[at] = (_mix(run[word], 3) >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
+    owner = np.full(len(low), -1)
+    owner[at] = word
+    size = 1
+    while 2 * size <= p.starts:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[: len(low) - (p.starts - size)], low[p.starts - size :])
+    windows = np.maximum(n_runs - p.starts, 0) + 1
+    first = np.repeat(base, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    return owner[np.unique(low[first] & np.uint64((1 << bits) - 1)).astype(np.int64)]
+
+
+def paragraphs_of(texts: list[bytes], p: Paragraphs) -> Found:
+    """The different paragraphs of each text."""
+    words: list[bytes] = []
+    spans, ends = [], []
+    for t in texts:
+        begin = block = len(words)
+        own = set()
+        for line in t.lower().split(b"\n"):
+            at = len(words)
+            words += line.split()
+            if len(words) > at:
+                own.add((at, len(words)))
+            else:
+                if at - block < p.whole:
+                    own.add((block, at))
+                block = at
+        if len(words) - block < p.whole:
+            own.add((block, len(words)))
+        own = {x for x in own if x[1] - x[0] >= p.shingle}
+        if 0 < len(words) - begin < p.whole:
+            own.add((begin, len(words)))
+        spans += [(len(ends), *x) for x in sorted(own)]
+        ends.append(len(words))
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(p.shingle, len(words))
-    shingles = _rolled(h, size, 2)
-    first: dict[int, tuple[int, int]] = {}
-    for a, b in spans:
-        first.setdefault(xxhash.xxh3_64_intdigest(b" ".join(words[a:b])), (a, b - size + 1))
-    content, ends = list(first), list(first.values())
-    keys = list(_unit_keys(shingles, np.array(ends), p))
-    if len(words) >= p.words:
-        at = _rolled(h, 3, 0)[: len(h) - p.words + 1]
-        place, _ = leftmost_minima(at, min(p.starts, len(at)))
-        runs, one = np.unique(_rolled(h, p.words, 1)[place], return_index=True)
-        place = place[one]
-        content += runs.tolist()
-        ends += [(a, a + p.words - p.shingle + 1) for a in place.tolist()]
-        keys += list(_run_keys(shingles[place[:, None] + np.arange(p.words - p.shingle + 1)], p))
-    return content, [a for a, _ in ends], keys, ends, shingles
+    end = np.array(ends, np.int64)
+    start = np.concatenate([[0], end[:-1]])
+    row, a, b = np.array(spans, np.int64).reshape(-1, 3).T.copy()
+    view = memoryview(h).cast("B") if len(h) else b""
+    own = np.fromiter((xxhash.xxh3_64_intdigest(view[8 * x : 8 * y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
+    # A paragraph of fewer words than a shingle has itself as its only one, after those of the words.
+    inner = _rolled(np.append(h, np.zeros(p.shingle - 1, np.uint64)), p.shingle, 2)
+    few = b - a < p.shingle
+    shingles = np.concatenate([inner, own[few], np.zeros(1, np.uint64)])
+    stretch = np.stack([a, b - p.shingle + 1], axis=1)
+    stretch[few] = (len(inner) + np.arange(few.sum()))[:, None] + [0, 1]
+    keys = np.zeros((len(a), p.bands), np.uint64)
+    for k in range(p.bands if len(a) else 0):
+        key = np.full(len(a), k, np.uint64)
+        for j in range(k * p.rows, (k + 1) * p.rows):
+            # Hashes times an odd number stand in a new order; what lies between two stretches is left out.
+            low = np.minimum.reduceat(shingles * (_mix(np.array([j + 1], np.uint64), 3)[0] | np.uint64(1)), stretch.ravel())[::2]
+            key = _mix(_mix(key, k) + low, j)
+        keys[:, k] = key
+    # A run at every word; those that leave their text are never chosen.
+    run = _rolled(np.append(h, np.zeros(p.words - 1, np.uint64)), p.words, 0)
+    at = _chosen(run, start, end - start, p)
+    doc = np.searchsorted(end, at, side="right")
+    content = _mix(run[at], 1)
+    order = np.lexsort((at, content, doc))
+    once = np.ones(len(order), bool)
+    once[1:] = (np.diff(doc[order]) != 0) | (np.diff(content[order]) != 0)
+    order = order[once]
+    place = np.concatenate([a, at[order]])
+    row = np.concatenate([row, doc[order]])
+    return Found(row, np.concatenate([own, content[order]]).view(np.int64), place - start[row], np.concatenate([b - a, np.full(len(order), p.words)]), keys.view(np.int64), stretch, shingles)
+
+
+def _chunks(column: pa.Array, p: Paragraphs) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of some rows at a time, by their bytes."""
+    part, at, size = [], 0, 0
+    for i, t in enumerate(column.cast(pa.large_binary()).to_pylist()):
+        part.append(t)
+        size += len(t)
+        if size >= 6 * p.chunk:
+            yield at, part
+            part, at, size = [], i + 1, 0
+    if part:
+        yield at, part
 
 
 def similar_edges(content: np.ndarray, shingles: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -150,74 +210,30 @@ def similar_edges(content: np.ndarray, shingles: list[np.ndarray], similarity: f
     return edges
 
 
-def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, n_paragraphs, first_words, removed) for documents that share paragraphs with others.
+def _keys(rows: DataFrame, p: Paragraphs) -> DataFrame:
+    """(key, doc, line) of every paragraph, with line 0, and of every band of a line, with the line's hash."""
+    id_type = dict(rows.dtypes)["doc"]
 
-    component_id is the smallest doc_id that has a paragraph of the component; that document keeps it, others lose
-    it (removed). first_words says where in the text, in words. Texts are taken whole; null and empty ones
-    have no paragraph. Repeats within one document and rows that repeat one id and text are not reported, and ties
-    go to the smallest id. Extra columns are not read.
-    """
-    own = with_key(docs, id_col, text_col)
-    id_type = dict(own.dtypes)["doc_id"]
-    spark = docs.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _chunks(batch.column(1), p):
+                f = paragraphs_of(texts, p)
+                n = len(f.bands)
+                key = np.concatenate([f.content, f.bands.ravel()])
+                line = np.concatenate([np.zeros(len(f.content), np.int64), np.repeat(f.content[:n], p.bands)])
+                doc = batch.column(0).take(pa.array(at + np.concatenate([f.row, np.repeat(f.row[:n], p.bands)])))
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc, pa.array(line)], names=["key", "doc", "line"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # Once a document: its own paragraphs overlap, and only those of others are looked for.
-            found = [np.unique(np.concatenate(k)) for t in b.column(0).cast(pa.large_binary()).to_pylist() if (k := paragraphs_of(t, p)[2])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
-
-    again = cut(own.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    tables = []
-    for odd in (0, 1):
-        some = again.where(F.col("key").bitwiseAND(1) == odd)
-        few = some.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
-        tables.append(np.sort(some.toArrow().column("key").to_numpy()) if few else None)
-    wanted = spark.sparkContext.broadcast(tables)
-    few = all(x is not None for x in tables)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def on(keys: list[np.ndarray]) -> list[int]:
-            """Which paragraphs have a wanted key."""
-            key = np.concatenate(keys)
-            hit, odd = np.ones(len(key), bool), (key & 1).astype(bool)
-            for part, some in zip((~odd, odd), wanted.value):
-                if some is not None:
-                    own = key[part]
-                    hit[part] = some[np.minimum(np.searchsorted(some, own), len(some) - 1)] == own if len(some) else False
-            size = np.array([len(k) for k in keys])
-            return np.flatnonzero(np.logical_or.reduceat(hit, np.cumsum(size) - size)).tolist()
+    return rows.select("doc", "text").mapInArrow(run, f"key long, doc {id_type}, line long")
 
-        for b in batches:
-            for i, t in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
-                content, place, keys, ends, shingles = paragraphs_of(t, p)
-                keys = [k.view(np.int64) for k in keys]
-                some = on(keys) if keys else []
-                if some:
-                    rows = pa.array(np.full(len(some), i))
-                    # Half of each hash is enough to compare: two pairs of runs in ten million see one false match.
-                    half = (shingles >> np.uint64(32)).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows), b.column(2).take(rows), pa.array(np.array([content[j] for j in some], np.uint64).view(np.int64)), pa.array([place[j] for j in some], pa.int32()), pa.array([keys[j] for j in some], pa.list_(pa.int64())), pa.array([np.unique(half[slice(*ends[j])]).tobytes() for j in some], pa.binary())],
-                        names=["doc_id", "text_hash", "content", "place", "keys", "shingles"],
-                    )
-
-    found = own.select("doc_id", "text", "text_hash").mapInArrow(blocks, f"doc_id {id_type}, text_hash long, content long, place int, keys array<long>, shingles binary")
-    if not few:  # too many keys for a broadcast: paragraphs meet them by a shuffle
-        found = found.withColumn("key", F.explode("keys")).join(again, "key", "left_semi").drop("key").dropDuplicates(["doc_id", "text_hash", "content"])
-    found = cut(found)
-    kinds = found.select("content", "keys", "shingles").dropDuplicates(["content"])
+
+def _edges(kinds: DataFrame, p: Paragraphs) -> DataFrame:
+    """(a, b) between lines that are similar, from rows of (content, keys, shingles) of different lines."""
     rows = kinds.select(F.explode("keys").alias("key"), "content", "shingles")
-    sizes = found.select("content", "keys").dropDuplicates(["content"]).select(F.explode("keys").alias("key")).groupBy("key").count()
-    sizes = cut(sizes.where("count > 1"))
-    if sizes.limit(p.broadcast_keys // 8 + 1).count() <= p.broadcast_keys // 8:  # what is alone in its bands stays behind
-        rows = rows.join(F.broadcast(sizes.select("key")), "key", "left_semi")
-    crowded = sizes.where(F.col("count") > p.block)
+    crowded = kinds.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > p.block)
     part = F.lit(0).cast("long")
-    if crowded.limit(1).count():
-        # The paragraphs of a crowded band go to blocks by content; each pair of blocks is compared on its own.
+    if (crowded := cut(crowded)).limit(1).count():
+        # The lines of a crowded band go to blocks by content; each pair of blocks is compared on its own.
         rows = rows.join(crowded, "key", "left").withColumn("g", F.coalesce(F.ceil(F.col("count") / p.block), F.lit(1)).cast("int"))
         rows = rows.withColumn("c", F.pmod("content", F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         part = F.least("c", "j").cast("long") * F.lit(1 << 31) + F.greatest("c", "j")
@@ -225,29 +241,143 @@ def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: s
     similarity = p.similarity
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(group: list[tuple]) -> list[tuple[int, int]]:
+        group: list[tuple] = []
+
+        def edges() -> list[tuple[int, int]]:
             if len(group) < 2:
                 return []
-            return similar_edges(np.array([r[2] for r in group], np.int64), [np.frombuffer(r[3], np.uint32) for r in group], similarity)
+            return similar_edges(np.array([r[2] for r in group], np.int64), [np.frombuffer(r[3], np.uint64) for r in group], similarity)
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in map(list, zip(*out))], names=["a", "b"])
 
-        group: list[tuple] = []
         out: list[tuple[int, int]] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if group and group[0][:2] != row[:2]:
-                    out += edges(group)
-                    group = []
+                    out += edges()
+                    group.clear()
                 group.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in map(list, zip(*out))], names=["a", "b"])
+                yield batch(out)
                 out = []
-        if out := edges(group):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in map(list, zip(*out))], names=["a", "b"])
-
-    components = connected_components(rows.mapInArrow(compare, "a long, b long").distinct())
-    placed = found.select("doc_id", "text_hash", "content", "place").join(components, F.col("content") == F.col("node"), "left")
-    placed = placed.select("doc_id", "text_hash", "place", F.coalesce("component", "content").alias("root"))
-    who = F.struct("doc_id", "text_hash")
-    shared = placed.groupBy("root").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.min("doc_id").alias("component_id")).where("low <> high").select("root", "component_id")
-    out = placed.join(shared, "root").groupBy("doc_id", "component_id").agg(F.array_sort(F.collect_set("place")).alias("first_words"))
-    return out.select("doc_id", "component_id", F.size("first_words").cast("long").alias("n_paragraphs"), "first_words", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("removed"))
+        if out := edges():
+            yield batch(out)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _wanted(again: DataFrame, p: Paragraphs):
+    """(paragraphs, their first documents, bands) as arrays to be broadcast, or None where there are too many."""
+    if again.limit(p.broadcast_keys + 1).count() > p.broadcast_keys:
+        return None
+    t = again.where("first IS NOT NULL").select("key", "first").orderBy("key").toArrow()
+    bands = np.sort(again.where("first IS NULL").select("key").toArrow().column("key").to_numpy())
+    return t.column("key").to_numpy(), t.column("first").combine_chunks(), bands
+
+
+def _in(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are in the sorted table, their places)."""
+    if not len(table):
+        return np.zeros(keys.shape, bool), np.zeros(keys.shape, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
+_ROW = ("doc", "label", "content", "place", "size", "keys", "shingles")
+
+
+def _placed(rows: DataFrame, again: DataFrame, p: Paragraphs) -> DataFrame:
+    """Paragraphs that occur in several documents or share a band with a different line.
+
+    Columns as in _ROW: label is the first document of equal paragraphs; keys and shingles are there for lines in shared
+    bands, the shingles once per task.
+    """
+    id_type = dict(rows.dtypes)["doc"]
+    schema = f"doc {id_type}, label {id_type}, content long, place int, size int, keys array<long>, shingles binary"
+    wanted = _wanted(again, p)
+    few = wanted is not None
+    table = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def emit(docs: pa.Array, labels: pa.Array, f: Found, which: np.ndarray, hit: np.ndarray | None, told: set) -> pa.RecordBatch:
+        """Rows of the paragraphs ``which``; ``hit``: their bands that are shared."""
+        keys, shingles = [], []
+        for i in which.tolist():
+            shared = f.bands[i][hit[i]] if i < len(f.bands) else ()
+            keys.append(list(shared) if len(shared) else None)
+            c = int(f.content[i])
+            shingles.append(f.shingle_set(i) if len(shared) and c not in told else None)
+            if len(shared):
+                told.add(c)
+        if len(told) > 1_000_000:
+            told.clear()
+        columns = [docs, labels, pa.array(f.content[which]), pa.array(f.place[which].astype(np.int32)), pa.array(f.size[which].astype(np.int32)), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=list(_ROW))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content, first, bands = table.value
+        told: set = set()
+        for batch in batches:
+            for at, texts in _chunks(batch.column(1), p):
+                f = paragraphs_of(texts, p)
+                known, label = _in(content, f.content)
+                hit, _ = _in(bands, f.bands)
+                some = known.copy()
+                some[: len(hit)] |= hit.any(axis=1)
+                which = np.flatnonzero(some)
+                label = pa.array(label[which], mask=~known[which])
+                yield emit(batch.column(0).take(pa.array(at + f.row[which])), first.take(label), f, which, hit, told)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _chunks(batch.column(1), p):
+                f = paragraphs_of(texts, p)
+                docs = batch.column(0).take(pa.array(at + f.row))
+                yield emit(docs, pa.nulls(len(docs), docs.type), f, np.arange(len(docs)), np.ones(f.bands.shape, bool), set())
+
+    if few:
+        return rows.select("doc", "text").mapInArrow(run, schema)
+    # Too many for a broadcast: all paragraphs meet the table by shuffles, and lines keep the bands that are shared.
+    found = rows.select("doc", "text").mapInArrow(every, schema)
+    firsts = again.where("first IS NOT NULL").select(F.col("key").alias("content"), "first")
+    bands = again.where("first IS NULL").select(F.col("key").alias("band"))
+    lines = found.select("content", F.explode("keys").alias("band")).distinct().join(bands, "band", "left_semi")
+    lines = lines.groupBy("content").agg(F.collect_list("band").alias("shared"))
+    found = found.join(firsts, "content", "left").join(lines, "content", "left").where("first IS NOT NULL OR shared IS NOT NULL")
+    return found.select("doc", F.col("first").alias("label"), "content", "place", "size", F.col("shared").alias("keys"), F.when(F.col("shared").isNotNull(), F.col("shingles")).alias("shingles"))
+
+
+def repeated_paragraphs(docs: DataFrame, p: Paragraphs = Paragraphs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, n_paragraphs, n_words, first_words, removed) for documents that share paragraphs with others.
+
+    component_id is the smallest doc_id that has a paragraph of the component; that document keeps it, others lose it
+    (removed). n_words counts the words that its paragraphs cover together, first_words says where they start, in
+    words. Texts are taken whole; null and empty ones have no paragraph. Rows of one id are one document, whose
+    repeats within itself are not reported; rows without an id are one document, too, and never give a component its
+    name. Ties go to the smallest id. Extra columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
+    several = (F.col("first") < F.col("last")) | (F.col("unnamed") & F.col("first").isNotNull())
+    keys = _keys(rows, p).groupBy("key").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("unnamed"), F.min("line").alias("low"), F.max("line").alias("high"),
+    )
+    line = F.col("low") != F.col("high")
+    again = cut(keys.where(line | ((F.col("low") == 0) & several)).select("key", F.when(~line, F.col("first")).alias("first")))
+    found = cut(_placed(rows, again, p))
+    lines = found.where("keys IS NOT NULL")
+    kinds = lines.groupBy("content").agg(F.max("keys").alias("keys"), F.max("shingles").alias("shingles"))
+    near = cut(connected_components(_edges(kinds, p)))
+    # The first document of a component, from all rows of its lines.
+    owners = lines.select("doc", "content").join(near, F.col("content") == F.col("node")).groupBy("component").agg(F.min("doc").alias("label"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("unnamed"))
+    owners = owners.where((F.col("label") < F.col("last")) | (F.col("unnamed") & F.col("label").isNotNull()))
+    labels = near.join(owners.select("component", F.col("label").alias("whole")), "component").select(F.col("node").alias("content"), "whole")
+    lines = skewed_join(lines.select("doc", "label", "content", "place", "size"), labels, "content", "left")
+    lines = lines.select("doc", F.coalesce("whole", "label").alias("label"), "place", "size")
+    placed = found.where("keys IS NULL").select("doc", "label", "place", "size").unionByName(lines).where("label IS NOT NULL")
+    out = placed.groupBy("doc", "label").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("at"))
+    covered = F.expr("aggregate(at, struct(0 AS n, 0 AS e), (a, x) -> struct(a.n + greatest(x.place + x.size - greatest(a.e, x.place), 0) AS n, greatest(a.e, x.place + x.size) AS e), a -> a.n)")
+    first_words = F.array_distinct("at.place")
+    return out.select(
+        F.col("doc").alias("doc_id"), F.col("label").alias("component_id"), F.size(first_words).cast("long").alias("n_paragraphs"), covered.cast("long").alias("n_words"), first_words.alias("first_words"),
+        (~F.col("doc").eqNullSafe(F.col("label"))).alias("removed"),
+    )

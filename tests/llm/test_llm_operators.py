@@ -360,6 +360,44 @@ def test_near_copies_of_paragraphs_against_brute_force(spark, whole):
     assert sum(near) > 100 and sum(f for f, n in zip(found, near) if n) >= 0.99 * sum(near)
 
 
+def test_spliced_passages_are_found(spark):
+    r, rows, want = random.Random(23), [], 0
+    for k in range(300):
+        passage = [r.choice(WORDS) for _ in range(r.randint(24, 120))]
+        edits = len(passage) // 50 if k % 2 else 0  # few enough for a similarity of about 0.8
+        for j in (0, 1):
+            own = list(passage)
+            for x in r.sample(range(len(own)), edits if j else 0):
+                own[x] = f"edit{r.randrange(10**6)}"
+            rows.append((2 * k + j, " ".join([r.choice(WORDS) for _ in range(r.randint(1, 40))] + own + [r.choice(WORDS) for _ in range(r.randint(1, 40))])))
+    got = {(x.doc_id, x.component_id) for x in paragraphs.repeated_paragraphs(table(spark, rows)).collect()}
+    found = [(2 * k + 1, 2 * k) in got and (2 * k, 2 * k) in got for k in range(300)]
+    assert all(found[::2]) and sum(found[1::2]) >= 0.99 * len(found[1::2])
+
+
+@pytest.mark.parametrize("chunk", [3, 250_000])
+def test_chosen_runs_against_brute_force(chunk):
+    p = paragraphs.Paragraphs(words=3, starts=4, chunk=chunk)
+    r = random.Random(29)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.choice([0, 1, 2, 3, 5, 6, 7, 40]))) for _ in range(60)]
+    got = collections.defaultdict(set)
+    for at, part in paragraphs._chunks(__import__("pyarrow").array([t.encode() for t in texts]), p):
+        f = paragraphs.paragraphs_of(part, p)
+        for i in range(len(f.bands), len(f.content)):
+            got[at + int(f.row[i])].add(tuple(texts[at + f.row[i]].split()[f.place[i] : f.place[i] + 3]))
+    chosen = {}  # which run of every window is chosen must not depend on the text around it
+    for i, t in enumerate(texts):
+        w = t.split()
+        runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert got[i] <= set(runs) and (not runs or got[i])
+        for k in range(len(runs) - 3):
+            window = tuple(runs[k : k + 4])
+            both = got[i] & set(window)
+            assert both
+            chosen[window] = chosen.get(window, both) & both
+    assert all(chosen.values())
+
+
 def test_plain_characters_split_like_the_library():
     lengths = tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json"), {}, 100)
     plain = [chr(c) for c in range(0x2100) if tokens._PLAIN.fullmatch(chr(c))]
