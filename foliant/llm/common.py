@@ -70,13 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sided(df: DataFrame, limit: int, places: str) -> DataFrame:
-    """``df`` cut and measured: broadcast if its lists ``places`` and its rows together have ``limit`` entries at most, else shuffled."""
-    df = cut(df)
-    n = df.agg(F.sum(F.size(places) + 1)).first()[0] or 0
-    return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
-
-
 def skewed_join(rows: DataFrame, labels: DataFrame, key: str, how: str = "inner", hot: int = 20_000) -> DataFrame:
     """``rows`` joined with ``labels`` (one row per ``key``), where some keys may hold a large share of ``rows``.
 

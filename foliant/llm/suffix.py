@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, sided, with_key
+from foliant.llm.common import cut, with_key
 from foliant.llm.minima import leftmost_minima
 
 
@@ -34,7 +34,7 @@ class Repeats:
     gram: int = 64
     #: different spans at one anchor that a task sorts; where there are more, windows are compared by hash
     crowd: int = 20_000
-    #: places in the lists by document that are broadcast at most, some 100 bytes each
+    #: keys of documents with places to look at that are broadcast at most, 8 bytes each, so that other texts stay where they are
     broadcast_places: int = 1_000_000
 
 
@@ -187,6 +187,23 @@ def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def _at_places(docs: DataFrame, places: DataFrame, p: Repeats, all_docs: bool) -> DataFrame:
+    """(doc_id, text, text_hash, at) of rows of ``docs`` with their structs ``x`` of ``places`` (doc_id, text_hash, x).
+
+    Only texts that have places are dealt out, by their keys, which are broadcast while they are few; ``all_docs`` keeps
+    the others, too, with no list.
+    """
+    key = F.xxhash64("doc_id", "text_hash")
+    lists = cut(places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("x")).alias("at")))
+    keyed, rest = docs, None
+    if lists.limit(p.broadcast_places + 1).count() <= p.broadcast_places:
+        keys = F.broadcast(lists.select(key.alias("has_places")))
+        keyed = docs.join(keys, key == F.col("has_places"), "left_semi")
+        rest = docs.join(keys, key == F.col("has_places"), "left_anti") if all_docs else None
+    out = keyed.join(lists.hint("shuffle_merge"), _same_doc(keyed, lists), "left" if all_docs else "inner").select(keyed["doc_id"], "text", keyed["text_hash"], "at")
+    return out if rest is None else out.unionByName(rest.select("doc_id", "text", "text_hash", F.lit(None).cast(lists.schema["at"].dataType).alias("at")))
+
+
 def repeat_occurrences(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """(doc_id, text_hash, start, end, repeat_id): byte spans of repeats in rows of (doc_id, text, text_hash).
 
@@ -198,9 +215,7 @@ def repeat_occurrences(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     full = occ.join(twice, ["anchor", "span"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), "end", F.col("span").alias("repeat_id"))
     several = spans.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1")
     ones = spans.join(several, "anchor").select("one.doc_id", "one.text_hash", F.struct("anchor", "one.place", "one.first", "one.end", (F.col("d") > p.crowd).alias("crowd")).alias("x"))
-    lists = sided(ones.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("at")), p.broadcast_places, "at")
-    listed = docs.join(lists, _same_doc(docs, lists)).select("text", docs["doc_id"], docs["text_hash"], "at")
-    around = cut(_contexts(listed, p))
+    around = cut(_contexts(_at_places(docs, ones, p, False), p))
     part = _scan(around.where("after IS NOT NULL").repartition("key").sortWithinPartitions("key"), p)
     crowd = around.where("after IS NULL")
     again = crowd.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -216,8 +231,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     """
     own = with_key(docs, id_col, text_col)
     spans = repeat_occurrences(own, p)
-    lists = sided(spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("at")), p.broadcast_places, "at")
-    rows = own.join(lists, _same_doc(own, lists), "left").select(own["doc_id"], "text", "at")
+    rows = _at_places(own, spans.select("doc_id", "text_hash", F.struct("start", "end").alias("x")), p, True).select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
