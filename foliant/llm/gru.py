@@ -1,12 +1,13 @@
 """A gated recurrent language model in numpy with a class-factored output.
 
 Words have classes: frequent words share classes in which a softmax picks the word, other words share classes by
-frequency and alphabet in which their counts do. A step costs a softmax over classes and one within a class.
+frequency and alphabet in which their counts do. A step costs a softmax over classes and one within a class. Texts run
+in lanes side by side; a lane takes the next text when its own ends, and its state goes on from window to window.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,19 @@ class Layout:
     def classes(self) -> int:
         return self.head_classes + self.tail_classes
 
+    @property
+    def head(self) -> int:
+        """Words of head classes, which are numbered first; the other classes follow."""
+        return self.head_classes * self.slots
+
     @property
     def inputs(self) -> int:
-        """Input rows: a word of a head class each, and one for each other class."""
-        return self.head_classes * self.slots + self.tail_classes
+        return self.head + self.tail_classes
+
+    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, slot or -1) of numbers of words and classes."""
+        tail = ids >= self.head
+        return np.where(tail, ids - self.head + self.head_classes, ids % self.head_classes), np.where(tail, -1, ids // self.head_classes)
 
 
 Params = dict[str, np.ndarray]
@@ -47,166 +57,268 @@ def init(layout: Layout, class_mass: np.ndarray, slot_count: np.ndarray, seed: i
     }
 
 
-def pack(lengths: list[int], lanes: int) -> list[list[int]]:
-    """Sequences by lane, the longest first and each to the lane that is free first."""
-    n = max(1, min(lanes, len(lengths)))
-    heap = [(0, k) for k in range(n)]
-    out: list[list[int]] = [[] for _ in range(n)]
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        used, k = heapq.heappop(heap)
-        out[k].append(i)
-        heapq.heappush(heap, (used + lengths[i], k))
-    return out
-
-
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * a) + np.float32(0.5)
+@dataclass
+class Window:
+    """Steps by lanes: number of the token, whether it is a text's first, whether there is one, and the text's number."""
+
+    ids: np.ndarray
+    before: np.ndarray
+    start: np.ndarray
+    on: np.ndarray
+    owner: np.ndarray
+    #: lanes of the window before that are still there
+    lanes: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.full = bool(self.on.all())
+
+    def rows(self, a: np.ndarray) -> np.ndarray:
+        """What ``a`` has for the tokens there are, step by step."""
+        return a.reshape(-1, *a.shape[2:]) if self.full else a[self.on]
+
+
+def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
+    """Windows over sequences of numbers, none of them empty; lanes leave when no sequence is left for them."""
+    source = enumerate(seqs)
+    first = layout.head  # what stands before a text
+    running: list[list] = []
+    for k, seq in source:
+        running.append([k, seq, 0])
+        if len(running) == layout.lanes:
+            break
+    lanes = np.arange(len(running))
+    while running:
+        size = min(layout.steps, max(len(seq) - at for _, seq, at in running)) if len(running) < layout.lanes else layout.steps
+        shape = (len(running), size)
+        ids, owner, start = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+        before = np.full(shape, first, np.int32)
+        left = []
+        for lane, state in enumerate(running):
+            filled = 0
+            while True:
+                k, seq, at = state
+                n = min(size - filled, len(seq) - at)
+                ids[lane, filled : filled + n] = seq[at : at + n]
+                owner[lane, filled : filled + n] = k
+                if at:
+                    before[lane, filled : filled + n] = seq[at - 1 : at + n - 1]
+                else:
+                    before[lane, filled + 1 : filled + n] = seq[: n - 1]
+                    start[lane, filled] = True
+                filled, state[2] = filled + n, at + n
+                if state[2] < len(seq):
+                    break
+                more = next(source, None)
+                if more is None:
+                    state[1] = None
+                    break
+                state[:] = [*more, 0]
+                if filled == size:
+                    break
+            if state[1] is not None:
+                left.append(lane)
+        turned = [np.ascontiguousarray(a.T) for a in (ids, before, start, owner)]
+        yield Window(turned[0], turned[1], turned[2], turned[3] >= 0, turned[3], lanes)
+        running, lanes = [running[k] for k in left], np.array(left, np.int64)
+
+
+def _shares(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, logarithm of the sum) of the exponentials of each row; ``a`` then has them, but for one shift that all rows share, which differ by far less than float32 spans."""
+    top = a.max()
+    np.exp(np.subtract(a, top, out=a), out=a)
+    total = a @ np.ones(a.shape[1], a.dtype) + np.float32(1e-37)
+    return total, np.log(total) + top
 
 
-def _log_total(a: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row; one shift for all rows, which differ by far less than float32 spans."""
-    top = a.max()
-    e = np.exp(a - top)
-    return np.log(e @ np.ones(a.shape[1], a.dtype) + np.float32(1e-37)) + top
+#: rows of the output that fit in a core's cache
+_BLOCK = 2048
 
 
 class Gru:
-    """Runs windows over lanes of sequences; the state of a lane goes on from window to window until its sequence ends."""
+    """The model with its parameters and the moments of their gradients."""
 
     def __init__(self, layout: Layout, params: Params) -> None:
         self.l, self.p = layout, params
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
         self.t = 0
-
-    def windows(self, seqs: list[dict[str, np.ndarray]]):
-        """Yields (place, inputs, cls, slot, start, live) for windows over all sequences; place numbers tokens.
-
-        Lanes stand by length, the longest first, and a lane that has ended is no longer in the windows.
-        """
-        lanes = pack([len(s["cls"]) for s in seqs], self.l.lanes)
-        offset = np.cumsum([0, *[len(s["cls"]) for s in seqs]])
-        joined = []
-        for lane in lanes:
-            cat = lambda key: np.concatenate([seqs[i][key] for i in lane]) if lane else np.zeros(0, np.int64)
-            start = np.zeros(sum(len(seqs[i]["cls"]) for i in lane), bool)
-            at = 0
-            for i in lane:
-                start[at] = True
-                at += len(seqs[i]["cls"])
-            joined.append((np.concatenate([np.arange(offset[i], offset[i + 1]) for i in lane]) if lane else np.zeros(0, np.int64), cat("input"), cat("cls"), cat("slot"), start))
-        joined.sort(key=lambda j: -len(j[0]))
-        most = max((len(j[0]) for j in joined), default=0)
-        for a in range(0, most, self.l.steps):
-            live = [j for j in joined if len(j[0]) > a]
-            n = min(len(live[0][0]) - a, self.l.steps)
-            grid = [np.zeros((n, len(live)), t) for t in (np.int64, np.int64, np.int64, np.int64, bool)]
-            on = np.zeros((n, len(live)), bool)
-            for k, j in enumerate(live):
-                m = min(len(j[0]) - a, n)
-                on[:m, k] = True
-                for g, values in zip(grid, j):
-                    g[:m, k] = values[a : a + m]
-            yield (*grid, on)
-
-    def forward(self, x: np.ndarray, start: np.ndarray, h: np.ndarray | None, keep: list | None) -> np.ndarray:
-        """States after each step of a window; ``keep`` gets what the way back needs. ``h``: states of these lanes or more."""
-        n, size = self.l.hidden, x.shape[0]
-        gates = (self.p["x"] + self.p["b"])[x]
-        h = np.zeros((x.shape[1], n), np.float32) if h is None else h[: x.shape[1]]
-        out = np.empty((size, x.shape[1], n), np.float32)
-        for t in range(size):
-            if start[t].any():
+        self.held: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that windows of one shape use in turn."""
+        a = self.held.get(name)
+        if a is None or a.shape != shape:
+            a = self.held[name] = np.empty(shape, np.float32)
+        return a
+
+    def forward(self, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, ...]:
+        """(states before and after every step, z, r, candidate, its recurrent part) over a window; the last four only to ``keep``."""
+        n, (steps, lanes) = self.l.hidden, x.shape
+        # Half the sum of a gate, as its sigmoid is half a hyperbolic tangent of that.
+        half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), n)
+        u, gates = self.p["u"] * half, self._room("gates", steps, lanes, 3 * n)
+        np.take((self.p["x"] + self.p["b"]) * half, x, axis=0, out=gates, mode="clip")
+        last, states = h, self._room("states", steps + 1, lanes, n)
+        states[0] = last
+        z, r, cand, rec = (self._room(name, steps if keep else 1, lanes, n) for name in ("z", "r", "cand", "rec"))
+        hh, both = self._room("hh", lanes, 3 * n), self._room("both", lanes, 2 * n)
+        reset = start.any(axis=1)
+        for t in range(steps):
+            k, h, gate = t if keep else 0, states[t], gates[t]
+            if reset[t]:
                 h = np.where(start[t][:, None], np.float32(0), h)
-            hh = h @ self.p["u"]
-            zr = _sigmoid(gates[t, :, : 2 * n] + hh[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gates[t, :, 2 * n :] + r * hh[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, z, r, c, hh[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out
-
-    def output(self, h: np.ndarray, cls: np.ndarray, slot: np.ndarray, grads: Params | None) -> tuple:
-        """(log probability of each row's class and slot, gradient to h or None)."""
-        a = h @ self.p["c"] + self.p["cb"]
-        z = _log_total(a)
-        rows = np.arange(len(cls))
-        score = a[rows, cls] - z
-        back = None
+            np.matmul(h, u, out=hh)
+            np.add(gate[:, : 2 * n], hh[:, : 2 * n], out=both)
+            np.tanh(both, out=both)
+            both += np.float32(1)
+            both *= np.float32(0.5)
+            # Contiguous copies, as what follows is faster over them.
+            z[k], r[k], rec[k] = both[:, :n], both[:, n:], hh[:, 2 * n :]
+            c, new = cand[k], states[t + 1]
+            np.multiply(r[k], rec[k], out=c)
+            c += gate[:, 2 * n :]
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=new)
+            new *= z[k]
+            new += c
+        return states, z, r, cand, rec
+
+    def output(self, h: np.ndarray, ids: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(log probability of each row's number, gradient to h or None)."""
+        cls, slot = self.l.parts(ids)
+        score, back, up = np.empty(len(ids), np.float32), None, np.ascontiguousarray(self.p["c"].T)
         if grads is not None:
-            d = np.exp(a - z[:, None])
-            d[rows, cls] -= 1
-            grads["c"], grads["cb"] = h.T @ d, d.sum(axis=0)
-            grads["o"], grads["ob"] = np.zeros_like(self.p["o"]), np.zeros_like(self.p["ob"])
-            back = d @ self.p["c"].T
+            back = np.empty_like(h)
+            grads |= {"c": np.zeros_like(self.p["c"]), "cb": np.zeros_like(self.p["cb"]), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
+        for first in range(0, len(ids), _BLOCK):
+            at = slice(first, first + _BLOCK)
+            own, k = h[at], cls[at]
+            a = own @ self.p["c"]
+            a += self.p["cb"]
+            rows = np.arange(len(k))
+            part = a[rows, k]
+            total, log = _shares(a)
+            np.subtract(part, log, out=score[at])
+            if grads is not None:
+                a *= (1 / total)[:, None]
+                a[rows, k] -= 1
+                grads["c"] += own.T @ a
+                grads["cb"] += a.sum(axis=0)
+                np.matmul(a, up, out=back[at])
         head = np.flatnonzero(slot >= 0)
-        head = head[np.argsort(cls[head], kind="stable")]
+        head = head[np.argsort(cls[head].astype(np.uint16), kind="stable")]
         cuts = np.flatnonzero(np.diff(cls[head], prepend=-1))
-        for first, end in zip(cuts.tolist(), np.append(cuts[1:], len(head)).tolist()):
-            at = head[first:end]
-            k, own, word = int(cls[at[0]]), h[at], slot[at]
-            a = own @ self.p["o"][k].T + self.p["ob"][k]
-            z = _log_total(a)
-            some = np.arange(end - first)
-            score[at] += a[some, word] - z
+        own, word, more = h[head], slot[head], np.empty(len(head), np.float32)
+        down = np.empty_like(own) if grads is not None else None
+        some = np.arange(len(head))
+        for first, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)]):
+            k, at = int(cls[head[first]]), slice(first, end)
+            a = own[at] @ self.p["o"][k].T
+            a += self.p["ob"][k]
+            here = some[: end - first]
+            more[at] = a[here, word[at]]
+            total, log = _shares(a)
+            more[at] -= log
             if grads is not None:
-                d = np.exp(a - z[:, None])
-                d[some, word] -= 1
-                grads["o"][k], grads["ob"][k] = d.T @ own, d.sum(axis=0)
-                back[at] += d @ self.p["o"][k]
+                a *= (1 / total)[:, None]
+                a[here, word[at]] -= 1
+                grads["o"][k], grads["ob"][k] = a.T @ own[at], a.sum(axis=0)
+                np.matmul(a, self.p["o"][k], out=down[at])
+        score[head] += more
+        if grads is not None:
+            back[head] += down
         return score, back
 
-    def score(self, seqs: list[dict[str, np.ndarray]]) -> np.ndarray:
-        """Natural log probabilities of all tokens, sequence after sequence."""
-        total = np.zeros(sum(len(s["cls"]) for s in seqs))
+    def _run(self, seqs: Iterable[np.ndarray], keep: bool):
         h = None
-        for place, x, cls, slot, start, on in self.windows(seqs):
-            out = self.forward(x, start, h, None)
-            h = out[-1]
-            total[place[on]] = self.output(out[on], cls[on], slot[on], None)[0]
-        return total
-
-    def train(self, seqs: list[dict[str, np.ndarray]]) -> int:
+        for w in windows(seqs, self.l):
+            h = np.zeros((len(w.lanes), self.l.hidden), np.float32) if h is None else h[w.lanes]
+            out = self.forward(w.before, w.start, h, keep)
+            h = out[0][-1].copy()
+            yield w, out
+
+    def score(self, seqs: Iterable[np.ndarray]) -> np.ndarray:
+        """Natural log probability of every sequence."""
+        total, n = np.zeros(0), 0
+        for w, (states, *_) in self._run(seqs, False):
+            owner = w.rows(w.owner)
+            logs = self.output(w.rows(states[1:]), w.rows(w.ids), None)[0]
+            more = np.bincount(owner, logs)
+            if len(more) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(more), 2 * len(total)) - len(total))])
+            total[: len(more)] += more
+            n = max(n, len(more))
+        return total[:n]
+
+    def gradients(self, w: Window, out: tuple[np.ndarray, ...]) -> Params:
+        """Gradients of the negative log probability of a window, back to its first step."""
+        n, grads = self.l.hidden, {}
+        states, z, r, cand, rec = out
+        more = self.output(w.rows(states[1:]), w.rows(w.ids), grads)[1]
+        if w.full:
+            back = more.reshape(cand.shape)
+        else:
+            back = np.zeros_like(cand)
+            back[w.on] = more
+        # Gradients of the recurrent sums of z, r and c, of which the last has not met r yet.
+        d, dh, up = self._room("d", *w.ids.shape, 3 * n), np.zeros_like(cand[0]), np.ascontiguousarray(self.p["u"].T)
+        grads["u"] = np.zeros_like(self.p["u"])
+        through, left, dz, dr, dc = np.empty_like(d[0]), *(np.empty_like(dh) for _ in range(4))
+        one = np.float32(1)
+        stops = w.start.any(axis=1)
+        for t in range(len(d) - 1, -1, -1):
+            dh += back[t]
+            zt, rt, c, g = z[t], r[t], cand[t], d[t]
+            h = np.where(w.start[t][:, None], np.float32(0), states[t]) if stops[t] else states[t]
+            np.subtract(one, zt, out=left)
+            np.multiply(dh, left, out=dc)
+            left *= zt
+            left *= dh
+            np.subtract(h, c, out=dz)
+            dz *= left
+            np.multiply(c, c, out=left)
+            np.subtract(one, left, out=left)
+            dc *= left
+            np.subtract(one, rt, out=left)
+            left *= rt
+            left *= rec[t]
+            np.multiply(dc, left, out=dr)
+            through[:, :n], through[:, n : 2 * n] = dz, dr
+            g[:, : 2 * n], g[:, 2 * n :] = through[:, : 2 * n], dc
+            dc *= rt
+            through[:, 2 * n :] = dc
+            grads["u"] += h.T @ through
+            dh *= zt
+            dh += through @ up
+            if stops[t]:
+                dh[w.start[t]] = 0
+        flat, ids = w.rows(d), w.rows(w.before)
+        order = np.argsort(ids.astype(np.uint16) if self.l.inputs < 1 << 16 else ids, kind="stable")
+        cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        grads["b"], grads["x"] = flat.sum(axis=0), np.zeros_like(self.p["x"])
+        grads["x"][ids[order][cuts]] = np.add.reduceat(flat[order], cuts, axis=0)
+        return grads
+
+    def train(self, seqs: Iterable[np.ndarray]) -> int:
         """One pass with backpropagation through each window; returns the number of tokens."""
-        n, h, seen = self.l.hidden, None, 0
-        for _, x, cls, slot, start, on in self.windows(seqs):
-            keep: list = []
-            out = self.forward(x, start, h, keep)
-            h = out[-1]
-            grads: Params = {}
-            _, back = self.output(out[on], cls[on], slot[on], grads)
-            dout = np.zeros_like(out)
-            dout[on] = back
-            dg, du, dh = np.zeros((*x.shape, 3 * n), np.float32), np.zeros_like(self.p["u"]), np.zeros_like(h)
-            for t in range(len(x) - 1, -1, -1):
-                hp, z, r, c, hc = keep[t]
-                dh = dh + dout[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                d = np.concatenate([dh * (hp - c) * z * (1 - z), dc * hc * r * (1 - r), dc], axis=1)
-                dg[t] = d
-                d = np.concatenate([d[:, : 2 * n], dc * r], axis=1)
-                du += hp.T @ d
-                dh = np.where(start[t][:, None], np.float32(0), dh * z + d @ self.p["u"].T)
-            flat, ids = dg[on], x[on]
-            order = np.argsort(ids, kind="stable")
-            cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            grads |= {"u": du, "b": flat.sum(axis=0), "x": np.zeros_like(self.p["x"])}
-            grads["x"][ids[order][cuts]] = np.add.reduceat(flat[order], cuts, axis=0)
-            self._step(grads, int(on.sum()))
-            seen += int(on.sum())
+        seen = 0
+        for w, out in self._run(seqs, True):
+            tokens = int(w.on.sum())
+            self._step(self.gradients(w, out), tokens)
+            seen += tokens
         return seen
 
     def _step(self, grads: Params, tokens: int) -> None:
         """Adam on the mean gradient."""
         self.t += 1
-        fix = self.l.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        fix = np.float32(self.l.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            g = g / np.float32(max(tokens, 1))
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.p[k] = self.p[k] - np.float32(fix) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
+            g = g * np.float32(1 / max(tokens, 1))
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.001) * (g - v)
+            self.p[k] = self.p[k] - fix * m / (np.sqrt(v) + np.float32(1e-6))
 
 
 def to_bytes(params: Params) -> bytes:

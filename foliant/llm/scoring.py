@@ -1,8 +1,10 @@
 """Scores of whole documents under the recurrent model and under word counts.
 
 Word counts of all training documents are summed by a shuffle of per-task tables. The most frequent words form a
-broadcast table of bounded size; other words of a document are shuffled to their counts. The model learns where
-the documents are: every task trains on its share from common parameters, and the results are averaged by tokens.
+broadcast table of bounded size, by which every text is written once as a list of short numbers; other words of a
+document are shuffled to their counts. Training deals the numbers out to groups by a hash of the document, each group
+learns from common parameters in the order of that hash, and the results are averaged by tokens in the order of the
+groups, so that a model depends on the documents and not on the files that they stand in.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from foliant.llm.gru import Gru, Layout, Params, from_vector, init, to_bytes
 
 @dataclass(frozen=True)
 class Scoring:
-    """Held-out documents, the broadcast table, and which of the training documents each round learns from."""
+    """Held-out documents, the broadcast table, and how training is dealt out."""
 
     fold: int = 2
     folds: int = 7
@@ -31,13 +33,12 @@ class Scoring:
     table: int = 262_144
     #: words that a task counts before it passes them on
     task_words: int = 400_000
-    #: rounds of training; the shares of documents, by hash, are dealt to the rounds in turn, so that each document is learnt from once
+    #: rounds of training; each takes documents of its own, so that every training document is learnt from once
     rounds: int = 2
-    shares: int = 8
-    #: tokens that a task scores at once; it trains a quarter of them at once, in stretches of so many tokens at most
-    chunk: int = 2_000_000
-    stretch: int = 1024
-    #: tasks that average parameters before the last one
+    #: tokens of a group in a round, as long as there are no more than so many groups
+    group_tokens: int = 2_000_000
+    groups: int = 16_384
+    #: groups that average parameters before the last one
     merge_tasks: int = 16
     layout: Layout = field(default_factory=Layout)
 
@@ -48,46 +49,38 @@ END = b""
 class Vocabulary:
     """What a word is to the model, and its count: arrays by place in the broadcast table."""
 
-    def __init__(self, words: list[tuple[bytes, int]], n: int, v: int, layout: Layout) -> None:
-        """``words``: the most frequent ones with their counts, most frequent first; n tokens and v words in all."""
-        self.layout, self.n, self.v = layout, n, v
+    def __init__(self, words: list[tuple[bytes, int]], layout: Layout) -> None:
+        """``words``: the most frequent ones with their counts, most frequent first."""
+        self.layout = layout
         self.index = {w: i for i, (w, _) in enumerate(words)}
         count = np.array([c for _, c in words], np.int64).reshape(-1)
-        head, bins = layout.head_classes * layout.slots, (layout.tail_classes - 2) // 2
+        head, bins = layout.head, (layout.tail_classes - 2) // 2
         rank = np.arange(len(words))
         plain = np.array([w.isascii() for w, _ in words], bool)
-        # Head words fill classes in turn, so that each class has words of all frequencies.
-        self.cls = np.where(rank < head, rank % layout.head_classes, 0)
-        self.slot = np.where(rank < head, rank // layout.head_classes, -1)
+        # Head words fill classes in turn, so that each class has words of all frequencies; others share classes by mass.
         mass = np.cumsum(np.where(rank < head, 0, count))
         bin_ = np.minimum(mass * bins // (mass[-1] + 1 if len(mass) else 1), bins - 1)
-        self.cls = np.where(rank < head, self.cls, layout.head_classes + 2 * bin_ + ~plain)
-        total = np.bincount(self.cls, count, layout.classes)
+        self.number = np.where(rank < head, rank, head + 2 * bin_ + ~plain)
+        cls, slot = layout.parts(self.number)
+        total = np.bincount(cls, count, layout.classes)
         # Rare words, by alphabet, are left to their counts; an unknown word of each alphabet counts as one more.
         self.rare = layout.classes - 2
-        self.input = np.where(rank < head, rank, head + self.cls - layout.head_classes)
-        self.within = np.where(rank < head, 0.0, np.log(np.maximum(count, 1)) - np.log(np.maximum(total[self.cls], 1)))
+        self.within = np.where(rank < head, 0.0, np.log(np.maximum(count, 1)) - np.log(np.maximum(total[cls], 1)))
         self.log_count = np.log10(count + 1.0)
         self.class_mass = total
         self.slot_count = np.zeros((layout.head_classes, layout.slots))
-        on = rank < head
-        self.slot_count[self.cls[on], self.slot[on]] = count[on]
+        self.slot_count[cls[rank < head], slot[rank < head]] = count[rank < head]
+        self.type = np.uint16 if layout.inputs < 1 << 16 else np.uint32
 
-    def sequence(self, words: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """(model's view of words and the end after them, places in the table or -1, places of rare words)."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(numbers of words and the end after them, places in the table or -1, rare words)."""
+        words.append(END)
         at = np.fromiter(map(self.index.get, words, [-1] * len(words)), np.int64, len(words))
-        at = np.append(at, self.index.get(END, -1))
         rare = np.flatnonzero(at < 0)
-        if len(self.log_count):
-            cls, slot, inp = self.cls[at], self.slot[at], self.input[at]
-        else:
-            cls, slot, inp = (np.zeros(len(at), np.int64) for _ in range(3))
-        for i in rare.tolist():
-            cls[i] = self.rare + (i < len(words) and not words[i].isascii())
-        slot[rare] = -1
-        inp[rare] = self.layout.head_classes * self.layout.slots + cls[rare] - self.layout.head_classes
-        before = np.concatenate([[self.layout.head_classes * self.layout.slots], inp[:-1]])
-        return {"input": before, "cls": cls, "slot": slot}, at, rare
+        number = self.number[at] if len(self.number) else np.zeros(len(at), np.int64)
+        others = [words[i] for i in rare.tolist()]
+        number[rare] = [self.layout.head + self.rare - self.layout.head_classes + (not w.isascii()) for w in others]
+        return number.astype(self.type), at, others
 
 
 def word_counts(train: DataFrame, p: Scoring) -> DataFrame:
@@ -113,55 +106,77 @@ def word_counts(train: DataFrame, p: Scoring) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, vocabulary: Vocabulary, size: int):
-    """(batch, row, model's view, places, rare words) of texts, until there are ``size`` tokens: many lanes then run side by side."""
-    out, n = [], 0
-    for b in batches:
-        for i, text in enumerate(b.column(column).cast(pa.large_binary()).to_pylist()):
-            w = text.lower().split()
-            seq, place, rare = vocabulary.sequence(w)
-            out.append((b, i, seq, place, [w[j] if j < len(w) else END for j in rare.tolist()]))
-            n += len(place)
-            if n >= size:
-                yield out
-                out, n = [], 0
-    if out:
-        yield out
-
-
-def _stretches(seq: dict[str, np.ndarray], size: int) -> Iterator[dict[str, np.ndarray]]:
-    """A sequence in stretches of even length, so that lanes end together."""
-    for at in range(0, len(seq["cls"]), size):
-        yield {k: v[at : at + size] for k, v in seq.items()}
+def encoded(rows: DataFrame, vocabulary) -> DataFrame:
+    """(doc_id, text_hash, numbers, n, known, base, within, rare, times) of every row of (doc_id, text, text_hash).
 
+    known counts tokens in the table, base sums the logarithms of their counts and within those of their shares of their
+    classes; rare and times are the other words.
+    """
 
-def learn(train: DataFrame, vocabulary, params: Params, p: Scoring) -> Params:
-    """Rounds of training on (text, share): each task its own documents, then the mean of parameters by tokens."""
-    layout, chunk, stretch = p.layout, p.chunk, p.stretch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary.value
+        for b in batches:
+            out = []
+            for text in b.column(1).cast(pa.large_binary()).to_pylist():
+                numbers, at, rare = voc.encode(text.lower().split())
+                at = at[at >= 0] if rare else at
+                rare = Counter(rare)
+                out.append((numbers.tobytes(), len(numbers), len(at), float(voc.log_count[at].sum()), float(voc.within[at].sum()), list(rare), list(rare.values())))
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, t) for c, t in zip(map(list, zip(*out)), types)]], names=names)
+
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["doc_id", "text_hash", "numbers", "n", "known", "base", "within", "rare", "times"]
+    return rows.select("doc_id", "text", "text_hash").mapInArrow(
+        run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, numbers binary, n long, known long, base double, within double, rare array<binary>, times array<long>"
+    )
+
+
+def learn(train: DataFrame, n: int, kind: type, params: Params, p: Scoring) -> Params:
+    """Rounds of training on encoded rows: each group its own documents, then the mean of parameters by tokens.
+
+    ``n``: tokens of all rows; ``kind``: the type of their numbers.
+    """
+    layout = p.layout
     sc = train.sparkSession.sparkContext
+    groups = min(p.groups, max(1, round(n / p.rounds / p.group_tokens)))
+    # Groups and the order within them follow from documents alone.
+    h = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups * p.rounds).cast("long"))
+    train = train.select((h % p.rounds).cast("int").alias("round"), F.floor(h / p.rounds).cast("int").alias("g"), "text_hash", "numbers", "doc_id")
+    schema = "g int, weight long, params binary"
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = 0, None
+        first, weight, total = None, 0, None
         for b in batches:
-            for w, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for g, w, v in zip(*(c.to_pylist() for c in b.columns)):
                 part = np.frombuffer(v, np.float32).astype(np.float64) * w
+                first = g if first is None else first
                 weight, total = weight + w, part if total is None else total + part
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([weight], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["g", "weight", "params"])
 
     for k in range(p.rounds):
         now = sc.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model, seen = Gru(layout, dict(now.value)), 0
-            for part in _chunks(batches, 0, vocabulary.value, chunk // 4):
-                seen += model.train([s for x in part for s in _stretches(x[2], stretch)])
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(model.p)], pa.binary())], names=["weight", "params"])
-
-        schema = "weight long, params binary"
-        parts = train.where(F.col("share") % p.rounds == k).select("text").mapInArrow(run, schema)
-        row = parts.repartition(p.merge_tasks).mapInArrow(mean, schema).repartition(1).mapInArrow(mean, schema).first()
+            group = None
+
+            def texts() -> Iterator[np.ndarray]:
+                nonlocal group
+                for b in batches:
+                    for g, numbers in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        group = g
+                        yield np.frombuffer(numbers, kind)
+
+            model = Gru(layout, dict(now.value))
+            if seen := model.train(texts()):
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([to_bytes(model.p)], pa.binary())], names=["g", "weight", "params"])
+
+        dealt = train.where(F.col("round") == k).repartitionById(groups, F.col("g")).sortWithinPartitions("text_hash", F.col("doc_id").cast("string"))
+        parts = dealt.select("g", "numbers").mapInArrow(run, schema)
+        some = parts.repartitionById(p.merge_tasks, F.col("g") % p.merge_tasks).sortWithinPartitions("g").mapInArrow(mean, schema)
+        row = some.repartition(1).sortWithinPartitions("g").mapInArrow(mean, schema).first()
+        now.unpersist()
         if row is not None:
             params = from_vector(np.frombuffer(row.params, np.float32), params)
     return params
@@ -172,17 +187,15 @@ def score_documents(docs: DataFrame, p: Scoring = Scoring(), id_col: str = "doc_
 
     Held out are documents whose crc32 of the id as text has remainder ``fold``; a null id counts as empty text.
     Texts are scored whole with the state carried from window to window; null and empty texts have the end as
-    their only token. Repeated rows get equal scores. Without training documents every word is unknown. Extra
-    columns are not read.
+    their only token. Repeated rows get equal scores. Without training documents every word is unknown. Scores do not
+    depend on how rows are dealt out to files. Extra columns are not read.
     """
     own = with_key(docs, id_col, text_col)
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    own = own.withColumn("held_out", crc % p.folds == p.fold).withColumn("share", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(p.shares)))
-    train = own.where(~F.col("held_out"))
-    counts = cut(word_counts(train, p))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % p.folds == p.fold
+    counts = cut(word_counts(own.where(~held_out), p))
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     top = most_frequent(counts, p.table)
-    known = Vocabulary([(bytes(r.word), r.n) for r in top], n, v, p.layout)
+    known = Vocabulary([(bytes(r.word), r.n) for r in top], p.layout)
     sc = docs.sparkSession.sparkContext
     # What rare words and one unknown word of either alphabet weigh together, from all counts.
     plain = ~F.decode("word", "UTF-8").rlike(r"[^\x00-\x7F]")
@@ -190,45 +203,43 @@ def score_documents(docs: DataFrame, p: Scoring = Scoring(), id_col: str = "doc_
     table = [sum(r.n + 1 for r in top if bytes(r.word).isascii() == is_plain) for is_plain in (True, False)]
     weight = [(x or 0) - t + 1 for x, t in zip(cutoff, table)]
     known.class_mass[-2:] = weight
-    vocabulary = sc.broadcast(known)
-    params = sc.broadcast(learn(train, vocabulary, init(p.layout, known.class_mass, known.slot_count), p))
-    layout, chunk, rare_at = p.layout, p.chunk, known.rare
-    ln10 = math.log(10)
+    texts = cut(encoded(own, sc.broadcast(known)))
+    kind, layout, ln10 = known.type, p.layout, math.log(10)
+    params = sc.broadcast(learn(texts.where(~held_out), n, kind, init(layout, known.class_mass, known.slot_count), p))
+    names = ["doc_id", "text_hash", "n", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, model = vocabulary.value, Gru(layout, params.value)
-        for part in _chunks(batches, 1, voc, chunk):
-            logs = model.score([x[2] for x in part])
-            out, at = [], 0
-            for b, i, _, place, rare in part:
-                m = len(place)
-                table = place[place >= 0]
-                score = (logs[at : at + m].sum() + voc.within[table].sum()) / ln10 if len(table) else logs[at : at + m].sum() / ln10
-                at += m
-                key = (b.column(0)[i].as_py(), b.column(2)[i].as_py())
-                # No word has a space, so this row meets no count; its hash spreads such rows.
-                out.append((*key, b" " + str(key[1]).encode(), m, 1, len(table), float(voc.log_count[table].sum()) if len(table) else 0.0, float(score), -1))
-                found = Counter(rare)
-                out += [(*key, x, c, 0, 0, 0.0, 0.0, rare_at + (not x.isascii())) for x, c in found.items()]
-            types = [b.column(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
-            for a in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[a : a + 20_000]), types)], names=names)
-
-    names = ["doc_id", "text_hash", "word", "n", "rows", "known", "base", "score", "cls"]
-    rows = own.select("doc_id", "text", "text_hash").mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, text_hash long, word binary, n long, rows long, known long, base double, score double, cls int")
-    rows = rows.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    rare = F.col("rows") == 0
+        kept: list[pa.RecordBatch] = []
+
+        def numbers() -> Iterator[np.ndarray]:
+            for b in batches:
+                kept.append(b.select([c for c in b.schema.names if c != "numbers"]))
+                for x in b.column("numbers").to_pylist():
+                    yield np.frombuffer(x, kind)
+
+        logs, at = Gru(layout, params.value).score(numbers()), 0
+        for b in kept:
+            score = (logs[at : at + b.num_rows] + b.column("within").to_numpy()) / ln10
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:-1]], pa.array(score)], names=names)
+
+    schema = f"doc_id {dict(own.dtypes)['doc_id']}, text_hash long, n long, known long, base double, score double"
+    rows = texts.select(*names[:-1], "within", "numbers").mapInArrow(run, schema).withColumn("rows", F.lit(1).cast("long"))
+    # Rare words meet their counts; the others are the table's.
+    words = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "text_hash", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    words = words.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c1 = F.coalesce("c", F.lit(0)) + 1
-    total = F.when(F.col("cls") == rare_at, F.lit(float(weight[0]))).otherwise(F.lit(float(weight[1])))
-    rows = rows.select(
-        "doc_id", "text_hash", "rows", F.when(rare, 0).otherwise(F.col("n")).alias("n"), F.when(rare & F.col("c").isNotNull(), F.col("n")).otherwise(F.col("known")).alias("known"),
-        F.when(rare, F.col("n") * F.log10(c1)).otherwise(F.col("base")).alias("base"), F.when(rare, F.col("n") * F.log10(c1 / total)).otherwise(F.col("score")).alias("score"),
+    total = F.when(F.decode("word", "UTF-8").rlike(r"[^\x00-\x7F]"), F.lit(float(weight[1]))).otherwise(F.lit(float(weight[0])))
+    zero = F.lit(0).cast("long")
+    words = words.select(
+        "doc_id", "text_hash", zero.alias("n"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(zero).alias("known"),
+        (F.col("times") * F.log10(c1)).alias("base"), (F.col("times") * F.log10(c1 / total)).alias("score"), zero.alias("rows"),
     )
-    by = rows.groupBy("doc_id", "text_hash").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "known", "base", "score")])
+    by = rows.unionByName(words).groupBy("doc_id", "text_hash").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "known", "base", "score")])
     # Rows that agree in id and text were summed together.
     by = by.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     tokens = (F.col("n") / F.col("rows")).cast("long")
     return by.select(
-        "doc_id", (crc % p.folds == p.fold).alias("held_out"), tokens.alias("n_tokens"), (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", held_out.alias("held_out"), tokens.alias("n_tokens"), (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows") - tokens * F.lit(math.log10(n + v + 1))).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),
     )

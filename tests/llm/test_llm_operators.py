@@ -8,13 +8,14 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import chat, decontaminate, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, gru, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
 from foliant.llm.components import connected_components
 from foliant.llm.gru import Layout
 from foliant.llm.queries import OP6_SQL, OP7_SQL
@@ -99,7 +100,7 @@ def test_tokens(docs, none):
 
 
 def test_scoring(docs, none):
-    p = scoring.Scoring(table=60, task_words=50, shares=2, chunk=3000, layout=Layout(hidden=6, head_classes=4, slots=4, tail_classes=8, lanes=4, steps=16))
+    p = scoring.Scoring(table=60, task_words=50, layout=Layout(hidden=6, head_classes=4, slots=4, tail_classes=8, lanes=4, steps=16))
     toks = [(i, lower(t or "").encode().split() + [b""]) for i, t in ROWS]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = bag(x for i, w in toks if not held(i) for x in w)
@@ -113,16 +114,72 @@ def test_scoring(docs, none):
     assert scoring.score_documents(none, p).count() == 0
 
 
-def test_model_learns_and_probabilities_sum_to_one(spark):
+def test_model_learns(spark):
     text = [(i, " ".join(random.Random(i).choice([["aa bb cc dd"], ["xx yy zz ww"]])[0] for _ in range(60))) for i in range(80)]
-    p = scoring.Scoring(table=50, rounds=2, shares=2, layout=Layout(hidden=8, head_classes=4, slots=4, tail_classes=8, lanes=16, steps=16))
-    rows = scoring.score_documents(spark.createDataFrame(text, "doc_id long, text string"), p).where("held_out").collect()
-    assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
-
-
-@pytest.mark.parametrize("rounds", [2, 3])
-def test_model_learns_from_every_training_document_once(spark, monkeypatch, rounds):
-    # The mean of parameters counts tokens: every task reports how many it has learnt from.
+    p = scoring.Scoring(table=50, rounds=2, layout=Layout(hidden=8, head_classes=4, slots=4, tail_classes=8, lanes=16, steps=16))
+    df = spark.createDataFrame(text, "doc_id long, text string")
+    scores = [{r.doc_id: (r.held_out, r.base_score, r.score) for r in scoring.score_documents(x, p).collect()} for x in (df, df.repartition(7))]
+    # A model of the documents, not of their partitions, but for the rounding of sums.
+    assert scores[0].keys() == scores[1].keys() and all(a == pytest.approx(scores[1][k], rel=1e-5) for k, a in scores[0].items())
+    held = [x for x in scores[0].values() if x[0]]
+    assert held and sum(x[2] for x in held) > sum(x[1] for x in held)
+
+
+def small_model(seed=3):
+    layout = Layout(hidden=5, head_classes=3, slots=4, tail_classes=4, lanes=3, steps=7)
+    r = np.random.default_rng(seed)
+    params = gru.init(layout, r.integers(1, 50, layout.classes).astype(float), r.integers(0, 9, (3, 4)).astype(float), seed)
+    params = {k: v + r.standard_normal(v.shape).astype(np.float32) * 0.3 * (k != "ob") for k, v in params.items()}
+    seqs = [r.integers(0, layout.inputs, n).astype(np.uint16) for n in (1, 30, 2, 7, 14, 1, 3, 9, 8)]
+    live = params["ob"].T.ravel() > -50
+    return layout, params, [np.array([x if x >= layout.head or live[x] else layout.head for x in s], np.uint16) for s in seqs]
+
+
+def steps_of(layout, p, seq):
+    """Probability distribution over all numbers before each step, and the number that comes, one token at a time."""
+    p, n = {k: v.astype(float) for k, v in p.items()}, layout.hidden
+    h, before = np.zeros(n), layout.head
+    soft = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    for x in seq.tolist():
+        g, hh = p["x"][before] + p["b"], h @ p["u"]
+        z, r = sigmoid(g[:n] + hh[:n]), sigmoid(g[n : 2 * n] + hh[n : 2 * n])
+        c = np.tanh(g[2 * n :] + r * hh[2 * n :])
+        h, before = z * h + (1 - z) * c, x
+        of_class = soft(h @ p["c"] + p["cb"])
+        inside = [soft(p["o"][k] @ h + p["ob"][k]) for k in range(layout.head_classes)]
+        yield [of_class[k % layout.head_classes] * inside[k % layout.head_classes][k // layout.head_classes] for k in range(layout.head)] + of_class[layout.head_classes :].tolist(), x
+
+
+def test_scores_are_those_of_a_plain_model_whose_probabilities_sum_to_one():
+    layout, params, seqs = small_model()
+    got = gru.Gru(layout, params).score(seqs)
+    assert len(got) == len(seqs)
+    for s, log in zip(seqs, got):
+        steps = list(steps_of(layout, params, s))
+        assert all(sum(q) == pytest.approx(1) for q, _ in steps)
+        assert log == pytest.approx(sum(math.log(q[x]) for q, x in steps), rel=1e-4)
+
+
+def test_gradients_of_a_window():
+    layout, params, seqs = small_model()
+    w = next(gru.windows(seqs, layout))
+    loss = lambda p: -float(gru.Gru(layout, p).output(w.rows(gru.Gru(layout, p).forward(w.before, w.start, np.zeros((3, 5), np.float32), False)[0][1:]), w.rows(w.ids), None)[0].astype(float).sum())
+    model = gru.Gru(layout, params)
+    grads = model.gradients(w, model.forward(w.before, w.start, np.zeros((3, 5), np.float32), True))
+    r = np.random.default_rng(1)
+    for k, g in grads.items():
+        for _ in range(8):
+            at = tuple(r.integers(0, m) for m in g.shape)
+            more, less = ({**params, k: params[k].copy()} for _ in range(2))
+            more[k][at] += 0.01
+            less[k][at] -= 0.01
+            assert float(g[at]) == pytest.approx((loss(more) - loss(less)) / 0.02, abs=0.02), (k, at)
+
+
+@pytest.mark.parametrize("rounds, tokens", [(2, 2_000_000), (3, 50)])
+def test_model_learns_from_every_training_document_once(spark, monkeypatch, rounds, tokens):
+    # The mean of parameters counts tokens: every group reports how many it has learnt from.
     seen = spark.sparkContext.accumulator(0)
     train = scoring.Gru.train
 
@@ -133,8 +190,7 @@ def test_model_learns_from_every_training_document_once(spark, monkeypatch, roun
 
     monkeypatch.setattr(scoring, "Gru", type("Counted", (scoring.Gru,), {"train": counted}))
     text = [(i, f"aa bb w{i}") for i in range(300)]
-    p = scoring.Scoring(rounds=rounds, layout=Layout(hidden=4, head_classes=4, slots=4, tail_classes=8, lanes=8, steps=8))
-    assert p.shares == scoring.Scoring().shares > rounds
+    p = scoring.Scoring(rounds=rounds, group_tokens=tokens, layout=Layout(hidden=4, head_classes=4, slots=4, tail_classes=8, lanes=8, steps=8))
     n = scoring.score_documents(spark.createDataFrame(text, "doc_id long, text string"), p).first().train_tokens
     assert n == 4 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(300)) == seen.value
 
