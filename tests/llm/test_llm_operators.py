@@ -317,19 +317,20 @@ def test_chat(spark):
 
 @pytest.mark.parametrize("crowd", [20_000, 1])
 def test_suffix(docs, none, crowd):
-    p = suffix.Repeats(length=60, gram=16, crowd=crowd, broadcast_places=crowd)
+    p = suffix.Repeats(length=60, gram=16, shorter=40, crowd=crowd, broadcast_places=crowd, broadcast_anchors=crowd)
     data = [(i, (t or "").encode()) for i, t in ROWS]
-    seen = bag(b[s : s + 60] for _, b in data for s in range(len(b) - 59))
+    seen = {n: bag(b[s : s + n] for _, b in data for s in range(len(b) - n + 1)) for n in (60, 40)}
     want = []
     for i, b in data:
-        on = bytearray(len(b))
-        for s in range(len(b) - 59):
-            if seen[b[s : s + 60]] > 1:
-                on[s : s + 60] = b"\1" * 60
-        kept = bytes(x for x, m in zip(b, on) if not m)
-        want.append((i, len(b), sum(on), len(re.findall(b"\1+", bytes(on))), hashlib.sha256(kept).hexdigest(), kept))
+        on = {n: bytearray(len(b)) for n in seen}
+        for n in seen:
+            for s in range(len(b) - n + 1):
+                if seen[n][b[s : s + n]] > 1:
+                    on[n][s : s + n] = b"\1" * n
+        kept = bytes(x for x, m in zip(b, on[60]) if not m)
+        want.append((i, len(b), sum(on[60]), len(re.findall(b"\1+", bytes(on[60]))), sum(on[40]), hashlib.sha256(kept).hexdigest(), kept))
     got = suffix.remove_repeats(docs, p).collect()
-    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == bag(want)
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, r.kept_sha256, bytes(r.kept)) for r in got) == bag(want)
     assert suffix.remove_repeats(none, p).count() == 0
 
 
