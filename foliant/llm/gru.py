@@ -87,11 +87,11 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
         if len(running) == layout.lanes:
             break
     lanes = np.arange(len(running))
+    last = np.full(len(running), first, np.int32)
     while running:
         size = min(layout.steps, max(len(seq) - at for _, seq, at in running)) if len(running) < layout.lanes else layout.steps
         shape = (len(running), size)
         ids, owner, start = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
-        before = np.full(shape, first, np.int32)
         left = []
         for lane, state in enumerate(running):
             filled = 0
@@ -100,10 +100,7 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
                 n = min(size - filled, len(seq) - at)
                 ids[lane, filled : filled + n] = seq[at : at + n]
                 owner[lane, filled : filled + n] = k
-                if at:
-                    before[lane, filled : filled + n] = seq[at - 1 : at + n - 1]
-                else:
-                    before[lane, filled + 1 : filled + n] = seq[: n - 1]
+                if not at:
                     start[lane, filled] = True
                 filled, state[2] = filled + n, at + n
                 if state[2] < len(seq):
@@ -117,17 +114,25 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
                     break
             if state[1] is not None:
                 left.append(lane)
-        turned = [np.ascontiguousarray(a.T) for a in (ids, before, start, owner)]
-        yield Window(turned[0], turned[1], turned[2], turned[3] >= 0, turned[3], lanes)
+        ids, start, owner = (np.ascontiguousarray(a.T) for a in (ids, start, owner))
+        before = np.concatenate([last[lanes][None], ids[:-1]])
+        before[start] = first
+        last = ids[-1]
+        yield Window(ids, before, start, owner >= 0, owner, lanes)
         running, lanes = [running[k] for k in left], np.array(left, np.int64)
 
 
 def _shares(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum, logarithm of the sum) of the exponentials of each row; ``a`` then has them, but for one shift that all rows share, which differ by far less than float32 spans."""
-    top = a.max()
-    np.exp(np.subtract(a, top, out=a), out=a)
+    """(sum, logarithm of the sum) of the exponentials of each row, which ``a`` then has."""
+    np.exp(a, out=a)
     total = a @ np.ones(a.shape[1], a.dtype) + np.float32(1e-37)
-    return total, np.log(total) + top
+    return total, np.log(total)
+
+
+def _shifted(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """``bias`` less one number per softmax, so that no exponential of a state (all within -1 and 1) times ``weight`` (units last) plus bias exceeds float32."""
+    bound = np.abs(weight).sum(axis=-1) + bias
+    return bias - np.maximum(bound.max(axis=-1, keepdims=True) - np.float32(80), bias.max(axis=-1, keepdims=True))
 
 
 #: rows of the output that fit in a core's cache
@@ -187,6 +192,7 @@ class Gru:
         """(log probability of each row's number, gradient to h or None)."""
         cls, slot = self.l.parts(ids)
         score, back, up = np.empty(len(ids), np.float32), None, np.ascontiguousarray(self.p["c"].T)
+        bias, inner = _shifted(up, self.p["cb"]), _shifted(self.p["o"], self.p["ob"])
         if grads is not None:
             back = np.empty_like(h)
             grads |= {"c": np.zeros_like(self.p["c"]), "cb": np.zeros_like(self.p["cb"]), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
@@ -194,7 +200,7 @@ class Gru:
             at = slice(first, first + _BLOCK)
             own, k = h[at], cls[at]
             a = own @ self.p["c"]
-            a += self.p["cb"]
+            a += bias
             rows = np.arange(len(k))
             part = a[rows, k]
             total, log = _shares(a)
@@ -214,7 +220,7 @@ class Gru:
         for first, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)]):
             k, at = int(cls[head[first]]), slice(first, end)
             a = own[at] @ self.p["o"][k].T
-            a += self.p["ob"][k]
+            a += inner[k]
             here = some[: end - first]
             more[at] = a[here, word[at]]
             total, log = _shares(a)

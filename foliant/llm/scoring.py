@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +73,17 @@ class Vocabulary:
         self.slot_count[cls[rank < head], slot[rank < head]] = count[rank < head]
         self.type = np.uint16 if layout.inputs < 1 << 16 else np.uint32
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(numbers of words and the end after them, places in the table or -1, rare words)."""
-        words.append(END)
-        at = np.fromiter(map(self.index.get, words, [-1] * len(words)), np.int64, len(words))
+    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(numbers, places in the table or -1, which are rare) of all words of some texts, an end after each text, and the words themselves."""
+        words: list[bytes] = []
+        for t in texts:
+            words += t
+            words.append(END)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         rare = np.flatnonzero(at < 0)
         number = self.number[at] if len(self.number) else np.zeros(len(at), np.int64)
-        others = [words[i] for i in rare.tolist()]
-        number[rare] = [self.layout.head + self.rare - self.layout.head_classes + (not w.isascii()) for w in others]
-        return number.astype(self.type), at, others
+        number[rare] = [self.layout.head + self.rare - self.layout.head_classes + (not words[i].isascii()) for i in rare.tolist()]
+        return number.astype(self.type), at, rare, words
 
 
 def word_counts(train: DataFrame, p: Scoring) -> DataFrame:
@@ -115,15 +118,28 @@ def encoded(rows: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary.value
+        log_count, within = np.append(voc.log_count, 0.0), np.append(voc.within, 0.0)
         for b in batches:
-            out = []
-            for text in b.column(1).cast(pa.large_binary()).to_pylist():
-                numbers, at, rare = voc.encode(text.lower().split())
-                at = at[at >= 0] if rare else at
-                rare = Counter(rare)
-                out.append((numbers.tobytes(), len(numbers), len(at), float(voc.log_count[at].sum()), float(voc.within[at].sum()), list(rare), list(rare.values())))
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, t) for c, t in zip(map(list, zip(*out)), types)]], names=names)
+            out: list[list] = [[] for _ in types]
+            texts = b.column(1).cast(pa.large_binary()).to_pylist()
+            for first in range(0, len(texts), 500):
+                split = [t.lower().split() for t in texts[first : first + 500]]
+                size = np.array([len(w) + 1 for w in split])
+                numbers, at, rare, words = voc.encode(split)
+                ends = np.cumsum(size)
+                starts = ends - size
+                out[0] += [numbers[a:e].tobytes() for a, e in zip(starts.tolist(), ends.tolist())]
+                out[1] += size.tolist()
+                for k, values in enumerate((at >= 0, log_count[at], within[at])):
+                    out[2 + k] += np.add.reduceat(values, starts, dtype=values.dtype if k else np.int64).tolist()
+                cuts = np.searchsorted(rare, np.append(starts, ends[-1])).tolist()
+                rare = rare.tolist()
+                for a, e in zip(cuts, cuts[1:]):
+                    seen = Counter([words[i] for i in rare[a:e]])
+                    out[5].append(list(seen))
+                    out[6].append(list(seen.values()))
+            if texts:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
 
     types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     names = ["doc_id", "text_hash", "numbers", "n", "known", "base", "within", "rare", "times"]
