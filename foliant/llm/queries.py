@@ -129,7 +129,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "novel")
-    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+    dense = F.size(F.filter("secrets", lambda s: s["novelty"] >= secrets.SecretScan().min_added)).cast("long").alias("n_incompressible")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), count("novel"), dense)
 
 
 QUERIES = {

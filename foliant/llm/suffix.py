@@ -61,6 +61,13 @@ def anchors_of(h: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarra
     return place, first, np.append(first[1:] - 1, n - length)[: len(place)] + length
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, as lists of Python objects take many times a batch's room."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            yield b.slice(at, 500)
+
+
 def _twice(docs: DataFrame, p: Repeats) -> DataFrame:
     """(anchor) of those that occur at several places. Anchors of long windows are anchors of shorter ones, too."""
     least = min(p.length, p.shorter)
@@ -91,7 +98,7 @@ def _occurrences(docs: DataFrame, p: Repeats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
-        for b in batches:
+        for b in _slices(batches):
             parts, span = [], []
             for i, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
                 if len(text) < lengths[-1]:
@@ -172,7 +179,7 @@ def _contexts(listed: DataFrame) -> DataFrame:
     names = ["key", "length", "doc_id", "text_hash", "place", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for text, doc, own, at in zip(b.column(0).cast(pa.large_binary()).to_pylist(), *(b.column(k).to_pylist() for k in (1, 2, 3))):
                 for x in at:
@@ -211,19 +218,32 @@ def _scan(contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        types = None
-        for b in batches:
+        out: set[tuple] = set()
+
+        def batch() -> pa.RecordBatch:
+            part = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=_FOUND)
+            out.clear()
+            return part
+
+        def close() -> Iterator[pa.RecordBatch]:
+            # A large group finds far more than it has rows.
+            for x in found(group):
+                out.add(x)
+                if len(out) >= 20_000:
+                    yield batch()
+            group.clear()
+
+        for b in _slices(batches):
             types = [pa.int32(), b.schema.field(2).type, pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            out: set[tuple] = set()
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if group and group[0][0] != row[0]:
-                    out.update(found(group))
-                    group = []
+                    yield from close()
                 group.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=_FOUND)
-        if out := set(found(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=_FOUND)
+                yield batch()
+        yield from close()
+        if out:
+            yield batch()
 
     return contexts.mapInArrow(run, f"length int, doc_id {id_type}, text_hash long, start int, end int, repeat_id long")
 
@@ -295,7 +315,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     rows = _at_places(own, spans.select("doc_id", "text_hash", F.struct("start", "end", "length").alias("x")), p, True).select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for text, at in zip(b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist()):
                 gone, seen = (_union([(x["start"], x["end"]) for x in at or () if x["length"] == n]) for n in (p.length, p.shorter))

@@ -374,6 +374,35 @@ def test_secrets_on_both_sides_of_a_sensitive_word(text, secret):
     assert [text[a:b] for a, b, _ in secrets.novel_spans(text, [])] == ([secret] if secret else [])
 
 
+def test_planted_secrets_are_found_and_words_are_not(spark):
+    import base64
+    import uuid
+
+    r = random.Random(41)
+    kinds = {
+        "base64": lambda: base64.b64encode(r.randbytes(24)).decode().rstrip("="), "base32": lambda: base64.b32encode(r.randbytes(20)).decode(), "hex": lambda: r.randbytes(15).hex(),
+        "uuid": lambda: str(uuid.UUID(bytes=r.randbytes(16), version=4)), "short": lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(12)) + "7k",
+        "letters": lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)),
+    }
+    contexts = ["DB_PWD: {} # prod", "bearer {} end", '{{"value": "{}", "name": "API_TOKEN"}}', "export AUTH_SIGNATURE '{}'", "{} is the private credential"]
+    rows, want = [], {}
+    for k, make in enumerate(kinds.values()):
+        for i in range(60):
+            secret = make()
+            text = prose(30, 7000 + 60 * k + i) + "\n" + contexts[i % 5].format(secret) + "\n" + prose(20, 9000 + 60 * k + i)
+            want[1000 * k + i] = (text.index(secret), text.index(secret) + len(secret))
+            rows.append((1000 * k + i, text))
+    # Identifiers near sensitive words, each in several documents.
+    plain = ["getAuthenticatedUserAccount", "privateKeyStoreProvider2", "tokenRefreshInterval", "secretManagerClientBuilder", "TOKEN_EXPIRY_SECONDS_60"]
+    rows += [(100_000 + i, prose(20, i) + f" the token of {plain[i % 5]} and secret {plain[(i + 1) % 5]} " + prose(20, 500 + i)) for i in range(100)]
+    got = {x.doc_id: [(s.start, s.end) for s in x.secrets if s.kind == "novel"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(kinds):
+        found = sum(any(a <= want[i][0] and b >= want[i][1] for a, b in got[i]) for i in range(1000 * k, 1000 * k + 60))
+        assert found >= 54, name
+    false = [dict(rows)[i][a:b] for i, v in got.items() if i >= 100_000 for a, b in v]
+    assert len(false) <= 4, false  # of 200 places
+
+
 @pytest.mark.parametrize("p", [paragraphs.Paragraphs(), paragraphs.Paragraphs(broadcast_keys=0, block=2)])
 def test_paragraphs(docs, none, p):
     assert paragraphs.repeated_paragraphs(none, p).count() == 0
