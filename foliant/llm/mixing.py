@@ -4,8 +4,8 @@ A source with target t and size s is taken t / s times: every document a whole n
 more with the fractional part as inclusion probability. Which documents get the extra copy is drawn by the
 flight phase of the cube method: probabilities move along the null space of the balancing constraints
 (number of documents, number of tokens) until all but two are 0 or 1. Blocks of documents fly on their own,
-large ones first, what they leave undecided flies by source, and two small documents per source remain to be
-landed.
+large ones first; what they leave undecided flies by source, together with documents that were kept back for it, and
+two documents per source remain to be landed. Documents that were kept back then mend what the landing is off by.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import random
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from foliant.llm.common import WORD, cut, text_of
+from foliant.llm.common import WORD, cut, free_name, text_of
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,8 @@ class Mixing:
     seed: int = 17
     #: documents of a source that fly together; bounds the rows of a task
     block: int = 4096
+    #: documents of a source, about, that fly last
+    spare: int = 1000
 
 
 def source_targets(sizes: DataFrame, p: Mixing = Mixing()) -> DataFrame:
@@ -95,8 +97,13 @@ def settle(prob: list[float], size: list[float]) -> list[float]:
     return prob
 
 
-def land(prob: list[float], size: list[float]) -> list[float]:
-    """Rounds the open probabilities, two at most after the last flight, so that the sum of sizes moves least."""
+def land(prob: list[float], size: list[float], spare: list[bool]) -> list[float]:
+    """Rounds the open probabilities, two at most after the last flight, so that the sum of sizes moves least.
+
+    What the sum is off by then is mended with the ``spare`` documents: from the largest to the smallest, one is taken
+    in or left out wherever that brings the sum nearer, and last the one that brings it nearest.
+    """
+    goal = sum(q * s for q, s in zip(prob, size))
     prob = settle(prob, size)
     at = [i for i, q in enumerate(prob) if 0.0 < q < 1.0]
     best = None
@@ -109,42 +116,90 @@ def land(prob: list[float], size: list[float]) -> list[float]:
     prob = list(prob)
     for i, x in zip(at, best[1] if best else []):
         prob[i] = x
+    error = sum(q * s for q, s in zip(prob, size)) - goal
+    for i in sorted((i for i, free in enumerate(spare) if free), key=lambda i: -size[i]):
+        change = size[i] * (1 - 2 * prob[i])
+        if abs(error + change) < abs(error):
+            prob[i], error = 1 - prob[i], error + change
     return prob
 
 
-def mix_sources(docs: DataFrame, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken.
+_ITEM = ["doc_id", "source", "own", "n", "size", "h", "source_size", "target", "whole", "prob"]
 
-    Null and empty texts have size 0 and nothing is taken of them. A null source is a source of its own.
-    Repeated rows are separate documents, and which of several equal ones is taken makes no difference.
-    Reruns agree: blocks, order and random draws follow from ids, texts and the seed. Extra columns are not read.
+
+def mixed_items(docs: DataFrame, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", own: Column | None = None) -> DataFrame:
+    """(doc_id, source, own, n, size, source_size, target, copies): how many copies the mix takes of ``n`` equal rows together.
+
+    ``own``: hash by which rows of one id and source are told apart, that of the text if none is given.
     """
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit(p.seed)).alias("h")))
-    targets = cut(source_targets(rows, p))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.xxhash64(text_of(text_col)) if own is None else own).alias("own"), size.alias("size"))
+    # Equal rows fly as one, so that no block has more than one of them.
+    rows = cut(rows.groupBy("doc_id", "source", "own", "size").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "own", F.lit(p.seed))))
+    targets = cut(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), p))
     s = targets.select(F.col("source").alias("s"), "source_size", "n_docs", "target")
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rows = rows.join(F.broadcast(s) if targets.count() <= 10_000 else s, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("n")
     whole = F.floor(rate + 1e-12)
     rows = rows.withColumn("whole", whole).withColumn("prob", F.greatest(rate - whole, F.lit(0.0)))
+    # Some documents of a source, all of a small one, fly last and mend what the others leave.
+    spare = F.pmod(F.xxhash64("h"), F.col("n_docs")) < p.spare
     blocks = F.ceil(F.col("n_docs") / p.block)
-    rows = rows.withColumn("block", F.when(F.col("size") > 0, F.pmod("h", blocks)).otherwise(F.lit(-1).cast("long")))
-    schema = "doc_id long, source string, size long, h long, source_size long, target double, whole long, prob double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    schema = schema.replace("doc_id long", f"doc_id {dict(rows.dtypes)['doc_id']}")
+    rows = rows.withColumn("block", F.when(F.col("size") == 0, F.lit(-1).cast("long")).when(spare, F.lit(-2).cast("long")).otherwise(F.pmod("h", blocks)))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in _ITEM)
     seed = p.seed
 
     def flown(pdf: pd.DataFrame, key: object, last: bool) -> pd.DataFrame:
         # Large documents fly first, so that small ones are left to land.
-        pdf = pdf.sort_values(["size", "h", "doc_id", "prob"], ascending=[False, True, True, True], kind="stable")[names]
+        pdf = pdf.sort_values(["size", "h", "doc_id", "prob"], ascending=[False, True, True, True], kind="stable")
         sizes = pdf["size"].astype(float).tolist()
         prob = fly(pdf["prob"].tolist(), sizes, random.Random(f"{seed}:{last}:{key}"))
-        return pdf.assign(prob=land(prob, sizes) if last else prob)
+        if last:
+            moves = (pdf["spare"] & (pdf["prob"] > 0)).tolist()
+            prob = land(prob, sizes, moves)
+        return pdf[_ITEM].assign(prob=prob)
 
-    first = rows.where("block >= 0").groupBy("source", "block").applyInPandas(lambda key, pdf: flown(pdf, key, False), schema)
-    first = cut(first)
+    first = cut(rows.where("block >= 0").groupBy("source", "block").applyInPandas(lambda key, pdf: flown(pdf, key, False), schema))
     open_ = (F.col("prob") > 0) & (F.col("prob") < 1)
-    rest = first.where(open_).groupBy("source").applyInPandas(lambda key, pdf: flown(pdf, key, True), schema)
-    out = first.where(~open_).unionByName(rest).unionByName(rows.where("block < 0").select(*names).withColumn("prob", F.lit(0.0)))
-    copies = (F.col("whole") + F.col("prob").cast("long")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    late = first.where(open_).withColumn("spare", F.lit(False)).unionByName(rows.where("block = -2").select(*_ITEM).withColumn("spare", F.lit(True)))
+    rest = late.groupBy("source").applyInPandas(lambda key, pdf: flown(pdf, key, True), schema)
+    out = first.where(~open_).unionByName(rest).unionByName(rows.where("block = -1").select(*_ITEM).withColumn("prob", F.lit(0.0)))
+    return out.select("doc_id", "source", "own", "n", "size", "source_size", "target", (F.col("whole") + F.round("prob").cast("long")).cast("long").alias("copies"))
+
+
+def _each(items: DataFrame) -> DataFrame:
+    """A row for each of the equal rows of an item, with its share of the copies."""
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    rows = items.withColumn("k", k).withColumn("copies", F.floor(F.col("copies") / F.col("n")) + (F.col("k") < F.col("copies") % F.col("n")).cast("long"))
+    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("k", "n")
+
+
+def mix_sources(docs: DataFrame, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken.
+
+    Null and empty texts have size 0 and nothing is taken of them. A null source is a source of its own.
+    Repeated rows are separate documents; which of several equal ones is taken makes no difference, and they share
+    their copies evenly. Reruns agree: blocks, order and random draws follow from ids, texts and the seed. A source's
+    taken words differ from its target by less than its smallest spare document, where those reach. Extra columns are
+    not read.
+    """
+    return _each(mixed_items(docs, p, id_col, text_col, source_col)).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def mix_corpus(docs: DataFrame, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` with size, source_size, target, copies and taken as further columns, as ``mix_sources`` has them.
+
+    Further columns get underscores in front where ``docs`` has their names.
+    """
+    more = {c: free_name(docs, c) for c in ("size", "source_size", "target", "copies", "taken")}
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    own = free_name(docs, "own_row")
+    items = cut(mixed_items(docs, p, id_col, text_col, source_col, whole))
+    rows = docs.withColumn(own, whole)
+    if items.where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates([own])
+    # Rows with one hash have one id and source, so the hash alone is the key.
+    names = [F.col("own").alias(own), *[F.col(c).alias(f"mix_{k}") for k, c in enumerate(more)]]
+    items = _each(items).select(*names)
+    return rows.join(items, own).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"mix_{k}").alias(name) for k, name in enumerate(more.values())])

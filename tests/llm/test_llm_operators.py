@@ -224,6 +224,29 @@ def test_mixing(spark, docs, none):
         assert goal[s] == pytest.approx(want[s]) and abs(took[s] - want[s]) <= 60
 
 
+def test_mixing_lands_near_targets_with_large_documents_and_rows_without_id(spark):
+    r = random.Random(51)
+    rows = [(i, "w " * int(20 * r.paretovariate(0.9)) if i % 50 else "w " * 20_000, f"s{i % 12}") for i in range(4000)]
+    rows += [(None, "x y z", "s0")] * 2500 + [(None, f"x {i} z", None) for i in range(300)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    p = mixing.Mixing(block=100, spare=60)
+    size, goal, took, least = collections.Counter(), {}, collections.Counter(), {}
+    got = mixing.mix_corpus(df, p).collect()
+    assert len(got) == len(rows) and bag(map(tuple, got)) == bag(map(tuple, mixing.mix_corpus(df.repartition(3), p).collect()))
+    assert len(rows) == mixing.mix_sources(df, p).count()
+    for x in got:
+        assert x["size"] == len(words(x.text or "")) and x.taken == x.copies * x["size"] <= 3 * x["size"]
+        size[x.source] += x["size"]
+        took[x.source] += x.taken
+        goal[x.source] = x.target
+        least[x.source] = min(least.get(x.source, 10**9), x["size"] or 10**9)
+    assert sum(goal.values()) == pytest.approx(sum(size.values()))
+    for s in size:
+        assert abs(took[s] - goal[s]) <= max(least[s], 0.01 * goal[s]), s
+    more = mixing.mix_corpus(df.selectExpr("*", "1 AS size", "'x' AS copies"), p)
+    assert more.columns == ["doc_id", "text", "source", "size", "copies", "_size", "source_size", "target", "_copies", "taken"] and more.count() == len(rows)
+
+
 def components(nodes, linked):
     root = {n: n for n in nodes}
 
