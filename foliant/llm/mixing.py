@@ -100,28 +100,27 @@ def settle(prob: list[float], size: list[float]) -> list[float]:
 def land(prob: list[float], size: list[float], spare: list[bool]) -> list[float]:
     """Rounds the open probabilities, two at most after the last flight, so that the sum of sizes moves least.
 
-    What the sum is off by then is mended with the ``spare`` documents: from the largest to the smallest, one is taken
-    in or left out wherever that brings the sum nearer, and last the one that brings it nearest.
+    What the sum is off by after each way to round is mended with the ``spare`` documents: from the largest to the
+    smallest, one is taken in or left out wherever that brings the sum nearer. The way that ends nearest is kept, of
+    equal ones that with the fewest documents changed.
     """
     goal = sum(q * s for q, s in zip(prob, size))
     prob = settle(prob, size)
     at = [i for i, q in enumerate(prob) if 0.0 < q < 1.0]
+    order = sorted((i for i, free in enumerate(spare) if free and i not in at), key=lambda i: -size[i])
     best = None
     for bits in range(1 << len(at)):
-        picked = [float(bits >> k & 1) for k in range(len(at))]
-        error = abs(sum(size[i] * (x - prob[i]) for i, x in zip(at, picked)))
-        count = abs(sum(x - prob[i] for i, x in zip(at, picked)))
-        if best is None or (error, count) < best[0]:
-            best = ((error, count), picked)
-    prob = list(prob)
-    for i, x in zip(at, best[1] if best else []):
-        prob[i] = x
-    error = sum(q * s for q, s in zip(prob, size)) - goal
-    for i in sorted((i for i, free in enumerate(spare) if free), key=lambda i: -size[i]):
-        change = size[i] * (1 - 2 * prob[i])
-        if abs(error + change) < abs(error):
-            prob[i], error = 1 - prob[i], error + change
-    return prob
+        tried = list(prob)
+        for k, i in enumerate(at):
+            tried[i] = float(bits >> k & 1)
+        error, changed = sum(q * s for q, s in zip(tried, size)) - goal, 0
+        for i in order:
+            change = size[i] * (1 - 2 * tried[i])
+            if abs(error + change) < abs(error):
+                tried[i], error, changed = 1 - tried[i], error + change, changed + 1
+        if best is None or (abs(error), changed) < best[0]:
+            best = ((abs(error), changed), tried)
+    return best[1]
 
 
 _ITEM = ["doc_id", "source", "own", "n", "size", "h", "source_size", "target", "whole", "prob"]
