@@ -101,8 +101,8 @@ def land(prob: list[float], size: list[float], spare: list[bool]) -> list[float]
     """Rounds the open probabilities, two at most after the last flight, so that the sum of sizes moves least.
 
     What the sum is off by after each way to round is mended with the ``spare`` documents: from the largest to the
-    smallest, one is taken in or left out wherever that brings the sum nearer. The way that ends nearest is kept, of
-    equal ones that with the fewest documents changed.
+    smallest, one is taken in or left out where that does not go too far, and at last the one that brings the sum
+    nearest. The way that ends nearest is kept, of equal ones that with the fewest documents changed.
     """
     goal = sum(q * s for q, s in zip(prob, size))
     prob = settle(prob, size)
@@ -114,7 +114,11 @@ def land(prob: list[float], size: list[float], spare: list[bool]) -> list[float]
         for k, i in enumerate(at):
             tried[i] = float(bits >> k & 1)
         error, changed = sum(q * s for q, s in zip(tried, size)) - goal, 0
-        for i in order:
+        for i in order:  # without going too far
+            change = size[i] * (1 - 2 * tried[i])
+            if abs(error + change) < abs(error) and error * (error + change) >= 0:
+                tried[i], error, changed = 1 - tried[i], error + change, changed + 1
+        for i in sorted(order, key=lambda i: abs(error + size[i] * (1 - 2 * tried[i])))[:1]:  # one more that brings it nearest
             change = size[i] * (1 - 2 * tried[i])
             if abs(error + change) < abs(error):
                 tried[i], error, changed = 1 - tried[i], error + change, changed + 1
