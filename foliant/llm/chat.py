@@ -55,12 +55,16 @@ def format_chats(conversations: DataFrame, template: ChatTemplate = ChatTemplate
 
     A conversation becomes one text, so its turns meet in one row; their number is what a single text
     holds. Turns are ordered by turn, then role and text, nulls first; repeated rows stay. A null role
-    or text is empty. Rows without a conv_id form one conversation. No input gives no row.
+    or text is empty. A row without a conv_id is a conversation of its own, with a null conv_id: nothing says which
+    rows would belong together, and all of them in one row would have no bound. No input gives no row.
     """
     conv, turn, role, text = (F.col(k) for k in keys)
     empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    turns = F.sort_array(F.collect_list(F.struct(turn.alias("turn"), empty(role).alias("role"), empty(text).alias("text"))))
-    out = conversations.groupBy(conv.alias("conv_id")).agg(turns.alias("turns"))
+    one = F.struct(turn.alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
+    rows = conversations.select(conv.alias("conv_id"), one.alias("one"))
+    # A conversation's number keeps its rows together; without one, a row's own number keeps it apart.
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    out = rows.withColumn("lone", lone).groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("one")).alias("turns"))
     seg = lambda body, loss: F.struct(body.alias("text"), loss.alias("loss"))
     head, tail = template.turn_open
     segments = F.flatten(

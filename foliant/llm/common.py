@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,12 @@ def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local default is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names. A local default is set only where none is named and driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return "file:///tmp/checkpoints"
 

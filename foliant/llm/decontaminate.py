@@ -29,6 +29,8 @@ class Decontamination:
     shingle: int = 3
     #: with so many windows at most (some 25 MB) the item side is broadcast, else both sides are shuffled
     broadcast_windows: int = 50_000
+    #: tasks that a shingle's places are dealt out to where both sides are shuffled
+    salts: int = 16
 
 
 def match_words(text: Column) -> Column:
@@ -79,7 +81,10 @@ def find_windows(docs: DataFrame, windows: DataFrame, p: Decontamination = Decon
     if small:  # the words stay with their row, as nothing is shuffled before the last test
         spans = _doc_shingles(docs, sizes).join(side(prefix), "s").where((first >= 0) & (last <= F.size("w")))
     else:  # only places and hashes are shuffled, and candidates meet their document's words again
-        spans = _doc_shingles(docs, sizes).drop("w").join(side(prefix), "s").where(first >= 0)
+        # A shingle may be very common: its rows go to several tasks, and the item side to each of them.
+        salt = F.pmod(F.xxhash64("i", *keys), F.lit(p.salts)).cast("int")
+        spread = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+        spans = _doc_shingles(docs, sizes).drop("w").withColumn("salt", salt).join(side(spread), ["s", "salt"]).where(first >= 0)
         own = docs.select("w", *[F.col(k).alias(f"own_{k}") for k in keys]).dropDuplicates([f"own_{k}" for k in keys])
         on = F.lit(True)
         for k in keys:

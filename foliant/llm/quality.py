@@ -75,11 +75,11 @@ def _repeat_words(windows: str, size: int) -> Column:
 
 
 def quality_verdict(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
-    """Adds struct ``quality`` to every row of ``docs``; no row is dropped and no shuffle is needed.
+    """Adds struct ``quality``, with underscores in front where ``docs`` has that name, to every row; no row is dropped and no shuffle is needed.
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
     kept, clean_text (the lines that stay). Null and empty texts have no words and fail the base rule.
-    Repeated rows and ties get equal verdicts. Extra columns stay; a column named ``quality`` is replaced.
+    Repeated rows and ties get equal verdicts. Extra columns stay.
     Windows are compared by their 64-bit hashes within one text.
     """
     t, w, h, ls = (free_name(docs, x) for x in ("q_text", "q_words", "q_windows", "q_lines"))
@@ -105,12 +105,12 @@ def quality_verdict(docs: DataFrame, rules: QualityRules = QualityRules(), text_
     failed = (c("n_words") < rules.min_words) | (c("n_repeat_words") * 100 > c("n_words") * rules.max_repeat_percent)
     kept = ~failed & (c("lost_chars") * 100 <= c("word_chars") * rules.max_lost_percent)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = out.withColumn("quality", F.struct(*[c(n).alias(n) for n in names], failed.alias("base_failed"), c("lost_chars").alias("lost_chars"), kept.alias("kept"), c("clean_text").alias("clean_text")))
+    out = out.withColumn(free_name(docs, "quality"), F.struct(*[c(n).alias(n) for n in names], failed.alias("base_failed"), c("lost_chars").alias("lost_chars"), kept.alias("kept"), c("clean_text").alias("clean_text")))
     return out.drop(t, w, h, ls, q)
 
 
-def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps, with their columns as they were."""
+def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", clean: bool = False) -> DataFrame:
+    """The rows of ``docs`` that the verdict keeps, with their columns as they were; ``clean`` leaves the lines that stay of their texts."""
     v = free_name(docs, "q_verdict")
-    judged = quality_verdict(docs.select(F.struct("*").alias(v), F.col(text_col).alias("text")), rules)
-    return judged.filter("quality.kept").select(f"{v}.*")
+    judged = quality_verdict(docs.select(F.struct("*").alias(v), F.col(text_col).alias("text")), rules).filter("quality.kept")
+    return judged.select(*[F.col("quality.clean_text").alias(c) if clean and c == text_col else F.col(f"{v}.`{c}`").alias(c) for c in docs.columns])

@@ -54,9 +54,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', 'TRICKY' UNION ALL SELECT -7, 1, 'assistant', 'TRICKY'),
-l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM c),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', 'TRICKY', NULL UNION ALL SELECT -7, 1, 'assistant', 'TRICKY', NULL),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, lone ORDER BY turn, role, text) AS prev FROM c),
 v AS (SELECT *, CASE WHEN role = 'system' THEN prev IS NULL WHEN role = 'user' THEN prev IS NULL OR prev IN ('system', 'assistant')
   WHEN role = 'assistant' THEN coalesce(prev IN ('user', 'tool'), false) WHEN role = 'tool' THEN coalesce(prev = 'assistant', false) ELSE false END AS ok FROM l)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -64,7 +64,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(16 + length(role) + length(text) + length(regexp_replace(role || text, '[^<>\\]', '', 'g')))::BIGINT AS formatted_chars,
   bool_and(ok) AND arg_max(role, (turn, role, text)) <> 'system' AS valid
-FROM v GROUP BY conv_id
+FROM v GROUP BY conv_id, lone
 """.replace("TRICKY", TRICKY)
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, free_name, text_of, with_key
+from foliant.llm.common import cut, free_name, skewed_join, text_of, with_key
 from foliant.llm.components import connected_components
 
 
@@ -193,10 +193,11 @@ def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), id_col: str = "doc_
     own = cut(fingerprints(with_key(docs, id_col, text_col), p))
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = connected_components(links(classes, p))
-    roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    roots = cut(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = roots.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    # One root may hold most fingerprints, and one fingerprint most rows.
+    by_fp = cut(skewed_join(roots.select("fp", "root"), lows, "root").select("fp", "component_id"))
+    return skewed_join(own, by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup, without shuffling a single pre-token.
 
-A first pass counts pre-tokens in every task and sends each task's most frequent ones; their sums give a
-table of bounded size with the number of tokens of each, which is broadcast. The second pass looks pre-tokens
-up there, encodes what is missing with the tokenizer library and keeps it in a bounded cache per worker.
+A first pass counts pre-tokens in every task and writes each task's most frequent ones as one block of bytes; blocks
+are merged in a tree, always to blocks of the same bounded size, so that no pre-token is a row of a shuffle. The last
+block gives a table with the number of tokens of each, which is broadcast. The second pass looks pre-tokens up there,
+encodes what is missing with the tokenizer library and keeps it in a bounded cache per worker.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, most_frequent, text_of
+from foliant.llm.common import cut, text_of
 
 
 @dataclass(frozen=True)
@@ -27,9 +28,10 @@ class TokenCount:
     limit: int = 1024
     #: pre-tokens in the broadcast table
     frequent: int = 50_000
-    #: pre-tokens that a task reports, and how many it counts at once
-    task_report: int = 5_000
+    #: pre-tokens that a block holds, how many a task counts at once, and blocks that are merged by one task
+    task_report: int = 50_000
     task_counter: int = 200_000
+    fan_in: int = 32
     #: pre-tokens that a worker's cache holds
     cache: int = 300_000
 
@@ -39,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPLIT = regex.compile(PATTERN)
 #: Texts of these characters only are split here; any Unicode version agrees on them. Others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\r -~¡-ɏΑ-Ωα-ωА-я–—‘-„•…€]*+")
+#: Between a visible ASCII character and white space no pre-token goes on, whatever stands around.
+_SAFE = regex.compile(r"(?<=[!-~])(?=[\t\n\r ])")
 _TOKENIZERS: dict = {}
 
 
@@ -67,18 +71,28 @@ class Lengths(dict):
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return len(self.encode(text, add_special_tokens=False))
-        return sum(map(self.__getitem__, _SPLIT.findall(text)))
+        if _PLAIN.fullmatch(text):
+            return sum(map(self.__getitem__, _SPLIT.findall(text)))
+        # Parts with other characters go to the library, the rest through the table.
+        return sum(sum(map(self.__getitem__, _SPLIT.findall(part))) if _PLAIN.fullmatch(part) else len(self.encode(part, add_special_tokens=False)) for part in _SAFE.split(text))
 
 
 def frequent_lengths(docs: DataFrame, p: TokenCount, text_col: str = "text") -> dict[str, int]:
     """The most frequent pre-tokens with their number of tokens, ``p.frequent`` at most.
 
-    Tasks send bounded tables of counts that are summed by pre-token; only the result's top comes to the driver.
     A pre-token that a task had to drop for want of room is encoded when it is met, so counts stay exact.
     """
-    report, room = p.task_report, p.task_counter
+    report, room, fan_in = p.task_report, p.task_counter, p.fan_in
+
+    def block(seen: Counter) -> pa.RecordBatch:
+        top = seen.most_common(report)
+        table = pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_batch(table)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -87,13 +101,30 @@ def frequent_lengths(docs: DataFrame, p: TokenCount, text_col: str = "text") ->
                 seen.update(_SPLIT.findall(text))
                 if len(seen) > room:
                     seen = Counter(dict(seen.most_common(room // 2)))
-        top = seen.most_common(report)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
+        if seen:
+            yield block(seen)
 
-    found = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "piece string, n long")
-    counts = cut(found.groupBy("piece").agg(F.sum("n").alias("n")))
-    encode = _tokenizer(p.path).encode
-    return {r.piece: len(encode(r.piece, add_special_tokens=False)) for r in most_frequent(counts, p.frequent)}
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                for t in pa.ipc.open_stream(b):
+                    seen.update(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist())))
+                if len(seen) > room:
+                    seen = Counter(dict(seen.most_common(room // 2)))
+        if seen:
+            yield block(seen)
+
+    found = cut(docs.select(text_of(text_col).alias("text")).mapInArrow(count, "block binary"))
+    blocks = found.count()
+    while blocks > fan_in:
+        blocks = -(-blocks // fan_in)
+        found = found.repartition(blocks).mapInArrow(merge, "block binary")
+    last = found.repartition(1).mapInArrow(merge, "block binary").first()
+    encode, known = _tokenizer(p.path).encode, []
+    for t in pa.ipc.open_stream(bytes(last.block)) if last else ():
+        known += zip(t.column(0).to_pylist(), t.column(1).to_pylist())
+    return {w: len(encode(w, add_special_tokens=False)) for w, _ in known[: p.frequent]}
 
 
 def count_tokens(docs: DataFrame, p: TokenCount, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

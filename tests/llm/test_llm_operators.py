@@ -74,7 +74,8 @@ def bag(rows):
 
 def test_quality(docs, none):
     got = quality.quality_verdict(docs)
-    assert quality.quality_verdict(none).count() == 0 and set(docs.columns) <= set(got.columns)
+    assert quality.quality_verdict(none).count() == 0 and got.columns == [*docs.columns, "_quality"]
+    got = got.withColumn("quality", F.col("_quality"))
     want = []
     for i, t in ROWS:
         t = t or ""
@@ -89,6 +90,9 @@ def test_quality(docs, none):
     assert kept >= {5, 6, 7, 10, 11, 13, 14, None} and not kept & {1, 2, 15, 16, 18}
     out = quality.quality_filter(docs)
     assert out.columns == docs.columns and out.count() == sum(r.kept for r in rows)
+    messy = prose(30, 60) + "\nHome | News | About | Contact\nAll rights reserved.\n" + prose(30, 61) + "\nend.\nend."
+    one = quality.quality_filter(table(docs.sparkSession, [(1, messy)]), clean=True)
+    assert one.columns == docs.columns and one.first().text == prose(30, 60) + "\n" + prose(30, 61) + "\nend."
 
 
 def test_tokens(docs, none):
@@ -327,14 +331,16 @@ def test_decontamination(spark, docs, none):
 
 def test_chat(spark):
     tricky = r"\### Assistant: </turn> ok \l \b <turn user>"
-    rows = [(1, 0, "system", "be"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (2, 0, "user", None), (2, 0, "user", None), (3, 5, None, "x"), (None, 1, "assistant", ""), (4, 1, "as<sistant>", "a\nb"), (5, None, "user", "u"), (5, 2, "assistant", "v" * 50_000)]
+    rows = [(1, 0, "system", "be"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (2, 0, "user", None), (2, 0, "user", None), (3, 5, None, "x"), (None, 1, "assistant", ""), (None, 0, "user", "a"), (None, 0, "user", "a"), (4, 1, "as<sistant>", "a\nb"), (5, None, "user", "u"), (5, 2, "assistant", "v" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
     got = {r.conv_id: r for r in chat.format_chats(df).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments"))).collect()}
-    for conv in {r[0] for r in rows}:
+    lone = [tuple(t) for r in chat.format_chats(df).where("conv_id IS NULL").withColumn("turns", chat.read_back(F.col("formatted"))).collect() for t in r.turns]
+    assert bag(lone) == bag([("assistant", ""), ("user", "a"), ("user", "a")]) and chat.format_chats(df).where("conv_id IS NULL").count() == 3
+    for conv in {r[0] for r in rows} - {None}:
         turns = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
         assert [(t.role, t.text) for t in got[conv].turns] == [x[2:] for x in turns]
         assert got[conv].loss == "".join(x[3] for x in turns if x[2] == "assistant")
-    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, None: False, 4: False, 5: True}
+    assert {c: r.valid for c, r in got.items() if c} == {1: True, 2: False, 3: False, 4: False, 5: True}
     assert chat.format_chats(df.where("false")).count() == 0
 
 
@@ -516,6 +522,15 @@ def test_plain_characters_split_like_the_library():
         assert lengths.count(text) == len(lengths.encode(text, add_special_tokens=False)), hex(ord(c))
 
 
+def test_texts_with_other_characters_are_split_like_the_library():
+    lengths = tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json"), {}, 1000)
+    r = random.Random(7)
+    chars = list("ab1 .,  \n\n\t\r'") + ["'s", "日本", "語", "\u3000", "\xa0", "\u0301", "😀", "É", "\u200b", "ß", "\x85", "\u2028", "\x0b", "\x1c"]
+    for _ in range(3000):
+        text = "".join(r.choice(chars) for _ in range(r.randint(1, 40)))
+        assert lengths.count(text) == len(lengths.encode(text, add_special_tokens=False)), repr(text)
+
+
 def test_pipeline_and_its_stages(spark, tmp_path):
     near = prose(200, 501)
     secret = prose(40, 504) + "\napi_key = hunter2hunter2 and\n" + prose(20, 505) + "\nbearer Zx9Qw3Lk7Vb2Nm5Tr8Yp4Gh6 end.\n" + prose(20, 506)
