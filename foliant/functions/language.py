@@ -29,12 +29,14 @@ FORMS = ("designer 6", "designer 7", "designer 8", "designer 9", "designer 10",
 def detect_language(text: Column) -> Column:
     """Struct language, confidence, n_words, english, spanish; only these two languages are told apart."""
     t = F.lower(normalize_text(text))
-    words = F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), 1)
-    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    # A word is a run of letters, so one count per list finds the words that stand alone, without an array of words.
+    hits = lambda listed: F.regexp_count(t, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(listed)})(?!\p{{L}})"))
+    n_words = F.regexp_count(t, F.lit(r"\p{L}+"))
+    endings = F.regexp_count(t, F.lit(rf"(?:{ES_SUFFIX.replace('$', '')})(?!\p{{L}})"))
     accents = F.regexp_count(t, F.lit("[áéíóúñü¿¡]"))
     english = hits(EN_STOP) * 1.45 + hits(EN_MARK) * 0.65
-    spanish = hits(ES_STOP) * 1.45 + accents * 2.2 + F.size(F.filter(words, lambda w: w.rlike(ES_SUFFIX))) * 0.9 + F.regexp_count(t, F.lit("[¿¡]")) * 2.5
-    counted = F.struct(F.size(words).alias("n"), accents.alias("accents"), english.alias("en"), spanish.alias("es"))
+    spanish = hits(ES_STOP) * 1.45 + accents * 2.2 + endings * 0.9 + F.regexp_count(t, F.lit("[¿¡]")) * 2.5
+    counted = F.struct(n_words.alias("n"), accents.alias("accents"), english.alias("en"), spanish.alias("es"))
     return F.transform(F.array(counted), _language)[0]
 
 

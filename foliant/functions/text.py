@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space in texts, Unicode spaces and the byte order mark included.
 SPACE = "[\\t\\n\\x0B\\f\\r    -     　﻿]"
-NUMERIC = r"(?i)^-?(?:[$£€¥])?(?:[0-9]+(?:[.,][0-9]+)*|[0-9]*\.[0-9]+)(?:%)?$|^n/a$"
-# Fixed value: social security numbers; areas 000 and 666 are not assigned, areas from 900 are masked too.
-SSN = r"(?<![0-9])(?:(?!000|666)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}|(?!000|666)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4})(?![0-9])"
+# Compact numbers, and social security numbers; areas 000 and 666 are not assigned, areas from 900 are masked too.
+NUMERIC = r"(?i)^-?(?:[$£€¥])?(?:\d+(?:[.,]\d+)*|\d*\.\d+)(?:%)?$|^n/a$"
+SSN = r"(?<!\d)(?:(?!000|666)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}|(?!000|666)\d{3}(?!00)\d{2}(?!0000)\d{4})(?!\d)"
+# Tokens that recognition garbles, fonts that scanning software hides its text in, and traces of scans.
+GARBAGE_TOKENS = (r"^(.)\1{3,}$", "(_[a-zA-Z]{1,3}){2,}")
+OCR_FONTS = r"(?i)hidden\s*(horz|vert)?\s*ocr|\bocr[-_ ]?[ab]\b|invisible.*text"
+SCAN_ARTIFACTS = (r"(.)\1{15,}", "(_[a-zA-Z]{1,3}){3,}")
 
 
 def normalize_text(text: Column) -> Column:
     """White space runs as one space, none at either end; null is empty."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
+    t = F.coalesce(text, F.lit(""))
+    # Most texts have single plain spaces only, which a search for the other ASCII ones shows without a pattern.
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        odd = odd | t.contains(c)
+    plain = (F.length(t) == F.octet_length(t)) & ~odd
+    return F.btrim(F.when(plain, t).otherwise(F.regexp_replace(t, SPACE + "+", " ")))
 
 
 def without_space(text: Column) -> Column:
@@ -40,17 +50,17 @@ def looks_header(text: Column) -> Column:
 def is_garbage_token(token: Column) -> Column:
     """One character repeated, mostly signs, or underscores between letters."""
     signs = F.length(F.regexp_replace(token, "[a-zA-Z0-9]", ""))
-    return token.rlike(r"^(.)\1{3,}$") | (signs > 0.5 * F.length(token)) | token.rlike("(_[a-zA-Z]{1,3}){2,}")
+    return token.rlike(GARBAGE_TOKENS[0]) | (signs > 0.5 * F.length(token)) | token.rlike(GARBAGE_TOKENS[1])
 
 
 def is_ocr_font(font: Column) -> Column:
     """Names of fonts that scanning software hides recognized text in."""
-    return F.coalesce(font, F.lit("")).rlike(r"(?i)hidden\s*(horz|vert)?\s*ocr|\bocr[-_ ]?[ab]\b|invisible.*text")
+    return F.coalesce(font, F.lit("")).rlike(OCR_FONTS)
 
 
 def has_scan_artifact(text: Column) -> Column:
     """A long run of one character, or several underscore tokens in a row."""
-    return text.rlike(r"(.)\1{15,}") | text.rlike("(_[a-zA-Z]{1,3}){3,}")
+    return text.rlike(SCAN_ARTIFACTS[0]) | text.rlike(SCAN_ARTIFACTS[1])
 
 
 def suspicious_ratio(text: Column) -> Column:
@@ -111,7 +121,8 @@ def find_ssn(text: Column) -> Column:
 
 def mask_ssn(text: Column) -> Column:
     """Every number with all but its last four digits masked."""
-    return F.regexp_replace(text, SSN.replace("[0-9]{4}|", "([0-9]{4})|", 1)[: -len("[0-9]{4})(?![0-9])")] + "([0-9]{4}))(?![0-9])", "***-**-$1$2")
+    grouped = r"(?<!\d)(?:(?!000|666)\d{3}[- ](?!00)\d{2}[- ](?!0000)(\d{4})|(?!000|666)\d{3}(?!00)\d{2}(?!0000)(\d{4}))(?!\d)"
+    return F.regexp_replace(text, grouped, "***-**-$1$2")
 
 
 def masked_digits(value: Column) -> Column:

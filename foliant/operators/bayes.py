@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 def train(examples: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
     """(classes with n and total, features with role, feature, n) from rows of (role, features)."""
-    long = examples.select("role", F.explode("features").alias("feature"))
-    seen = long.groupBy("feature").count().where(F.col("count") >= min_count).select("feature")
-    counts = long.join(seen, "feature", "left_semi").groupBy("role", "feature").agg(F.count("*").alias("n"))
+    # A null feature beside the others counts the examples, so that one pass gives both.
+    marked = F.array_append(F.col("features"), F.lit(None).cast("string"))
+    by = examples.select("role", F.explode(marked).alias("feature")).groupBy("role", "feature").agg(F.count("*").alias("n"))
+    counts = by.where("feature IS NOT NULL")
+    if min_count > 1:
+        seen = counts.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("feature")
+        counts = counts.join(seen, "feature", "left_semi")
     totals = counts.groupBy("role").agg(F.sum("n").alias("total"))
-    classes = examples.groupBy("role").agg(F.count("*").alias("n_docs")).join(totals, "role", "left")
+    classes = by.where("feature IS NULL").select("role", F.col("n").alias("n_docs")).join(totals, "role", "left")
     return classes, counts
 
 

@@ -15,7 +15,9 @@ PAGE_W, PAGE_H = 612.0, 792.0
 
 def blocks_from_documents(docs: DataFrame) -> DataFrame:
     """doc_id, page_number, seq, block_id, text, x, y, w, h, font_size, font_name, column_hint, role."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "raw")).withColumn("text", normalize_text(F.col("raw"))).where("text <> ''")
+    # Lines are normalized in the array, so that the filter after it reads a column and does not work it out again.
+    texts = F.transform(F.split("text", "\n"), normalize_text)
+    lines = docs.select("doc_id", F.posexplode(texts).alias("seq", "text")).where("text <> ''")
     n = F.length("text")
     at = F.col("seq")
     size = F.when((at % 7 == 0) & (n <= 60), 24.0).when((at % 5 == 0) & (n <= 80), 17.0).otherwise(12.0)
