@@ -86,31 +86,89 @@ def simple_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("reading_order", F.row_number().over(w) - 1)
 
 
+def _or_null(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def reading_units(nodes: DataFrame) -> DataFrame:
+    """Units that are read as one, one row each: doc_id, page_number, unit, phase, column, top, left, priority, sort_key, members.
+
+    Headers have phase 0, footers 2, all else 1. Cells of one table and items of one list are a unit; every other node is
+    one of its own. A unit's column is the first hint of its members; without one it is the nearest of the bands that
+    the page's left edges form, or the first column where other units have hints. Columns that ``nodes`` does not have
+    count as null: artifact_type, table_id, table_row_index, table_column_index, list_group_id, list_item_index.
+    """
+    kind = F.lower(_or_null(nodes, "artifact_type", "string"))
+    table, group = _or_null(nodes, "table_id", "string"), _or_null(nodes, "list_group_id", "string")
+    row, col, item = (_or_null(nodes, c, "int") for c in ("table_row_index", "table_column_index", "list_item_index"))
+    in_table = F.col("role").isin("Table", "TH", "TD") | table.isNotNull() | row.isNotNull() | col.isNotNull()
+    in_list = (F.col("role") == "LI") | group.isNotNull()
+    phase = F.when(kind == "header", 0).when(kind == "footer", 2).otherwise(1)
+    unit = (
+        F.when(phase != 1, F.concat(F.lit("node:"), "block_id"))
+        .when(in_table, F.concat(F.lit("table:"), F.coalesce(table, F.concat(F.col("page_number").cast("string"), F.lit(":"), "block_id"))))
+        .when(in_list, F.concat(F.lit("list:"), F.coalesce(group, F.col("block_id")))).otherwise(F.concat(F.lit("node:"), "block_id"))
+    )
+    role = F.when(F.col("role").rlike("^H[0-9]$"), 0).when(F.col("role") == "LI", 1).when(F.col("role") == "P", 2).when(F.col("role").isin("TH", "TD"), 3).when(F.col("role") == "Table", 4).otherwise(5)
+    priority = F.when(phase != 1, 0).when(unit.startswith("table:"), 3).when(unit.startswith("list:"), 1).otherwise(role)
+    first, second = F.when(unit.startswith("table:"), row).otherwise(item), F.when(unit.startswith("table:"), col)
+    n = nodes.withColumns({
+        "phase": phase, "unit": F.when(unit.startswith("node:"), F.concat(unit, F.lit(":"), "seq")).otherwise(unit), "priority": priority,
+        "rank": F.struct(F.coalesce(first, F.lit(0)), F.coalesce(second, F.lit(0)), "y", "x", "block_id", "seq"), "sort_key": F.when(unit.startswith("node:"), F.col("block_id")).otherwise(unit),
+        "hint": F.when(phase == 1, F.col("column_hint")),
+    })
+    member = F.struct("rank", "hint", "block_id", "seq")
+    units = n.groupBy(*PAGE, "phase", "unit", "priority", "sort_key").agg(
+        F.min("y").alias("top"), F.min("x").alias("left"), F.array_sort(F.collect_list(member)).alias("members"), F.min("seq").alias("first_seq"))
+    hint = F.get(F.filter(F.transform("members", lambda m: m["hint"]), lambda h: h.isNotNull()), F.lit(0))
+    hints = F.array_sort(F.collect_set("hint")).alias("hints")
+    # Bands of left edges, of all nodes between headers and footers.
+    body = n.where("phase = 1")
+    bands = column_bands(body.select(*PAGE, "x", "seq")).groupBy(*PAGE, "band").agg(((F.min("x") + F.max("x")) / 2).alias("middle"))
+    bands = bands.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("band", "middle"))).alias("bands"))
+    pages = bands.join(body.groupBy(*PAGE).agg(hints), list(PAGE))
+    away = lambda b: F.abs(F.col("left") - b["middle"])
+    nearest = F.aggregate("bands", F.get("bands", F.lit(0)), lambda best, b: F.when(away(b) < away(best), b).otherwise(best))["band"]
+    other = F.when(F.size("hints") > 0, F.when(F.size("hints") > 1, F.col("hints")[0]).otherwise(0)).when(F.size("bands") > 1, nearest).otherwise(0)
+    units = units.join(pages, list(PAGE), "left")
+    return units.withColumn("column", F.when(F.col("phase") != 1, 0).otherwise(F.coalesce(hint, other, F.lit(0))).cast("int")).drop("bands", "hints")
+
+
 def reading_order(nodes: DataFrame, epsilon: float = 6.0) -> DataFrame:
     """(doc_id, page_number, block_id, reading_order): page, phase, column; then left edges on one visual line, else tops.
 
-    Two tops nearer than ``epsilon`` are on one line. The relation is not transitive, so this runs a comparison
-    sort over each page in input order (seq) rather than a sort by keys.
+    Two tops nearer than ``epsilon`` are on one line. That relation is not transitive, so pages with tops that are near
+    but not equal take a comparison sort of their units, in the order of the nodes; on all other pages the order is one
+    by keys, and Spark sorts them.
     """
-    rank = {"H1": 0, "H2": 0, "H3": 0, "LI": 1, "P": 2, "TH": 3, "TD": 3, "Table": 4}
+    units = reading_units(nodes)
+    w = W.partitionBy(*PAGE, "phase", "column").orderBy("top")
+    gap = F.col("top") - F.lag("top").over(w)
+    units = units.withColumn("step", F.coalesce((gap > 0) & (gap < epsilon), F.lit(False))).withColumn("near", F.max("step").over(W.partitionBy(*PAGE)))
 
     def compare(a: tuple, b: tuple) -> float:
-        if a[0] != b[0]:
-            return a[0] - b[0]
-        if abs(a[1] - b[1]) >= epsilon:
-            return a[1] - b[1]
-        return (a[2:] > b[2:]) - (a[2:] < b[2:])
+        if a[:2] != b[:2]:
+            return -1 if a[:2] < b[:2] else 1
+        if abs(a[2] - b[2]) >= epsilon:
+            return a[2] - b[2]
+        return (a[3:] > b[3:]) - (a[3:] < b[3:])
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        keys = list(zip(pdf["column_hint"], pdf["y"], pdf["x"], [rank.get(r, 5) for r in pdf["role"]], pdf["block_id"], range(len(pdf))))
+        pdf = pdf.sort_values(["phase", "first_seq"], kind="stable")
+        keys = list(zip(pdf["phase"], pdf["column"], pdf["top"], pdf["left"], pdf["priority"], pdf["sort_key"], range(len(pdf))))
         at = [k[-1] for k in sorted(keys, key=cmp_to_key(compare))]
-        out = pdf.iloc[at][[*PAGE, "block_id"]].copy()
-        out["reading_order"] = range(len(out))
+        out = pdf.iloc[at][[*PAGE, "unit"]].copy()
+        out["rank"] = range(1, len(out) + 1)
         return out
 
     kinds = dict(nodes.dtypes)
-    return nodes.groupBy(*PAGE).applyInPandas(order, f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, block_id string, reading_order int")
+    keys = units.select(*PAGE, "unit", "phase", "column", "top", "left", "priority", "sort_key", "first_seq", "near")
+    sorted_ = keys.where("NOT near").withColumn("rank", F.row_number().over(W.partitionBy(*PAGE).orderBy("phase", "column", "top", "left", "priority", "sort_key", "first_seq"))).select(*PAGE, "unit", "rank")
+    compared = keys.where("near").groupBy(*PAGE).applyInPandas(order, f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, unit string, rank int")
+    ranks = sorted_.unionByName(compared)
+    rows = units.select(*PAGE, "unit", F.posexplode("members").alias("k", "m")).join(ranks, [*PAGE, "unit"])
+    at = F.row_number().over(W.partitionBy(*PAGE).orderBy("rank", "k")) - 1
+    return rows.select(*PAGE, F.col("m.block_id").alias("block_id"), at.alias("reading_order"))
 
 
 def inversions(nodes: DataFrame, epsilon: float = 6.0) -> DataFrame:

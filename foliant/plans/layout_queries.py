@@ -68,7 +68,7 @@ def simple_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return O.simple_order(_paired(spark, d)).select("doc_id", "block_id", F.col("reading_order").cast("long").alias("reading_order"))
 
 
-@LAYOUT.query("reading_order")
+@LAYOUT.query("reading_order", f"WITH {PAIRED} SELECT doc_id, page_number, block_id, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY column_hint, y, x, seq) - 1)::INT AS reading_order FROM paired")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Operators 106 to 108: the tolerant order, by comparison sort."""
     return O.reading_order(_paired(spark, d))
