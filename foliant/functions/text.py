@@ -159,3 +159,41 @@ def ocr_languages(value: Column) -> Column:
         return F.when(c.isin("eng", "en", "en-us", "english"), "eng").when(c.isin("spa", "es", "es-es", "spanish"), "spa").otherwise(c)
 
     return F.array_distinct(F.filter(F.transform(F.split(value, "[+,]"), name), lambda c: c != ""))
+
+
+# Expansions of abbreviations.
+ABBREVIATIONS = {
+    "W3C": "World Wide Web Consortium", "URL": "Uniform Resource Locator", "URI": "Uniform Resource Identifier", "HTML": "HyperText Markup Language", "HTTP": "HyperText Transfer Protocol",
+    "HTTPS": "HyperText Transfer Protocol Secure", "PDF": "Portable Document Format", "XML": "Extensible Markup Language", "JSON": "JavaScript Object Notation", "API": "Application Programming Interface",
+    "USA": "United States of America", "UK": "United Kingdom", "EU": "European Union", "UN": "United Nations", "NYC": "New York City", "ISO": "International Organization for Standardization",
+    "IEEE": "Institute of Electrical and Electronics Engineers", "NASA": "National Aeronautics and Space Administration", "FBI": "Federal Bureau of Investigation", "CEO": "Chief Executive Officer",
+    "CIO": "Chief Information Officer", "CFO": "Chief Financial Officer",
+}
+
+
+def abbreviation_spans(text: Column) -> Column:
+    """Array of (token, start, end, expansion) for the known abbreviations that stand alone, in code points, end exclusive."""
+    pattern = "(?<![A-Za-z0-9])[A-Z0-9]{2,6}(?![A-Za-z0-9])"
+    known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    tokens, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
+    sizes = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, v: s + F.length(v))
+    spans = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), (sizes(between, i + 1) + sizes(tokens, i)).alias("start"), (sizes(between, i + 1) + sizes(tokens, i + 1)).alias("end"), F.try_element_at(known, t).alias("expansion")))
+    return F.filter(spans, lambda s: s["expansion"].isNotNull())
+
+
+# Fixed value: families of fonts with letters of one width.
+MONOSPACE = (
+    "courier", "notosansmono", "consolas", "menlo", "source code pro", "sourcecodepro", "fira code", "firacode", "inconsolata", "roboto mono", "robotomono", "jetbrains mono", "jetbrainsmono", "ubuntu mono", "ubuntumono",
+    "liberation mono", "liberationmono",
+)
+
+
+def run_style(font: Column, weight: Column, style: Column) -> Column:
+    """Struct bold, italic, mono of a run of text, by its font's name or its own weight (a number or a word) and style."""
+    name = F.lower(F.coalesce(font, F.lit("")))
+    bold = (F.coalesce(weight.try_cast("double"), F.lit(0.0)) >= 600) | F.lower(F.coalesce(weight, F.lit(""))).contains("bold") | name.rlike("bold|black|heavy|semibold|demibold")
+    italic = F.lower(F.coalesce(style, F.lit(""))).rlike("italic|oblique") | name.rlike("italic|oblique")
+    mono = name.rlike(r"(^|[-_ ,+])mono(space)?([-_ ,+].*)?$")
+    for family in MONOSPACE:
+        mono = mono | name.contains(family)
+    return F.struct(bold.alias("bold"), italic.alias("italic"), mono.alias("mono"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.layout import PAGE, _or_null
+from foliant.functions.text import run_style
+from foliant.operators.layout import _or_null
 
 # What marks a legal filing, and mergers by preference for each rule with the rule's confidence.
 LEGAL = (
@@ -156,3 +157,19 @@ def overall_metrics(predictions: DataFrame) -> DataFrame:
     )
     n = F.greatest("n", F.lit(1))
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("macro_f1", "supported_macro_f1", "balanced_accuracy")], F.round(F.col("hits") / n, 6).alias("accuracy"), F.round(F.col("most") / n, 6).alias("baseline_accuracy"))
+
+
+def inline_runs(runs: DataFrame) -> DataFrame:
+    """Runs of a block (doc_id, block_id, seq, text, font_name, font_weight, font_style) that stand out: with start, end and inline_role.
+
+    Code is set in letters of one width; bold runs are strong and italic ones stressed, unless 90 % of the block's
+    characters are so.
+    """
+    block = W.partitionBy("doc_id", "block_id")
+    n = F.length(F.coalesce("text", F.lit("")))
+    r = runs.withColumn("s", run_style(F.col("font_name"), _or_null(runs, "font_weight", "string"), _or_null(runs, "font_style", "string"))).withColumn("n", n)
+    share = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).over(block) / F.nullif(F.sum("n").over(block), F.lit(0))
+    r = r.withColumn("bold", share("s.bold")).withColumn("italic", share("s.italic")).withColumn("end", F.sum("n").over(block.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    role = F.when(F.col("s.mono"), "Code").when(F.col("s.bold") & (F.col("bold") < 0.9), "Strong").when(F.col("s.italic") & (F.col("italic") < 0.9), "Em")
+    r = r.withColumn("inline_role", F.when(F.col("bold").isNotNull(), role)).where("inline_role IS NOT NULL")
+    return r.select("doc_id", "block_id", "seq", "text", (F.col("end") - F.col("n")).alias("start"), "end", "inline_role")
