@@ -67,7 +67,7 @@ def audit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         ("main-landmark", "error"): one(F.size(elements(h, "main")) != 1),
         ("single-h1", "error"): one(F.size(elements(h, "h1")) != 1),
         ("heading-order", "error"): skips,
-        ("image-alt", "error"): count(void_elements(h, "img"), lambda e: (F.btrim(attribute(e, "alt")) == "") & (attribute(e, "role") != "presentation") & (attribute(e, "data-artifact") != "true")),
+        ("image-alt", "error"): count(void_elements(h, "img"), lambda e: (F.btrim(attribute(e, "alt")) == "") & (attribute(e, "role") != "presentation") & (attribute(e, "data-artifact") != "true") & (attribute(e, "aria-hidden") != "true")),
         ("figure-caption", "warning"): count(elements(h, "figure"), lacks(r"(?i)<figcaption\b")),
         ("table-caption", "error"): count(elements(h, "table"), lacks(r"(?i)<caption\b")),
         ("table-headers", "error"): count(elements(h, "table"), lacks(r"(?i)<th\b")),

@@ -102,6 +102,11 @@ def candidate_score(confidence: Column, chars: Column, words: Column, blocks: Co
     return F.when((chars == 0) | (blocks == 0), F.lit(0.0)).otherwise(F.round(unit(total), 3))
 
 
+def final_score(score: Column, consensus: Column) -> Column:
+    """A candidate's score with what the other candidates of its page agree on, three decimals."""
+    return F.round(score * 0.82 + consensus * 0.18, 3)
+
+
 def iou(a: list[Column], b: list[Column]) -> Column:
     """Overlap over union of two boxes (x, y, w, h)."""
     w = F.greatest(F.lit(0.0), F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0]))

@@ -29,7 +29,7 @@ SELECT page_id, 'document-language' AS issue, 'error' AS severity, ({_ATTR(r"reg
 SELECT page_id, 'document-title', 'error', (coalesce(list_transform({_EL('title')}, lambda e: {_INNER})[1], '') = '')::INT FROM p UNION ALL
 SELECT page_id, 'main-landmark', 'error', (len({_EL('main')}) <> 1)::INT FROM p UNION ALL SELECT page_id, 'single-h1', 'error', (len({_EL('h1')}) <> 1)::INT FROM p UNION ALL
 SELECT page_id, 'heading-order', 'error', len(list_filter(generate_series(2, len(lv)), lambda i: lv[i] > lv[i - 1] + 1)) FROM l UNION ALL
-SELECT page_id, 'image-alt', 'error', len(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*>'), lambda e: {_ATTR('e', 'alt')} = '' AND {_ATTR('e', 'role')} <> 'presentation' AND {_ATTR('e', 'data-artifact')} <> 'true')) FROM p UNION ALL
+SELECT page_id, 'image-alt', 'error', len(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*>'), lambda e: {_ATTR('e', 'alt')} = '' AND {_ATTR('e', 'role')} <> 'presentation' AND {_ATTR('e', 'data-artifact')} <> 'true' AND {_ATTR('e', 'aria-hidden')} <> 'true')) FROM p UNION ALL
 SELECT page_id, 'figure-caption', 'warning', len(list_filter({_EL('figure')}, lambda e: NOT regexp_matches(e, '(?i)<figcaption\b'))) FROM p UNION ALL
 SELECT page_id, 'table-caption', 'error', len(list_filter({_EL('table')}, lambda e: NOT regexp_matches(e, '(?i)<caption\b'))) FROM p UNION ALL
 SELECT page_id, 'table-headers', 'error', len(list_filter({_EL('table')}, lambda e: NOT regexp_matches(e, '(?i)<th\b'))) FROM p UNION ALL

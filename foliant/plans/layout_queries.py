@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import layout as O
+from foliant.operators.tags import open_sections
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, blocks_from_documents
 from foliant.sources.tables import read_table
@@ -169,13 +170,8 @@ a AS (SELECT doc_id, seq, greatest(CASE WHEN coalesce(lv, 7) > 1 THEN l1 END, CA
 r AS (SELECT doc_id, seq, 0 AS depth FROM a WHERE parent IS NULL UNION ALL SELECT a.doc_id, a.seq, depth + 1 FROM a JOIN r ON a.doc_id = r.doc_id AND a.parent = r.seq)
 SELECT doc_id, depth, count(*) AS n_nodes FROM r GROUP BY ALL""")
 def section_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Operators 164, 189: nodes by depth of the section tree; headings nest two deep, so two joins reach the root."""
-    s = O.sections(_blocks(spark, d)).select("doc_id", "seq", "parent_seq")
-    up = s.select(F.col("doc_id").alias("d"), F.col("seq").alias("t"), F.col("parent_seq").alias("p"))
-    for below, above in (("parent_seq", "a_1"), ("a_1", "a_2")):
-        s = s.join(up.withColumnRenamed("p", above), (F.col("doc_id") == F.col("d")) & (F.col(below) == F.col("t")), "left").drop("d", "t")
-    depth = F.when(F.col("parent_seq").isNull(), 0).when(F.col("a_1").isNull(), 1).when(F.col("a_2").isNull(), 2).otherwise(3)
-    return s.groupBy("doc_id", depth.alias("depth")).agg(F.count("*").alias("n_nodes"))
+    """Operators 164, 189: nodes by depth of the section tree, at any of six levels."""
+    return open_sections(_blocks(spark, d)).groupBy("doc_id", F.size("sections").alias("depth")).agg(F.count("*").alias("n_nodes"))
 
 
 @LAYOUT.query("neighbour_nodes", f"WITH {BLOCKS_SQL} SELECT doc_id, block_id, lag(role) OVER o AS previous_role, lead(role) OVER o AS next_role, round(abs(y - lag(y + h) OVER o), 6) AS previous_gap FROM blocks WINDOW o AS (PARTITION BY doc_id ORDER BY page_number, seq)")

@@ -131,20 +131,9 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("workload").pivot("s", names).count().na.fill(0, names)
 
 
-@REPORTS.query("batch_status", f"""WITH j AS (SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN {_STATUS_SQL} END AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 3 > 0), b AS (SELECT c_custkey, count(s) AS total, count(*) FILTER (s = 'queued') AS q, count(*) FILTER (s = 'running') AS r, count(*) FILTER (s = 'failed') AS f, count(*) FILTER (s = 'completed') AS c FROM j GROUP BY 1)
-SELECT CASE WHEN total = 0 THEN 'empty' WHEN q > 0 OR r > 0 THEN 'processing' WHEN f > 0 AND c > 0 THEN 'completed_with_failures' WHEN f > 0 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n_batches, sum(total)::BIGINT AS n_jobs FROM b GROUP BY 1""")
-def batch_status(spark: SparkSession, d: str) -> DataFrame:
-    """Operators 58, 69: batches with the status of their jobs."""
-    o = t(spark, d, "orders").where("o_orderkey % 3 > 0").select("o_custkey", _status().alias("s"))
-    by = o.groupBy("o_custkey").pivot("s", ["queued", "running", "completed", "failed"]).count()
-    b = t(spark, d, "customer").select("c_custkey").join(by, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["queued", "running", "completed", "failed"])
-    b = b.withColumn("total", F.col("queued") + F.col("running") + F.col("completed") + F.col("failed"))
-    return b.groupBy(S.batch_status(*[F.col(c) for c in ("total", "queued", "running", "failed", "completed")], F.lit(0)).alias("status")).agg(F.count("*").alias("n_batches"), F.sum("total").alias("n_jobs"))
-
-
-@REPORTS.query("batch_status_all_jobs", f"""WITH j AS (SELECT c_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'missing' WHEN o_orderkey IS NOT NULL THEN {_STATUS_SQL} END AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey), b AS (SELECT c_custkey, count(s) AS total, count(*) FILTER (s = 'queued') AS q, count(*) FILTER (s = 'running') AS r, count(*) FILTER (s = 'failed') AS f, count(*) FILTER (s = 'completed') AS c, count(*) FILTER (s = 'missing') AS m FROM j GROUP BY 1)
+@REPORTS.query("batch_status", f"""WITH j AS (SELECT c_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'missing' WHEN o_orderkey IS NOT NULL THEN {_STATUS_SQL} END AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey), b AS (SELECT c_custkey, count(s) AS total, count(*) FILTER (s = 'queued') AS q, count(*) FILTER (s = 'running') AS r, count(*) FILTER (s = 'failed') AS f, count(*) FILTER (s = 'completed') AS c, count(*) FILTER (s = 'missing') AS m FROM j GROUP BY 1)
 SELECT CASE WHEN total = 0 THEN 'empty' WHEN q > 0 OR r > 0 THEN 'processing' WHEN f > 0 AND c > 0 THEN 'completed_with_failures' WHEN f > 0 THEN 'failed' WHEN m > 0 THEN 'incomplete' ELSE 'completed' END AS status, count(*) AS n_batches, sum(total)::BIGINT AS n_jobs, sum(m)::BIGINT AS n_missing FROM b GROUP BY 1""")
-def batch_status_all_jobs(spark: SparkSession, d: str) -> DataFrame:
+def batch_status(spark: SparkSession, d: str) -> DataFrame:
     """Operators 58, 69: batches with the status of all their jobs; one job in three is missing from the queue and counts in the total."""
     names = ["queued", "running", "completed", "failed", "missing"]
     o = t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "missing").otherwise(_status()).alias("s"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import language as L
 from foliant.functions import text as T
+from foliant.operators.pages import bad_sources, best_of, needs_recognition, sampled_operators
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, JS_SPACE, NORM, PAGE_H, PAGE_W, blocks_from_documents
 from foliant.sources.tables import read_table
@@ -81,6 +84,13 @@ def script_profile(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("c.latin").cast("long").alias("latin"), F.col("c.other").cast("long").alias("other"), "s.script", F.round("s.ratio", 6).alias("ratio"))
 
 
+@TEXT.query("script_samples", f"""WITH {BLOCKS_SQL}, o AS (SELECT doc_id, seq, text, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY doc_id) // 20) AS st FROM blocks),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM o WHERE i % st = 0) SELECT doc_id, string_agg(substr(text, 1, 40), ' ' ORDER BY seq) AS sample FROM k WHERE k <= 20 GROUP BY doc_id""")
+def script_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 35: the sample of a document's operators by which its script is told; blocks as operators, 20 of them."""
+    return sampled_operators(_blocks(spark, d), 20, 40)
+
+
 @TEXT.query("profile_route", f"""WITH {BLOCKS_SQL}, o AS (SELECT doc_id, count(*) / count(DISTINCT page_number)::DOUBLE AS ops FROM blocks GROUP BY doc_id)
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND (doc_id % 8 = 0 OR ops <= 200) THEN 'forms-heavy' WHEN doc_id % 3 = 0 THEN 'scientific' ELSE 'default' END AS profile,
  CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN 0.95 WHEN doc_id % 4 = 0 AND ops <= 200 THEN 0.75 WHEN doc_id % 3 = 0 THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence, round(ops, 6) AS ops_per_page FROM o""")
@@ -106,7 +116,7 @@ def page_text_summary(spark: SparkSession, d: str) -> DataFrame:
     """Operators 14, 15: text on a page and whether it is too little."""
     cover = F.sum(F.col("w") * F.col("h")) / (PAGE_W * PAGE_H)
     rows = _blocks(spark, d).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_blocks"), F.sum(F.length(T.without_space(F.col("text")))).alias("n_chars"), cover.alias("cover"))
-    sparse = (F.col("n_blocks") <= 1) | (F.col("n_chars") <= 24) | (F.col("cover") <= 0.002)
+    sparse = needs_recognition("auto", F.col("n_blocks"), F.col("n_chars"), F.col("cover"))
     return rows.select("doc_id", "page_number", "n_blocks", "n_chars", F.round("cover", 6).alias("coverage"), sparse.alias("needs_ocr"))
 
 
@@ -126,23 +136,28 @@ q AS (SELECT doc_id, t, c, length(c) AS chars, CASE WHEN t = '' THEN 0 ELSE len(
  CASE WHEN c = '' THEN 0.0 ELSE len(regexp_extract_all(c, '[A-Za-z0-9]')) / length(c)::DOUBLE END AS alnum FROM r)"""
 
 
-@TEXT.query("recognition_score", f"""WITH {_RATIOS} SELECT doc_id, round(sus, 6) AS suspicious, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.42::DOUBLE * 0.9 + least(chars / 180.0::DOUBLE, 1.0) * 0.24 + least(words / 32.0::DOUBLE, 1.0) * 0.12 + 0.3::DOUBLE * 0.05 + alnum * 0.17 - sus * 0.12)), 3) AS score FROM q""")
+_REPEATS = """ch AS (SELECT doc_id, i, substr(c, i, 1) AS x FROM (SELECT doc_id, c, unnest(generate_series(1, length(c))) AS i FROM r)), g AS (SELECT doc_id, x, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS k FROM ch),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, x, k), rp AS (SELECT doc_id, sum(n) FILTER (n >= 3) AS m FROM n GROUP BY doc_id)"""
+
+
+@TEXT.query("recognition_score", f"""WITH {_RATIOS}, {_REPEATS}, z AS (SELECT q.*, CASE WHEN c = '' THEN 1.0 ELSE coalesce(m, 0) / length(c)::DOUBLE END AS rep FROM q LEFT JOIN rp USING (doc_id))
+SELECT doc_id, round(sus, 6) AS suspicious, CASE WHEN chars = 0 THEN 0.0 ELSE round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.42::DOUBLE * 0.9 + least(chars / 180.0::DOUBLE, 1.0) * 0.24 + least(words / 32.0::DOUBLE, 1.0) * 0.12 + 0.3::DOUBLE * 0.05 + alnum * 0.17 - sus * 0.12 - rep * 0.08)), 3) END::DOUBLE AS score FROM z""")
 def recognition_score(spark: SparkSession, d: str) -> DataFrame:
-    """Operators 21, 22: score of a text as if recognized with confidence 90 in three blocks, without the repetition term."""
+    """Operators 21, 22: score of a text as if recognized with confidence 90 in three blocks."""
     t = T.normalize_text(F.col("text"))
     c = T.without_space(F.col("text"))
     words = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
     alnum = F.when(c == "", F.lit(0.0)).otherwise(F.regexp_count(c, F.lit("[A-Za-z0-9]")) / F.nullif(F.length(c), F.lit(0)))
     sus = T.suspicious_ratio(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.round(sus, 6).alias("suspicious"), T.candidate_score(F.lit(90.0), F.length(c), words, F.lit(3), alnum, sus, F.lit(0.0)).alias("score"))
+    return _docs(spark, d).select("doc_id", F.round(sus, 6).alias("suspicious"), T.candidate_score(F.lit(90.0), F.length(c), words, F.lit(3), alnum, sus, T.repeated_ratio(F.col("text"))).alias("score"))
 
 
-@TEXT.query("repeated_ratio", r"""WITH r AS (SELECT doc_id, regexp_replace(substr(text, 1, 400), '[\s]+', '', 'g') AS c FROM documents), ch AS (SELECT doc_id, c, i, substr(c, i, 1) AS x FROM (SELECT doc_id, c, unnest(generate_series(1, length(c))) AS i FROM r)),
+@TEXT.query("repeated_ratio", r"""WITH r AS (SELECT doc_id, regexp_replace(text, '[\s]+', '', 'g') AS c FROM documents), ch AS (SELECT doc_id, c, i, substr(c, i, 1) AS x FROM (SELECT doc_id, c, unnest(generate_series(1, length(c))) AS i FROM r)),
 g AS (SELECT doc_id, c, i, x, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS k FROM ch), n AS (SELECT doc_id, c, x, k, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, round(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) / length(c)::DOUBLE, 6) AS repeated FROM n GROUP BY doc_id, c""")
 def repeated_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 22 on the head of each text, which is what this query is about: runs of one character."""
-    return _docs(spark, d).select("doc_id", F.round(T.repeated_ratio(F.substring("text", 1, 400)), 6).alias("repeated"))
+    """Operator 22: share of a text in runs of one character."""
+    return _docs(spark, d).select("doc_id", F.round(T.repeated_ratio(F.col("text")), 6).alias("repeated"))
 
 
 _BG = "CASE WHEN %s = '' THEN []::VARCHAR[] ELSE list_distinct(list_transform(generate_series(1, greatest(length(%s) - 1, 1)), lambda i: substr(%s, i, 2))) END"
@@ -150,21 +165,33 @@ _BG = "CASE WHEN %s = '' THEN []::VARCHAR[] ELSE list_distinct(list_transform(ge
 
 @TEXT.query("candidate_consensus", rf"""WITH c AS (SELECT item_id, trim(regexp_replace(lower({NORM % 'text'}), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark), b AS (SELECT item_id, item_id // 4 AS page, {_BG % ('t', 't', 't')} AS s FROM c),
 p AS (SELECT a.item_id, avg(2.0::DOUBLE * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s))) AS consensus FROM b a JOIN b ON a.page = b.page AND a.item_id <> b.item_id GROUP BY a.item_id)
-SELECT b.item_id, b.page, round(coalesce(consensus, 1), 3)::DOUBLE AS consensus, len(s)::BIGINT AS n_bigrams FROM b LEFT JOIN p USING (item_id)""")
+SELECT b.item_id, b.page, round(coalesce(consensus, 1), 3)::DOUBLE AS consensus, len(s)::BIGINT AS n_bigrams, round((len(s) % 100) / 100.0::DOUBLE * 0.82::DOUBLE + round(coalesce(consensus, 1), 3) * 0.18::DOUBLE, 3)::DOUBLE AS final FROM b LEFT JOIN p USING (item_id)""")
 def candidate_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Operators 23, 24: mean similarity of a candidate to the other candidates of its page."""
+    """Operators 23, 24: mean similarity of a candidate to the other candidates of its page, and the final score with it."""
     rows = read_table(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("page"), T.bigrams(F.col("text")).alias("s"))
     peer = rows.select(F.col("item_id").alias("peer"), F.col("page").alias("p"), F.col("s").alias("ps"))
     pairs = rows.join(peer, (F.col("page") == F.col("p")) & (F.col("item_id") != F.col("peer"))).groupBy("item_id").agg(F.avg(T.dice(F.col("s"), F.col("ps"))).alias("consensus"))
-    return rows.join(pairs, "item_id", "left").select("item_id", "page", F.round(F.coalesce("consensus", F.lit(1.0)), 3).alias("consensus"), F.size("s").cast("long").alias("n_bigrams"))
+    return rows.join(pairs, "item_id", "left").select("item_id", "page", F.round(F.coalesce("consensus", F.lit(1.0)), 3).alias("consensus"), F.size("s").cast("long").alias("n_bigrams")).withColumn("final", T.final_score(F.col("n_bigrams") % 100 / 100, F.col("consensus")))
 
 
-@TEXT.query("best_candidate", """SELECT page, arg_max(item_id, (n, -item_id)) AS item_id, max(n) AS n_chars FROM (SELECT item_id, item_id // 4 AS page, length(text)::BIGINT AS n FROM benchmark) GROUP BY page""")
+@TEXT.query("best_candidate", """WITH c AS (SELECT item_id, item_id // 4 AS page, item_id % 3 AS final, item_id % 2 AS score, length(text) AS chars, len(string_split(text, ' ')) AS words, item_id % 5 AS sure FROM benchmark)
+SELECT page, item_id FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY CASE WHEN final = 0 THEN score ELSE final END DESC, score DESC, chars DESC, words DESC, sure DESC, item_id) = 1""")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 25: the best candidate of a page by several keys, here characters, then order."""
-    rows = read_table(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("page"), F.length("text").cast("long").alias("n_chars"))
-    best = rows.groupBy("page").agg(F.max_by("item_id", F.struct("n_chars", -F.col("item_id"))).alias("item_id"), F.max("n_chars").alias("n_chars"))
-    return best.select("page", "item_id", "n_chars")
+    """Operator 25: the best candidate of a page by final score, score, characters, words and confidence, then order."""
+    i = F.col("item_id")
+    rows = read_table(spark, d, "benchmark").select(
+        "item_id", F.floor(i / 4).alias("page"), (i % 3).alias("final"), (i % 2).alias("score"), F.length("text").alias("chars"), F.size(F.split("text", " ")).alias("words"), (i % 5).alias("confidence"), i.alias("seq"),
+    )
+    return best_of(rows, "page").select("page", "item_id")
+
+
+@TEXT.query("bad_source_pages", f"""WITH {BLOCKS_SQL}, tk AS (SELECT doc_id, page_number, unnest(list_filter(regexp_split_to_array(text, '[\\s]+'), lambda t: length(t) >= 2)) AS t FROM blocks),
+g AS (SELECT doc_id, page_number, count(*) AS n, count(*) FILTER ((length(t) >= 4 AND replace(t, substr(t, 1, 1), '') = '') OR length(regexp_replace(t, '[a-zA-Z0-9]', '', 'g')) > 0.5 * length(t) OR regexp_matches(t, '(_[a-zA-Z]{{1,3}}){{2,}}')) AS bad FROM tk GROUP BY ALL),
+f AS (SELECT doc_id, page_number, count(*) AS n_blocks, bool_or(regexp_matches(text, '(_[a-zA-Z]{{1,3}}){{3,}}') OR regexp_matches(text, '({"|".join(re.escape(c) + "{16}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.,;:!?*#$%&|<>= /-")})')) AS scanned FROM blocks GROUP BY ALL)
+SELECT doc_id, page_number, scanned OR (n_blocks >= 3 AND coalesce(bad, 0) >= 0.3 * coalesce(n, 0) AND coalesce(n, 0) > 0) AS bad_source FROM f LEFT JOIN g USING (doc_id, page_number)""")
+def bad_source_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 16, 17: pages whose own text is not to be trusted: fonts and traces of scans, or 30 % failed tokens on three blocks or more."""
+    return bad_sources(_blocks(spark, d))
 
 
 _SSN = """p AS (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE regexp_matches(text, '[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}')),

@@ -9,14 +9,14 @@ DIR = "/root/testdata/sf0.001"
 
 
 def test_batches_count_every_job(spark):
-    r = REGISTRY.queries["batch_status_all_jobs"](spark, DIR).agg(F.sum("n_jobs"), F.sum("n_missing"), F.sum("n_batches")).first()
+    r = REGISTRY.queries["batch_status"](spark, DIR).agg(F.sum("n_jobs"), F.sum("n_missing"), F.sum("n_batches")).first()
     orders = spark.read.parquet(f"{DIR}/orders.parquet")
     assert tuple(r) == (orders.count(), orders.where("o_orderkey % 3 = 0").count(), spark.read.parquet(f"{DIR}/customer.parquet").count())
 
 
 def test_bands_of_later_pages_count(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(["line"] * 160)), (2, "one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n for r in REGISTRY.queries["band_overlaps_all_pages"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n for r in REGISTRY.queries["band_overlaps"](spark, str(tmp_path)).collect()}
     y = [72 + 14 * (k % 50) + 2 * (k % 9 == 0) for k in range(160)]
     assert got == {1: sum((v < 100 and v + 12 > 60) or (v < 780 and v + 12 > 740) for v in y), 2: 1}
 
