@@ -13,7 +13,10 @@ from statistics import fmean, median
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.operators.layout import PAGE
 
 NUMERIC = re.compile(r"[0-9$£€¥%]")
@@ -140,6 +143,20 @@ class Band:
             and (self.header or numbers) and (c > 2 or self.header)
         )
 
+    @property
+    def loose(self) -> bool:
+        """Whether a band without any rules is a table: three fifths of its rows stable, headed or numeric throughout, and more than labels with values."""
+        n, c = len(self.stable), len(self.anchors)
+        if n < 2 or c < 2:
+            return False
+        span = max(self.anchors[-1] - self.anchors[0], max(r.span for r in self.rows))
+        numbers = c >= 4 and fmean(r.numeric for r in self.stable) >= 0.72
+        return sum(len(self.cells[r.number]) for r in self.stable) >= 4 and n / len(self.rows) >= 0.6 and span >= max(self.g.width * 0.14, 64) and (self.header or numbers) and (c > 2 or self.header)
+
+    @property
+    def loose_confidence(self) -> float:
+        return round(min(0.95, 0.72 + len(self.stable) * 0.03 + len(self.anchors) * 0.01 + (len(self.stable) / len(self.rows) - 0.6) * 0.1), 2)
+
     @property
     def confidence(self) -> float:
         return round(min(0.98, 0.88 + len(self.stable) * 0.02 + len(self.anchors) * 0.01), 2)
@@ -161,6 +178,39 @@ def page_bands(rows: list[Line], base: float, g: Grid) -> list[Band]:
     return [Band(b, base, g) for b in bands if len(b) > 1]
 
 
+def loose_bands(blocks: list, base: float, g: Grid) -> list[Band]:
+    """Bands of rows that line up without rules: consecutive rows that share two edges, a row with one above it that heads it, and wide single blocks beside them."""
+    short = [b for b in blocks if 0 < len(b.text) <= g.longest and b.h <= max(24, base * 2.4)]
+    found = running_clusters(short, lambda b: b.y + b.h / 2, max(g.row_tolerance, base * 0.9))
+    rows = [Line(sorted(items, key=lambda b: b.x), k) for k, items in enumerate(found)]
+    top, bottom = (lambda r: min(b.y for b in r.items)), (lambda r: max(b.y + b.h for b in r.items))
+    shared = lambda a, b: len(nearest_pairs([x.x for x in a.items], [x.x for x in b.items], max(12, g.width * 0.03, base * 1.2)))
+    near = max(22, base * 3.2)
+    several = [r for r in rows if len(r.items) > 1]
+    bands: list[list[Line]] = []
+    for r in several:
+        if bands and top(r) - bottom(bands[-1][-1]) <= near and shared(bands[-1][-1], r) >= 2:
+            bands[-1].append(r)
+        else:
+            bands.append([r])
+    bands = [b for b in bands if len(b) > 1]
+    taken = {r.number for b in bands for r in b}
+    for r in several:
+        if r.number not in taken:
+            above = [h for h in several if h.number != r.number and 0 <= top(r) - bottom(h) <= near and shared(h, r) >= 2]
+            if above and above[-1].number not in taken:
+                bands.append([above[-1], r])
+                taken |= {above[-1].number, r.number}
+    for band in bands:
+        high, low = min(map(top, band)), max(map(bottom, band))
+        for r in rows:
+            inside = top(r) >= high - base and bottom(r) <= low + base
+            if len(r.items) == 1 and r.span >= g.width * 0.14 and (inside or abs(bottom(r) - high) <= near or abs(top(r) - low) <= near):
+                band.append(r)
+        band.sort(key=top)
+    return [Band(b, base, g) for b in bands]
+
+
 OUT = "doc_id long, page_number int, block_id string, table_id string, table_role string, table_row int, table_column int, confidence double"
 
 
@@ -178,3 +228,66 @@ def text_grid_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return blocks.select(*PAGE, "seq", "block_id", "text", "x", "y", "w", "h", "font_size", "font_name").groupBy(*PAGE).applyInPandas(detect, OUT)
+
+
+_BLOCK = [*PAGE, "seq", "block_id", "text", "x", "y", "w", "h", "font_size", "font_name"]
+
+
+def borderless_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
+    """Like ``text_grid_tables``, for rows that merely line up; ids say borderless."""
+
+    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = list(pdf.sort_values("seq", kind="stable").itertuples(index=False))
+        base = median(b.font_size for b in items)
+        out = []
+        for k, band in enumerate((b for b in loose_bands(items, base, g) if b.loose), 1):
+            for i, row in enumerate(band.stable):
+                role = "header" if band.header and i == 0 else "cell"
+                out += [(b.doc_id, b.page_number, b.block_id, f"table:{b.page_number}:borderless:{k}", role, i, column, band.loose_confidence) for column, b in band.cells[row.number]]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    return blocks.select(*_BLOCK).groupBy(*PAGE).applyInPandas(detect, OUT)
+
+
+def ruled_table_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The columns of OUT, row_span and column_span for blocks in cells of ruled tables.
+
+    ``cells``: doc_id, page_number, table_id, row, col, row_span, column_span, confidence, block_ids. Rows from the first on
+    are headers while they are bold, labels rather than numbers, larger at the top, or at the top with a merged cell.
+    """
+    page = W.partitionBy(*PAGE)
+    b = blocks.select(*PAGE, "block_id", "text", "font_size", "font_name", F.expr("percentile(font_size, 0.5)").over(page).alias("base"))
+    own = cells.select(*PAGE, "table_id", "row", "col", "confidence", F.coalesce("row_span", F.lit(1)).alias("row_span"), F.coalesce("column_span", F.lit(1)).alias("column_span"), F.explode_outer("block_ids").alias("block_id"))
+    j = own.join(b, [*PAGE, "block_id"], "left")
+    there = F.col("text").isNotNull()
+    share = lambda c: F.coalesce(F.avg(F.when(there, F.coalesce(c, F.lit(False)).cast("int"))), F.lit(0.0))
+    rows = j.groupBy(*PAGE, "table_id", "row").agg(
+        share(F.col("font_name").rlike("(?i)bold")).alias("bold"), share(T.looks_header(F.col("text"))).alias("labels"), share(T.looks_numeric(F.col("text"))).alias("numbers"),
+        F.avg("font_size").alias("size"), F.max("base").alias("base"), F.max((F.col("row_span") > 1) | (F.col("column_span") > 1)).alias("merged"),
+    )
+    first = F.col("row") == 0
+    larger = F.coalesce("size", F.col("base")) >= F.col("base") * 1.04
+    heads = (first & F.col("merged")) | (F.col("bold") >= 0.6) | ((F.col("labels") >= 0.75) & (F.col("numbers") <= 0.5)) | (first & (F.col("labels") >= 0.6) & F.coalesce(larger, F.lit(False)))
+    w = W.partitionBy(*PAGE, "table_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("head", F.min(heads).over(w)).select(*PAGE, "table_id", "row", "head")
+    out = j.where(there).join(rows, [*PAGE, "table_id", "row"])
+    return out.select(*PAGE, "block_id", "table_id", F.when(F.col("head"), "header").otherwise("cell").alias("table_role"), F.col("row").alias("table_row"), F.col("col").alias("table_column"), "confidence", "row_span", "column_span")
+
+
+def detected_tables(blocks: DataFrame, cells: DataFrame | None = None, g: Grid = Grid()) -> DataFrame:
+    """The columns of OUT and method: ruled tables first, then text grids among the rest, then what lines up without rules; a block is in one table."""
+    names = [c.split()[0] for c in OUT.split(", ")]
+    key = [*PAGE, "block_id"]
+    found, rest = [], blocks
+    if cells is not None:
+        ruled = ruled_table_cells(cells, blocks).select(*names).dropDuplicates(key)
+        found.append(ruled.withColumn("method", F.lit("vector-grid")))
+        rest = rest.join(ruled.select(*key), key, "left_anti")
+    for detect, method in ((text_grid_tables, "text-grid"), (borderless_tables, "borderless-alignment")):
+        some = detect(rest, g)
+        found.append(some.withColumn("method", F.lit(method)))
+        rest = rest.join(some.select(*key), key, "left_anti")
+    out = found[0]
+    for some in found[1:]:
+        out = out.unionByName(some)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import features, findings, fonts, tags
+from foliant.operators import features, findings, fonts, tables, tags
 from foliant.plans.model_queries import _blocks, _values
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL
@@ -166,3 +166,35 @@ def sampled_documents(spark: SparkSession, d: str) -> DataFrame:
     """Operator 174: a random sample of 25 of the documents in some languages; the draw is a hash of the id and a seed."""
     docs = read_table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
     return docs.orderBy(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":17")), 256), "doc_id").limit(25).select("doc_id", "lang")
+
+
+_BOX = "doc_id long, page_number int, seq int, block_id string, text string, x double, y double, w double, h double, font_size double, font_name string"
+
+
+def _grid(doc: int, font: str, top: float, rows: list[str], columns: tuple[float, ...] = (72.0, 200.0, 330.0), step: float = 18.0, head: str = "Helvetica-Bold") -> list[tuple]:
+    """Blocks of lines of cells that | parts, the first line in the font ``head``."""
+    return [
+        (doc, 1, 10 * r + c, f"b{10 * r + c}", t, columns[c], top + step * r, 7.0 * len(t), 12.0, 10.0, head if r == 0 else font) for r, line in enumerate(rows) for c, t in enumerate(line.split("|"))
+    ]
+
+
+#: A wide grid; a tight one, whose blocks stand without real gaps; labels with values, which are no table; ruled cells.
+BLOCKS = [
+    *_grid(1, "Helvetica", 100.0, ["Name|Size|Cost", "apples|12|3.50", "pears|7|1.25"]), *_grid(2, "Helvetica", 100.0, ["alpha|betas|gamma", "aaaaa|bbbbb|ccccc", "ddddd|eeeee|fffff"], (72.0, 117.0, 162.0)),
+    *_grid(3, "Helvetica", 100.0, ["Name:|Jo", "Place:|Rome"], (72.0, 300.0), head="Helvetica"), *_grid(4, "Helvetica", 100.0, ["Total|x|y", "one|1|2", "two|3|4"], head="Helvetica"),
+]
+_CELL = "doc_id long, page_number int, table_id string, row int, col int, row_span int, column_span int, confidence double, block_ids array<string>"
+RULED = [(4, 1, "ruled", r, c, None, 2 if (r, c) == (0, 0) else None, 0.9, [f"b{10 * r + c}"]) for r in range(3) for c in range(3)]
+
+
+def _cells_of(doc: int, table: str, method: str, confidence: float, n_rows: int = 3, n_cols: int = 3) -> list[tuple]:
+    return [(doc, f"b{10 * r + c}", table, "header" if r == 0 else "cell", r, c, confidence, method) for r in range(n_rows) for c in range(n_cols)]
+
+
+@TAGS.query("case_detected_tables", _values("doc_id, block_id, table_id, table_role, table_row, table_column, confidence, method", [
+    *_cells_of(1, "table:1:1", "text-grid", 0.97), *_cells_of(2, "table:1:borderless:1", "borderless-alignment", 0.88), *_cells_of(4, "ruled", "vector-grid", 0.9),
+]))
+def case_detected_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 43 to 45, 137, 139, 140, 142: the detectors one after another on the known pages."""
+    out = tables.detected_tables(spark.createDataFrame(BLOCKS, _BOX), spark.createDataFrame(RULED, _CELL))
+    return out.drop("page_number")
