@@ -149,3 +149,30 @@ def spurious_tables(cells: DataFrame) -> DataFrame:
     by = cells.groupBy("doc_id", "table_id").agg(F.countDistinct("row").alias("n_rows"), F.count("*").alias("n"), F.max((F.col("type") == "TH") | (F.length(t) >= 30) | tabular).alias("sure"), joined.alias("joined"))
     prose = (F.col("n_rows") <= 4) & (F.col("n") <= 16) & ~F.col("sure")
     return by.select("doc_id", "table_id", prose.alias("demoted"), F.when(prose, F.col("joined")).alias("text"))
+
+
+def header_links(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_id, cell_id, headers): the ids of the header cells of every data cell, by column first, each once.
+
+    ``cells``: doc_id, table_id, cell_id, type, section, row, col, row_span, column_span. A header in a head section, or one
+    without a section in the table's first row, heads its columns; any other heads its rows. Cells reach as far as their spans.
+    """
+    c = cells.withColumns({"row_end": F.col("row") + F.coalesce("row_span", F.lit(1)) - 1, "col_end": F.col("col") + F.coalesce("column_span", F.lit(1)) - 1})
+    top = F.min("row").over(W.partitionBy("doc_id", "table_id"))
+    over = (F.col("section") == "head") | (F.col("section").isNull() & (F.col("row") == top))
+    c = c.withColumn("over", F.coalesce(over, F.lit(False)))
+    th, td, key = c.where("type = 'TH'"), c.where("type = 'TD'"), ["doc_id", "table_id"]
+    spread = lambda df, a, b: df.withColumn("at", F.explode(F.sequence(a, b)))
+    links = None
+    for by_column, (a, b) in ((True, ("col", "col_end")), (False, ("row", "row_end"))):
+        heads = spread(th.where("over" if by_column else "NOT over"), a, b).select(*key, "at", F.struct(F.lit(0 if by_column else 1).alias("kind"), "row", "col", F.col("cell_id").alias("head")).alias("h"))
+        some = spread(td, a, b).join(heads, [*key, "at"]).select(*key, "cell_id", "h")
+        links = some if links is None else links.unionByName(some)
+    by = links.groupBy(*key, "cell_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    return td.select(*key, "cell_id").join(by, [*key, "cell_id"], "left").select(*key, "cell_id", F.coalesce(F.transform("hs", lambda h: h["head"]), F.array().cast("array<string>")).alias("headers"))
+
+
+def field_role(subtype: Column) -> Column:
+    """The role of a form field in print: radio button, check box, push button, else text."""
+    s = F.lower(F.coalesce(subtype, F.lit("")))
+    return F.when(s.contains("radio"), "RB").when(s.contains("check"), "CB").when(s.contains("push") | s.isin("btn", "button"), "PB").otherwise("TV")

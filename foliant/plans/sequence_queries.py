@@ -12,6 +12,7 @@ from foliant.operators import scores as S
 from foliant.operators import sequences as Q
 from foliant.operators import tables as B
 from foliant.plans.layout_queries import _PARAS
+from foliant.operators.lines import split_numeric
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, blocks_from_documents
 from foliant.sources.tables import read_table
@@ -88,11 +89,9 @@ SELECT o_orderkey, i::INT AS i, token, round(72 + 240.0::DOUBLE / length(t) * CA
 def numeric_segments(spark: SparkSession, d: str) -> DataFrame:
     """Operator 6: a segment of numbers split in place; each token starts where the tokens before it end."""
     t = F.concat("o_custkey", F.lit("  "), F.round("o_totalprice").cast("long"), F.lit(" "), F.col("o_orderkey") % 90, F.lit("%"))
-    s = read_table(spark, d, "orders").select("o_orderkey", t.alias("t")).withColumn("tokens", F.split("t", r"\s+"))
-    s = s.where(F.forall("tokens", T.is_numeric_token)).select("o_orderkey", "t", "tokens", F.posexplode("tokens").alias("k", "token"))
-    before = F.when(F.col("k") == 0, 0).when(F.col("k") == 1, F.locate("  ", F.col("t")) + 1).otherwise(F.length("t") - F.length("token"))
-    per = 240.0 / F.length("t")
-    return s.select("o_orderkey", (F.col("k") + 1).alias("i"), "token", F.round(72 + before * per, 6).alias("x"), F.round(F.greatest(F.length("token") * per, F.lit(1.0)), 6).alias("w"))
+    one = {"page_number": 1, "seq": 0, "part": 0, "x": 72.0, "y": 0.0, "w": 240.0, "h": 10.0, "font_size": 10.0, "font_name": "F", "rotation": 0, "mode": "horizontal", "has_eol": False, "forced": False}
+    s = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"), *[F.lit(v).alias(c) for c, v in one.items()])
+    return split_numeric(s).select(F.col("doc_id").alias("o_orderkey"), (F.col("part") + 1).alias("i"), F.col("text").alias("token"), F.round("x", 6).alias("x"), F.round("w", 6).alias("w"))
 
 
 @SEQUENCES.query("segment_geometry", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 ELSE 270 END AS rotation, CASE WHEN l_linenumber % 2 = 1 THEN 'vertical' ELSE 'horizontal' END AS mode, greatest(l_quantity, 1) AS font_size FROM lineitem""")

@@ -198,3 +198,27 @@ def case_detected_tables(spark: SparkSession, d: str) -> DataFrame:
     """Operators 43 to 45, 137, 139, 140, 142: the detectors one after another on the known pages."""
     out = tables.detected_tables(spark.createDataFrame(BLOCKS, _BOX), spark.createDataFrame(RULED, _CELL))
     return out.drop("page_number")
+
+
+_LINKED = "doc_id long, table_id string, cell_id string, type string, section string, row int, col int, row_span int, column_span int"
+#: A head of two rows with a merged cell, headers of rows, one of them over two rows; a table whose first row heads it.
+LINKED = [
+    (1, "t", "all", "TH", "head", 0, 0, 2, 1), (1, "t", "both", "TH", "head", 0, 1, 1, 2), (1, "t", "a", "TH", "head", 1, 1, None, None), (1, "t", "b", "TH", "head", 1, 2, None, None),
+    (1, "t", "r1", "TH", "body", 2, 0, 2, None), (1, "t", "x", "TD", "body", 2, 1, None, None), (1, "t", "y", "TD", "body", 2, 2, None, None), (1, "t", "z", "TD", "body", 3, 1, 1, 2),
+    (2, "u", "h", "TH", None, 0, 0, None, None), (2, "u", "v", "TD", None, 1, 0, None, None), (2, "u", "w", "TD", None, 1, 1, None, None),
+]
+
+
+@TAGS.query("case_header_links", _values("table_id, cell_id, headers", [("t", "x", "both a r1"), ("t", "y", "both b r1"), ("t", "z", "both a b r1"), ("u", "v", "h"), ("u", "w", "")]))
+def case_header_links(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 60, 162: data cells and their headers, by column and by row, spans spread out."""
+    return tags.header_links(spark.createDataFrame(LINKED, _LINKED)).select("table_id", "cell_id", F.array_join("headers", " ").alias("headers"))
+
+
+_FIELDS = [("Radio", "RB"), ("checkbox", "CB"), ("btn", "PB"), ("pushbutton", "PB"), ("Text", "TV"), (None, "TV"), ("Sig", "TV")]
+
+
+@TAGS.query("case_field_roles", _values("subtype, role", _FIELDS))
+def case_field_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 163: roles of form fields in print."""
+    return spark.createDataFrame([(s,) for s, _ in _FIELDS], "subtype string").select("subtype", tags.field_role(F.col("subtype")).alias("role"))
