@@ -403,6 +403,17 @@ def test_secrets_on_both_sides_of_a_sensitive_word(text, secret):
     assert [text[a:b] for a, b, _ in secrets.novel_spans(text, [])] == ([secret] if secret else [])
 
 
+def test_halves_that_differ_in_two_bits_share_an_anchor():
+    r = np.random.default_rng(3)
+    flips = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i))]
+    # Enough halves for every syndrome of the code and both values of the free bit.
+    for x in r.integers(0, 1 << 32, 400, dtype=np.uint64).astype(np.uint32):
+        others = (np.array(flips, np.uint64) ^ np.uint64(x)).astype(np.uint32)
+        row, anchor = simhash.anchors(others)
+        own = np.unique(anchor[row == 0])
+        assert len(own) <= 17 and np.unique(row[np.isin(anchor, own)]).tolist() == list(range(len(flips)))
+
+
 def test_planted_secrets_are_found_and_words_are_not(spark):
     import base64
     import uuid
