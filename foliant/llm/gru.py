@@ -209,7 +209,7 @@ class Gru:
                 a *= (1 / total)[:, None]
                 a[rows, k] -= 1
                 grads["c"] += own.T @ a
-                grads["cb"] += a.sum(axis=0)
+                grads["cb"] += np.ones(len(k), np.float32) @ a
                 np.matmul(a, up, out=back[at])
         head = np.flatnonzero(slot >= 0)
         head = head[np.argsort(cls[head].astype(np.uint16), kind="stable")]
@@ -318,13 +318,20 @@ class Gru:
         """Adam on the mean gradient."""
         self.t += 1
         fix = np.float32(self.l.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        mean = np.float32(1 / max(tokens, 1))
         for k, g in grads.items():
-            g = g * np.float32(1 / max(tokens, 1))
-            m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (g - m)
+            m, v, room = self.m[k], self.v[k], self._room(f"step {k}", *g.shape)
+            g *= mean
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=room)
             g *= g
-            v += np.float32(0.001) * (g - v)
-            self.p[k] = self.p[k] - fix * m / (np.sqrt(v) + np.float32(1e-6))
+            v *= np.float32(0.999)
+            v += np.multiply(g, np.float32(0.001), out=room)
+            np.sqrt(v, out=room)
+            room += np.float32(1e-6)
+            np.divide(m, room, out=room)
+            room *= fix
+            self.p[k] = np.subtract(self.p[k], room, out=g)
 
 
 def to_bytes(params: Params) -> bytes:

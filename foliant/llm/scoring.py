@@ -3,7 +3,7 @@
 Word counts of all training documents are summed by a shuffle of per-task tables. The most frequent words form a
 broadcast table of bounded size, by which every text is written once as a list of short numbers; other words of a
 document are shuffled to their counts. Training deals the numbers out to groups by a hash of the document, each group
-learns from common parameters in the order of that hash, and the results are averaged by tokens in the order of the
+learns from common parameters, long texts first and then in the order of that hash, and the results are averaged by tokens in the order of the
 groups, so that a model depends on the documents and not on the files that they stand in.
 """
 
@@ -158,7 +158,9 @@ def learn(train: DataFrame, n: int, kind: type, params: Params, p: Scoring) -> P
     groups = min(p.groups, max(1, round(n / p.rounds / p.group_tokens)))
     # Groups and the order within them follow from documents alone.
     h = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups * p.rounds).cast("long"))
-    train = train.select((h % p.rounds).cast("int").alias("round"), F.floor(h / p.rounds).cast("int").alias("g"), "text_hash", "numbers", "doc_id")
+    # Long texts come first, by their size, so that no lane still has one when the others have ended.
+    long = F.when(F.col("n") > 1024, F.floor(F.log2("n"))).otherwise(0)
+    train = train.select((h % p.rounds).cast("int").alias("round"), F.floor(h / p.rounds).cast("int").alias("g"), long.alias("long"), "text_hash", "numbers", "doc_id")
     schema = "g int, weight long, params binary"
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def learn(train: DataFrame, n: int, kind: type, params: Params, p: Scoring) -> P
             if seen := model.train(texts()):
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([to_bytes(model.p)], pa.binary())], names=["g", "weight", "params"])
 
-        dealt = train.where(F.col("round") == k).repartitionById(groups, F.col("g")).sortWithinPartitions("text_hash", F.col("doc_id").cast("string"))
+        dealt = train.where(F.col("round") == k).repartitionById(groups, F.col("g")).sortWithinPartitions(F.desc("long"), "text_hash", F.col("doc_id").cast("string"))
         parts = dealt.select("g", "numbers").mapInArrow(run, schema)
         some = parts.repartitionById(p.merge_tasks, F.col("g") % p.merge_tasks).sortWithinPartitions("g").mapInArrow(mean, schema)
         row = some.repartition(1).sortWithinPartitions("g").mapInArrow(mean, schema).first()
@@ -225,15 +227,14 @@ def score_documents(docs: DataFrame, p: Scoring = Scoring(), id_col: str = "doc_
     names = ["doc_id", "text_hash", "n", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def numbers() -> Iterator[np.ndarray]:
-            for b in batches:
-                kept.append(b.select([c for c in b.schema.names if c != "numbers"]))
-                for x in b.column("numbers").to_pylist():
-                    yield np.frombuffer(x, kind)
-
-        logs, at = Gru(layout, params.value).score(numbers()), 0
+        kept, texts = [], []
+        for b in batches:
+            kept.append(b.select([c for c in b.schema.names if c != "numbers"]))
+            texts += [np.frombuffer(x, kind) for x in b.column("numbers").to_pylist()]
+        # The longest first, so that the lanes end together; a partition's numbers take two bytes a token.
+        order = np.argsort([-len(x) for x in texts], kind="stable") if texts else np.zeros(0, np.int64)
+        logs, at = np.zeros(len(texts)), 0
+        logs[order] = Gru(layout, params.value).score(texts[i] for i in order.tolist())
         for b in kept:
             score = (logs[at : at + b.num_rows] + b.column("within").to_numpy()) / ln10
             at += b.num_rows
