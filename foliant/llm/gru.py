@@ -88,8 +88,10 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
             break
     lanes = np.arange(len(running))
     last = np.full(len(running), first, np.int32)
+    more_to_come = len(running) == layout.lanes
     while running:
-        size = min(layout.steps, max(len(seq) - at for _, seq, at in running)) if len(running) < layout.lanes else layout.steps
+        # Several windows are filled at a time, but for the last ones, out of which lanes should leave.
+        size = layout.steps * 4 if more_to_come else min(layout.steps, max(len(seq) - at for _, seq, at in running))
         shape = (len(running), size)
         ids, owner, start = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
         left = []
@@ -107,7 +109,7 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
                     break
                 more = next(source, None)
                 if more is None:
-                    state[1] = None
+                    state[1], more_to_come = None, False
                     break
                 state[:] = [*more, 0]
                 if filled == size:
@@ -117,8 +119,12 @@ def windows(seqs: Iterable[np.ndarray], layout: Layout) -> Iterator[Window]:
         ids, start, owner = (np.ascontiguousarray(a.T) for a in (ids, start, owner))
         before = np.concatenate([last[lanes][None], ids[:-1]])
         before[start] = first
-        last = ids[-1]
-        yield Window(ids, before, start, owner >= 0, owner, lanes)
+        last, on = ids[-1], owner >= 0
+        for a in range(0, size, layout.steps):
+            part = slice(a, a + layout.steps)
+            if on[part].any():
+                yield Window(ids[part], before[part], start[part], on[part], owner[part], lanes)
+                lanes = np.arange(len(running))
         running, lanes = [running[k] for k in left], np.array(left, np.int64)
 
 
