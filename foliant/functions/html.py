@@ -1,4 +1,4 @@
-"""Structural audit of HTML source by patterns, like the studio's: elements, attributes, issues, roles."""
+"""Structural audit of HTML source by patterns: elements, attributes, issues, roles."""
 
 from __future__ import annotations
 
