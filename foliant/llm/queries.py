@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, with production parameters, and their SQL."""
+"""The queries op1 to op13 over whole tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, filters, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
 from foliant.sources import read_table
 
 
@@ -133,6 +133,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), count("novel"), dense)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    return filters.audit_filters(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+low AS (SELECT text, min(doc_id) AS low FROM d GROUP BY text),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * len(regexp_extract_all(d.text, '[A-Z]')) > 10 * length(d.text), regexp_matches(d.text, '[#$%&*|]'), coalesce(low < d.doc_id, false)] AS bad
+  FROM d JOIN low USING (text) LEFT JOIN lab ON lab.doc_id = d.doc_id),
+m AS (SELECT part, bad, len(list_filter(bad, lambda x: x)) AS k, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM l a, l b, l c, l e, l g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+s AS (SELECT list_reduce(list_transform(o, lambda x: chr(64 + x::INT)), lambda x, y: x || y) AS filter_order, l.i AS step, o[l.i] AS own, o[1:l.i - 1] AS before FROM o, l),
+x AS (SELECT part, filter_order, step, n, good, toxic, k, bad[own] AS fails, len(list_filter(before, lambda j: bad[j])) > 0 AS earlier FROM m, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(k, 1)) FILTER (fails), 0)::BIGINT AS shapley FROM x GROUP BY part, filter_order, step
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -144,5 +168,6 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_filter_audit": OP11_SQL}
