@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, filters, mixing, paragraphs, quality, scoring, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, filters, mixing, paragraphs, quality, ranking, scoring, secrets, simhash, suffix, tokens
 from foliant.sources import read_table
 
 
@@ -157,6 +157,40 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT earli
 """
 
 
+def op13_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of every group of sale lines, with how many lines share their pair."""
+    lines = read_table(spark, sf_dir, "sale_lines")
+    tens, percent = ranking.pair_keys(F.col("quantity"), F.col("discount"))
+    group = {
+        "vendor_id": F.col("vendor_id"), "part": F.coalesce(F.col("item_id") % 5, F.lit(-1)),
+        "month": F.coalesce(100 * F.year("shipped_at") + F.month("shipped_at"), F.lit(-1)),
+    }
+    one = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    rows = lines.select(
+        *[F.when(one, -1).otherwise(c).cast("long").alias(n) for n, c in group.items()], tens.cast("long").alias("tens"), percent.cast("long").alias("percent"),
+        "sale_id", "line_no", "quantity", F.floor(100 * F.col("amount") + 0.5).cast("long").alias("amount_cents"),
+    )
+    p = ranking.Ranking(("vendor_id", "part", "month"), ("tens", "percent"), ("sale_id", "line_no", "quantity", "amount_cents"), at_most=2)
+    long = [F.col(c).cast("long").alias(c) for c in ("sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")]
+    return ranking.rank_ties(rows, p).select("vendor_id", "part", "month", "pos", F.col("pos").alias("place"), *long)
+
+
+#: The recursion is CRC-32 over the bytes of the decimal text, a bit a step.
+OP13_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL),
+crc AS (SELECT sale_id, 0 AS bit, xor(4294967295, ascii(sale_id::VARCHAR)::BIGINT) AS c FROM ids
+  UNION ALL SELECT sale_id, bit + 1, xor(xor(c >> 1, 3988292384 * (c & 1)), CASE WHEN (bit + 1) % 8 = 0 AND (bit + 1) // 8 < length(sale_id::VARCHAR) THEN ascii(substr(sale_id::VARCHAR, (bit + 1) // 8 + 1, 1))::BIGINT ELSE 0 END)
+  FROM crc WHERE bit < 8 * length(sale_id::VARCHAR)),
+one AS (SELECT sale_id FROM crc WHERE bit = 8 * length(sale_id::VARCHAR) AND xor(c, 4294967295) % 5 = 0),
+l AS (SELECT s.*, o.sale_id IS NOT NULL AS one, floor(quantity / 10) AS tens, floor(100 * discount + 0.5)::BIGINT AS percent, floor(100 * amount + 0.5)::BIGINT AS amount_cents FROM sale_lines s LEFT JOIN one o ON s.sale_id = o.sale_id),
+g AS (SELECT CASE WHEN one THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN one THEN -1 ELSE coalesce(item_id % 5, -1) END AS part, CASE WHEN one THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+  tens, percent, sale_id, line_no, quantity, amount_cents FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+  count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM g)
+SELECT vendor_id::BIGINT AS vendor_id, part::BIGINT AS part, month::BIGINT AS month, pos, pos AS place, sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, percent, amount_cents, tied FROM r WHERE pos <= 2
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -169,5 +203,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op13_ranking_ties": op13_ranking_ties,
 }
-ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_filter_audit": OP11_SQL}
+ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_ranking_ties": OP13_SQL}
