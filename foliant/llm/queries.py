@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, filters, mixing, paragraphs, quality, ranking, scoring, secrets, simhash, suffix, tokens
+from foliant.llm import chat, decontaminate, filters, mixing, paragraphs, quality, ranking, scoring, secrets, simhash, suffix, tokens, warc
 from foliant.sources import read_table
 
 
@@ -157,6 +157,26 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT earli
 """
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as records of archives, written and read back."""
+    folder = warc.temporary_folder(spark)
+    warc.write_warc(read_table(spark, sf_dir, "pages"), folder)
+    page = lambda c: warc.page_of(F.col(c)).cast("long")
+    records = warc.read_warc(spark, folder, warc.Reading(payloads=False))
+    warc.delete(spark, folder)
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "intact")
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, html, row_number() OVER w AS k, first_value(page_id) OVER w AS low FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST)),
+b AS (SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits FROM r)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_reduce(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(generate_series(1, 5), lambda j: substr(bits, (5 * i + j)::INT, 1)::INT), lambda a, x: 2 * a + x) + 1, 1)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN low END AS refers_to, CASE WHEN k = 1 THEN true END AS intact FROM b
+"""
+
+
 def op13_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two lines of every group of sale lines, with how many lines share their pair."""
     lines = read_table(spark, sf_dir, "sale_lines")
@@ -203,6 +223,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
     "op13_ranking_ties": op13_ranking_ties,
 }
-ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_ranking_ties": OP13_SQL}
+ORACLES = {"op6_quality_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL, "op13_ranking_ties": OP13_SQL}
