@@ -98,8 +98,11 @@ def category_results(scores: DataFrame) -> DataFrame:
 
 
 def overall_scores(scores: DataFrame, order: DataFrame) -> DataFrame:
-    """(id, total, wins): weighted means over all categories; the first document in ``order`` (id, seq) of the highest total wins."""
+    """(id, total, wins): weighted means over all categories; the first document in ``order`` (id, seq) of the highest total wins.
+
+    Scores are summed as decimals of nine digits, so that a total does not depend on the order of its categories.
+    """
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("category")]
-    totals = scores.groupBy("id").agg((F.sum(F.col("score") * weight) / F.sum(weight)).alias("total")).join(order, "id")
+    totals = scores.groupBy("id").agg((F.sum(F.round(F.col("score") * weight, 9).cast("decimal(20,9)")).cast("double") / F.sum(weight.cast("decimal(9,2)")).cast("double")).alias("total")).join(order, "id")
     first = totals.agg(F.max_by("id", F.struct("total", (-F.col("seq")).alias("s"))).alias("winner"))
     return totals.crossJoin(F.broadcast(first)).select("id", "total", (F.col("id") == F.col("winner")).alias("wins"))

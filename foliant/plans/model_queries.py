@@ -125,13 +125,13 @@ def report_winners(spark: SparkSession, d: str) -> DataFrame:
     return compare.category_results(s).select("category", "winner", F.array_join("tied", ",").alias("tied"))
 
 
-@MODELS.query("report_totals", f"""{_SCORES}, t AS (SELECT id, round(sum(score * CASE category WHEN 'pdfua-compliance' THEN 1.0::DOUBLE WHEN 'metadata-quality' THEN 0.6::DOUBLE WHEN 'structure-tree' THEN 0.9::DOUBLE WHEN 'font-health' THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END) / 4.0::DOUBLE, 6) AS total FROM c GROUP BY id)
+@MODELS.query("report_totals", f"""{_SCORES}, t AS (SELECT id, sum(round(score * CASE category WHEN 'pdfua-compliance' THEN 1.0::DOUBLE WHEN 'metadata-quality' THEN 0.6::DOUBLE WHEN 'structure-tree' THEN 0.9::DOUBLE WHEN 'font-health' THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END, 9)::DECIMAL(20, 9))::DOUBLE / 4.0::DOUBLE AS total FROM c GROUP BY id)
 SELECT id, total, id = (SELECT arg_max(id, (total, -id)) FROM t) AS wins FROM t""")
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
     """Operator 84: weighted totals and the overall winner, the first of equal ones."""
     r = _reports(spark, d)
     s = compare.category_scores(compare.document_metrics(r))
-    totals = compare.overall_scores(s, r.select("id", F.col("id").alias("seq"))).withColumn("total", F.round("total", 6))
+    totals = compare.overall_scores(s, r.select("id", F.col("id").alias("seq")))
     best = totals.agg(F.max_by("id", F.struct("total", (-F.col("id")).alias("s"))).alias("w"))
     return totals.crossJoin(F.broadcast(best)).select("id", "total", (F.col("id") == F.col("w")).alias("wins"))
 
