@@ -1,7 +1,7 @@
 """Tables in the text of a page: rows of short blocks whose left edges line up.
 
 Detection is sequential (bands of rows grow while the summary of the grown band stays sound), so one page is one
-group in pandas. A page holds some hundred blocks.
+group of rows in Python. A page holds some hundred blocks.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ import re
 from dataclasses import dataclass, field
 from statistics import fmean, median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.grouped import map_groups
 from foliant.operators.layout import PAGE
 
 NUMERIC = re.compile(r"[0-9$£€¥%]")
@@ -217,17 +217,16 @@ OUT = "doc_id long, page_number int, block_id string, table_id string, table_rol
 def text_grid_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
     """(doc_id, page_number, block_id, table_id, table_role, table_row, table_column, confidence) of cells in text-grid tables."""
 
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = list(pdf.sort_values("seq", kind="stable").itertuples(index=False))
+    def detect(items: list) -> list[tuple]:
         base = median(b.font_size for b in items)
         out = []
         for k, band in enumerate((b for b in page_bands(table_rows(items, base, g), base, g) if b.sure), 1):
             for i, row in enumerate(band.stable):
                 role = "header" if band.header and i == 0 else "cell"
                 out += [(b.doc_id, b.page_number, b.block_id, f"table:{b.page_number}:{k}", role, i, column, band.confidence) for column, b in band.cells[row.number]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        return out
 
-    return blocks.select(*PAGE, "seq", "block_id", "text", "x", "y", "w", "h", "font_size", "font_name").groupBy(*PAGE).applyInPandas(detect, OUT)
+    return map_groups(blocks.select(*_BLOCK), PAGE, ["seq"], detect, OUT)
 
 
 _BLOCK = [*PAGE, "seq", "block_id", "text", "x", "y", "w", "h", "font_size", "font_name"]
@@ -236,17 +235,16 @@ _BLOCK = [*PAGE, "seq", "block_id", "text", "x", "y", "w", "h", "font_size", "fo
 def borderless_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
     """Like ``text_grid_tables``, for rows that merely line up; ids say borderless."""
 
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = list(pdf.sort_values("seq", kind="stable").itertuples(index=False))
+    def detect(items: list) -> list[tuple]:
         base = median(b.font_size for b in items)
         out = []
         for k, band in enumerate((b for b in loose_bands(items, base, g) if b.loose), 1):
             for i, row in enumerate(band.stable):
                 role = "header" if band.header and i == 0 else "cell"
                 out += [(b.doc_id, b.page_number, b.block_id, f"table:{b.page_number}:borderless:{k}", role, i, column, band.loose_confidence) for column, b in band.cells[row.number]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        return out
 
-    return blocks.select(*_BLOCK).groupBy(*PAGE).applyInPandas(detect, OUT)
+    return map_groups(blocks.select(*_BLOCK), PAGE, ["seq"], detect, OUT)
 
 
 def ruled_table_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:

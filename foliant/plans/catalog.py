@@ -14,6 +14,7 @@ from foliant.plans.report_queries import REPORTS
 from foliant.plans.sequence_cases import CASES
 from foliant.plans.sequence_queries import SEQUENCES
 from foliant.plans.state_queries import STATE
+from foliant.plans.table_queries import TABLES
 from foliant.plans.tag_queries import TAGS
 from foliant.plans.text_queries import TEXT
 from foliant.sources.tables import read_table
@@ -31,6 +32,6 @@ def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
-for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, STATE, CASES):
+for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, TABLES, STATE, CASES):
     for _name, _query in _part.queries.items():
         REGISTRY.query(_name, _part.oracles.get(_name))(_query)
