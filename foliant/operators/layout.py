@@ -6,6 +6,7 @@ shuffle by page (or by document, where state crosses pages) serves the chain.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import cmp_to_key
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.grouped import map_groups
+
 PAGE = ("doc_id", "page_number")
 
 
@@ -336,15 +339,15 @@ def coalesce_segments(segments: DataFrame, keys: tuple[str, ...], gap: float = 1
     return runs.where(F.col("end") - F.col("start") >= least)
 
 
-def ruled_tables(segments: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Groups crossing horizontal and vertical rules of a page: (doc_id, page_number, segment_id, table_id).
+def crossing_rules(segments: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Adds table_id to rules: one for all horizontal and vertical rules of a page that cross, directly or over others.
 
     Rows: doc_id, page_number, segment_id, orient ('h' or 'v'), at, start, end. The smallest segment_id of a group is
-    its table_id. A page's rules are one group of rows; union-find keeps their crossings in memory.
+    its table_id. A page's rules are one group of rows: a horizontal one meets the upright ones over its length, in order of place; union-find joins what crosses.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = {i: i for i in pdf["segment_id"]}
+    def group(rules: list) -> list[tuple]:
+        parent = {r.segment_id: r.segment_id for r in rules}
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -352,17 +355,22 @@ def ruled_tables(segments: DataFrame, tolerance: float = 3.0) -> DataFrame:
                 i = parent[i]
             return i
 
-        flat, up = pdf[pdf["orient"] == "h"], pdf[pdf["orient"] == "v"]
-        for h in flat.itertuples():
-            hit = up[(up["at"] >= h.start - tolerance) & (up["at"] <= h.end + tolerance) & (up["start"] - tolerance <= h.at) & (h.at <= up["end"] + tolerance)]
-            for i in hit["segment_id"]:
-                a, b = sorted((root(h.segment_id), root(i)))
-                parent[b] = a
-        out = pdf[["doc_id", "page_number", "segment_id"]].copy()
-        out["table_id"] = [root(i) for i in pdf["segment_id"]]
-        return out
+        up = sorted((r for r in rules if r.orient == "v"), key=lambda r: r.at)
+        places = [r.at for r in up]
+        for h in (r for r in rules if r.orient == "h"):
+            for v in up[bisect_left(places, h.start - tolerance) : bisect_right(places, h.end + tolerance)]:
+                if v.start - tolerance <= h.at <= v.end + tolerance:
+                    a, b = sorted((root(h.segment_id), root(v.segment_id)))
+                    parent[b] = a
+        return [(*r, root(r.segment_id)) for r in rules]
 
-    return segments.groupBy(*PAGE).applyInPandas(group, "doc_id long, page_number int, segment_id long, table_id long")
+    own = segments.select(*PAGE, F.col("segment_id").cast("long"), "orient", *[F.col(c).cast("double") for c in ("at", "start", "end")])
+    return map_groups(own, list(PAGE), ["segment_id"], group, "doc_id long, page_number int, segment_id long, orient string, at double, start double, end double, table_id long")
+
+
+def ruled_tables(segments: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, page_number, segment_id, table_id) of ``crossing_rules``."""
+    return crossing_rules(segments, tolerance).select(*PAGE, "segment_id", "table_id")
 
 
 def distinct_boxes(blocks: DataFrame, overlap: float = 0.55) -> DataFrame:
