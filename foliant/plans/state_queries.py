@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from foliant.operators import reports as R
 from foliant.plans.registry import Registry
 from foliant.sources.tables import read_table as t
+from foliant.streaming.leases import EXPIRY, rocksdb_state
+from foliant.streaming.leases import lease_expiries as lease_stream
+from foliant.streaming.runs import new_folder, streamed
 
 STATE = Registry()
 
@@ -143,3 +146,18 @@ def nodes_of_predictions(spark: SparkSession, d: str) -> DataFrame:
     by_id = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("node"))
     by_block = t(spark, d, "supplier").select(F.col("s_suppkey").alias("block"), F.col("s_nationkey").alias("node"))
     return R.with_fallback(p, by_id, by_block, "id", "block", "node").select("id", "block", F.col("node").cast("int").alias("node"))
+
+
+@STATE.query("lease_expiries", """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) < 3600000 THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS lease FROM g), l AS (SELECT user_id, lease, count(*) AS beats, epoch_us(max(ts)) // 1000 AS last FROM s GROUP BY ALL)
+SELECT user_id AS agent_id, beats, last AS last_beat, last + 3600000 AS expired_at FROM l WHERE last + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 - 60000 FROM events)""")
+def lease_expiries(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 217, 223: the events as heartbeats in a stream; every lease of an hour that silence ended, by timers."""
+    folder = new_folder(spark, "leases")
+    events = t(spark, d, "events")
+    # A pattern may be a file or a folder; a plain path must be a folder here.
+    beats = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]").selectExpr("user_id AS agent_id", "ts")
+    with rocksdb_state(spark):
+        query = streamed(lease_stream(beats, interval_ms=1_200_000), f"{folder}/rows", f"{folder}/state")
+        query.awaitTermination()
+    return spark.read.schema(EXPIRY).parquet(f"{folder}/rows").select("agent_id", "beats", F.unix_millis("last_beat").alias("last_beat"), F.unix_millis("expired_at").alias("expired_at"))
