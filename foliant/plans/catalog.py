@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans.html_queries import HTML
 from foliant.plans.layout_queries import LAYOUT
+from foliant.plans.match_queries import MATCHES
 from foliant.plans.model_queries import MODELS
 from foliant.plans.more_queries import MORE
 from foliant.plans.registry import Registry
@@ -32,6 +33,6 @@ def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
-for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, TABLES, STATE, CASES):
+for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, TABLES, MATCHES, STATE, CASES):
     for _name, _query in _part.queries.items():
         REGISTRY.query(_name, _part.oracles.get(_name))(_query)

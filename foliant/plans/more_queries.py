@@ -20,18 +20,6 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks_from_documents(t(spark, d, "documents"))
 
 
-def bigram_list(text: Column) -> Column:
-    """All neighbouring pairs of a text, repeats included; none for a single character."""
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))))
-
-
-def multiset_jaccard(left: Column, right: Column) -> Column:
-    """Jaccard similarity of two lists with repeats."""
-    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    both = F.aggregate(F.array_intersect(left, right), F.lit(0), lambda a, g: a + F.least(times(left, g), times(right, g)))
-    return F.coalesce(F.try_divide(both, F.size(left) + F.size(right) - both), F.lit(0.0))
-
-
 _MT = r"lower(trim(regexp_replace(text, '[\s]+', ' ', 'g')))"
 
 
@@ -40,10 +28,10 @@ g AS (SELECT left_id, right_id, 'l' AS side, substr(ta, i, 2) AS g FROM (SELECT
 n AS (SELECT left_id, right_id, g, count(*) FILTER (side = 'l') AS l, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL) SELECT left_id, right_id, round(sum(least(l, r))::DOUBLE / sum(greatest(l, r)), 6) AS similarity FROM n GROUP BY ALL""")
 def match_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Operators 184, 185: texts of a page compared by pairs of characters, repeats counted."""
-    b = t(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("page"), bigram_list(T.match_text(F.col("text"))).alias("g"))
+    b = t(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("page"), T.bigram_list(T.match_text(F.col("text"))).alias("g"))
     other = b.select(F.col("item_id").alias("right_id"), F.col("page").alias("p"), F.col("g").alias("h"))
     pairs = b.join(other, (F.col("page") == F.col("p")) & (F.col("item_id") < F.col("right_id")))
-    return pairs.select(F.col("item_id").alias("left_id"), "right_id", F.round(multiset_jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
+    return pairs.select(F.col("item_id").alias("left_id"), "right_id", F.round(T.multiset_jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
 @MORE.query("rotated_boxes", f"""WITH {BLOCKS_SQL} SELECT doc_id, block_id, CASE seq % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 612 - x - w ELSE 792 - y - h END AS x, CASE seq % 4 WHEN 0 THEN y WHEN 1 THEN 612 - x - w WHEN 2 THEN 792 - y - h ELSE x END AS y FROM blocks""")
