@@ -18,26 +18,24 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(b: DataFrame) -> DataFrame:
-    """Every third line whole, in two at a space, or in two within a word, at places a little to the right."""
-    n, kind, off = F.length("text"), F.col("seq") % 3, F.col("seq") % 4 * 0.25
+    """Every third line whole, in two at a space, or in two within a word."""
+    n, kind = F.length("text"), F.col("seq") % 3
     half = F.floor(n / 2)
     space = F.locate(" ", F.col("text"))
     cut = F.when((kind == 1) & (space > 0), space).when((kind == 2) & (n > 1), half).otherwise(n).cast("int")
-    part = lambda k, start, size: F.struct(F.lit(k).alias("k"), F.substring("text", start, size).alias("text"), (F.col("x") + off + F.col("w") * (start - 1) / n).alias("x"), (F.col("w") * size / n).alias("w"))
+    part = lambda k, start, size: F.struct(F.lit(k).alias("k"), F.substring("text", start, size).alias("text"), (F.col("x") + F.col("w") * (start - 1) / n).alias("x"), (F.col("w") * size / n).alias("w"))
     parts = F.array(part(0, F.lit(1), F.col("cut")), F.when(F.col("cut") < n, part(1, F.col("cut") + 1, n - F.col("cut"))))
     r = b.withColumn("cut", cut).select("doc_id", "page_number", "seq", "y", "h", F.explode(F.array_compact(parts)).alias("p"))
     return r.select("doc_id", "page_number", F.concat(F.lit("r"), "seq", F.lit("-"), "p.k").alias("run_id"), (F.col("seq") * 2 + F.col("p.k")).alias("seq"), "p.text", "p.x", "y", "p.w", "h")
 
 
-@MATCHES.query("source_mappings", f"""WITH {BLOCKS_SQL}, n AS (SELECT *, length(text) AS n, seq % 4 * 0.25::DOUBLE AS off FROM blocks),
-c AS (SELECT *, CASE WHEN seq % 3 = 1 AND strpos(text, ' ') > 0 OR seq % 3 = 2 AND n > 1 THEN 2 ELSE 1 END AS n_runs, greatest(0, w - off) * h / greatest(1, w * h) AS shared FROM n)
-SELECT doc_id, page_number, block_id, CASE n_runs WHEN 1 THEN 'r' || seq || '-0' ELSE 'r' || seq || '-0,r' || seq || '-1' END AS run_ids, 1.0::DOUBLE AS text_score, round(greatest(shared, 0.6::DOUBLE / (1 + off / 24)) + 0.00013, 3) AS geometry_score FROM c""")
+@MATCHES.query("source_mappings", f"""WITH {BLOCKS_SQL}, c AS (SELECT *, CASE WHEN seq % 3 = 1 AND strpos(text, ' ') > 0 OR seq % 3 = 2 AND length(text) > 1 THEN 2 ELSE 1 END AS n_runs FROM blocks)
+SELECT doc_id, page_number, block_id, CASE n_runs WHEN 1 THEN 'r' || seq || '-0' ELSE 'r' || seq || '-0,r' || seq || '-1' END AS run_ids, 1.0::DOUBLE AS confidence FROM c""")
 def source_mappings(spark: SparkSession, d: str) -> DataFrame:
     """Operators 50, 147: every line and the runs that it was drawn by, one or two in a row."""
     b = _blocks(spark, d)
     m = matching.source_mappings(b, _runs(b))
-    # The small addend keeps scores off the edges of rounding.
-    return m.select("doc_id", "page_number", "block_id", F.array_join("run_ids", ",").alias("run_ids"), "text_score", F.round(F.col("geometry_score") + 0.00013, 3).alias("geometry_score"))
+    return m.select("doc_id", "page_number", "block_id", F.array_join("run_ids", ",").alias("run_ids"), F.round("confidence", 5).alias("confidence"))
 
 
 def _ops(b: DataFrame) -> DataFrame:

@@ -71,14 +71,6 @@ def native_estimates(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", ops.cast("long").alias("n_operators"), F.round(F.least(kept / ops, F.lit(1.0)), 6).alias("preserved"))
 
 
-@MORE.query("corruption_scores", "WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b, count(*) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, round(least(1, a * 0.25::DOUBLE + b * 0.1::DOUBLE + n * 0.03::DOUBLE), 6) AS score FROM c")
-def corruption_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 96: weighted issues, at most 1."""
-    n = lambda flag: F.count_if(F.col("l_returnflag") == flag)
-    c = t(spark, d, "lineitem").groupBy("l_orderkey").agg(n("R").alias("a"), n("A").alias("b"), n("N").alias("n"))
-    return c.select("l_orderkey", F.round(F.least(F.lit(1.0), F.col("a") * 0.25 + F.col("b") * 0.1 + F.col("n") * 0.03), 6).alias("score"))
-
-
 @MORE.query("captions", rf"""WITH {BLOCKS_SQL}, c AS (SELECT doc_id, seq, role, CASE WHEN role = 'P' AND seq % 6 = 5 THEN 'Table ' || seq || ': ' || text ELSE text END AS text FROM blocks),
 k AS (SELECT *, last_value(CASE WHEN role = 'LI' THEN seq END IGNORE NULLS) OVER o AS target, count(*) FILTER (role = 'P') OVER o AS np FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 a AS (SELECT doc_id, seq AS s, np AS np0 FROM k WHERE role = 'LI') SELECT k.doc_id, k.seq, target::INT AS target FROM k JOIN a ON a.doc_id = k.doc_id AND s = target WHERE role = 'P' AND regexp_matches(text, '^(?i:Figure|Table|Fig\.|Tab\.)\s+[0-9]+[.:]?\s') AND np - np0 <= 3""")

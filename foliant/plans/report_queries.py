@@ -262,10 +262,11 @@ def factor_coverage(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(n.select(F.col("k").alias("factor_a"), F.col("n").alias("na")), "factor_a").join(n.select(F.col("k").alias("factor_b"), F.col("n").alias("nb")), "factor_b").select("factor_a", "factor_b", "observed", (F.col("na") * F.col("nb")).alias("possible"))
 
 
-@REPORTS.query("seeded_cases", "SELECT i AS case_id, (1664525::HUGEINT * (i + 7) + 1013904223) % 4294967296 AS seed FROM range(1000) t(i)")
+@REPORTS.query("seeded_cases", "SELECT c_custkey AS case_id, (1664525::HUGEINT * (c_custkey + 7) + 1013904223) % 4294967296 AS seed FROM customer")
 def seeded_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 237: a linear congruential step for every case."""
-    return spark.range(1000).select(F.col("id").alias("case_id"), ((F.lit(1664525) * (F.col("id") + 7) + 1013904223) % 4294967296).alias("seed"))
+    """Operator 237: a seed per case, here per customer, which its number alone decides."""
+    i = F.col("c_custkey")
+    return t(spark, d, "customer").select(i.alias("case_id"), ((F.lit(1664525) * (i + 7) + 1013904223) % 4294967296).alias("seed"))
 
 
 @REPORTS.query("font_plans", """WITH f AS (SELECT p_partkey AS k, p_size AS bits, p_partkey % 7 = 0 AS std, p_partkey % 5 > 0 AS emb, p_partkey % 3 = 0 AS sym, p_partkey % 2 = 0 AS dif, CASE WHEN p_partkey % 4 = 0 THEN 'Type1' ELSE 'TrueType' END AS st, p_partkey % 11 > 3 AS mp, (p_partkey % 13) / 12.0::DOUBLE AS cov, CASE WHEN p_partkey % 17 = 0 THEN 'impossible' ELSE 'cmap' END AS rp FROM part)

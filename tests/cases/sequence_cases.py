@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import layout, sequences, tables
-from foliant.plans.model_queries import _values
 from foliant.plans.registry import Registry
+from tests.cases.model_cases import _values
 
 CASES = Registry()
 

@@ -8,7 +8,7 @@ from functools import cmp_to_key
 from pyspark.sql import functions as F
 
 from foliant.operators import features, layout, lines
-from foliant.plans.model_queries import _ITEM, _NODE, _item
+from tests.cases.model_cases import _ITEM, _NODE, _item
 
 NUMBER = re.compile(r"^-?(?:[$£€¥])?(?:\d+(?:[.,]\d+)*|\d*\.\d+)(?:%)?$|^n/a$", re.I)
 
