@@ -13,6 +13,7 @@ from foliant.plans.more_queries import MORE
 from foliant.plans.registry import Registry
 from foliant.plans.report_queries import REPORTS
 from foliant.plans.sequence_queries import SEQUENCES
+from foliant.plans.source_queries import SOURCES
 from foliant.plans.state_queries import STATE
 from foliant.plans.table_queries import TABLES
 from foliant.plans.tag_queries import TAGS
@@ -32,6 +33,6 @@ def source_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
-for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, TABLES, MATCHES, STATE):
+for _part in (TEXT, LAYOUT, REPORTS, HTML, SEQUENCES, MORE, MODELS, TAGS, TABLES, MATCHES, SOURCES, STATE):
     for _name, _query in _part.queries.items():
         REGISTRY.query(_name, _part.oracles.get(_name))(_query)

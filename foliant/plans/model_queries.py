@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import bayes, compare, features, layout
+from foliant.operators import bayes, compare, features, layout, splits
 from foliant.plans.registry import Registry
 from foliant.plans.report_queries import _NB, _examples
 from foliant.sources.blocks import BLOCKS_SQL, PAGE_H, PAGE_W, blocks_from_documents
@@ -128,3 +128,10 @@ def report_totals(spark: SparkSession, d: str) -> DataFrame:
     totals = compare.overall_scores(s, r.select("id", F.col("id").alias("seq")))
     best = totals.agg(F.max_by("id", F.struct("total", (-F.col("id")).alias("s"))).alias("w"))
     return totals.crossJoin(F.broadcast(best)).select("id", "total", (F.col("id") == F.col("w")).alias("wins"))
+
+
+@MODELS.query("stratified_split")
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    """Operators 173, 213: a fifth of the documents held out so that every role is covered, rare ones first."""
+    roles = _blocks(spark, d).groupBy("doc_id", "role").agg(F.count("*").alias("n"))
+    return splits.stratified_split(roles)
