@@ -20,6 +20,13 @@ TABULAR = (
 )
 SPANNED = ("P", "H1", "H2", "H3", "H4", "H5", "H6", "Caption", "Title", "Code")
 
+# Which tags may stand right below which.
+FLOW = ("Sect", "Title", "H1", "H2", "H3", "H4", "H5", "H6", "P", "L", "Figure", "Aside", "BlockQuote", "Span", "Form", "Table", "Caption")
+ALLOWED = {
+    "Document": FLOW, "Sect": FLOW, "Aside": FLOW, "BlockQuote": FLOW, "Form": FLOW, "L": ("LI",), "LI": FLOW, "Table": ("Caption", "THead", "TBody", "TFoot", "TR"), "THead": ("TR",), "TBody": ("TR",), "TFoot": ("TR",),
+    "TR": ("TH", "TD"), "TH": FLOW, "TD": FLOW, "Figure": ("Caption",), "P": ("Span",), "Span": ("Span",), **{k: ("Span",) for k in ("Title", "H1", "H2", "H3", "H4", "H5", "H6", "Caption")},
+}
+
 
 def open_sections(nodes: DataFrame) -> DataFrame:
     """Adds level of a heading (or null) and sections: the seqs of the headings that a node stands under, outermost first.
@@ -101,6 +108,17 @@ def preorder(tags: DataFrame) -> DataFrame:
     return tags.withColumn("position", F.row_number().over(W.partitionBy("doc_id").orderBy("path")) - 1)
 
 
+def containment(tags: DataFrame) -> DataFrame:
+    """(doc_id, tag_id, type, parent, allowed) of every tag: the type of the tag right above it, Document at the top, and whether it may stand there."""
+    up = tags.select("doc_id", F.col("path").alias("above"), F.col("type").alias("parent_type"))
+    below = tags.select("doc_id", "tag_id", "type", F.slice("path", 1, F.size("path") - 1).alias("above"))
+    rules = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    parent = F.when(F.size("above") == 0, "Document").otherwise(F.col("parent_type"))
+    # What the path has no tag for in between is a step of a tree that is broken there.
+    found = below.join(up, ["doc_id", "above"], "left").select("doc_id", "tag_id", "type", parent.alias("parent"))
+    return found.withColumn("allowed", F.coalesce(F.array_contains(F.try_element_at(rules, F.col("parent")), F.col("type")), F.lit(False)))
+
+
 def with_source(tags: DataFrame, nodes: DataFrame) -> DataFrame:
     """Tags with role and page_number of the node that they come from, null where there is none."""
     s = nodes.select("doc_id", F.col("seq").cast("long").alias("source_seq"), F.col("role").alias("source_role"), F.col("page_number").alias("source_page"))

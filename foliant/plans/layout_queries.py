@@ -235,13 +235,3 @@ def distinct_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Operators 26, 27: greedy removal of equal texts at nearly the same place."""
     b = _blocks(spark, d).withColumn("comparable", T.comparable(F.col("text"))).withColumn("y", F.floor(F.col("y") / 60) * 60)
     return O.distinct_boxes(b).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_kept"))
-
-
-@LAYOUT.query("tag_violations", f"""WITH {BLOCKS_SQL}, l AS (SELECT *, lag(role) OVER (PARTITION BY doc_id ORDER BY page_number, seq) AS parent FROM blocks), e AS (SELECT parent, role AS child, count(*) AS n FROM l WHERE parent IS NOT NULL GROUP BY ALL)
-SELECT parent, child, n FROM e WHERE (parent, child) NOT IN (SELECT * FROM (VALUES ('H1', 'H2'), ('H1', 'P'), ('H2', 'P'), ('P', 'P'), ('P', 'LI'), ('LI', 'LI')))""")
-def tag_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 230: pairs of neighbouring roles outside an allow-list, by anti-join with the rules."""
-    w = W.partitionBy("doc_id").orderBy("page_number", "seq")
-    e = _blocks(spark, d).select(F.lag("role").over(w).alias("parent"), F.col("role").alias("child")).where("parent IS NOT NULL").groupBy("parent", "child").agg(F.count("*").alias("n"))
-    rules = spark.createDataFrame([("H1", "H2"), ("H1", "P"), ("H2", "P"), ("P", "P"), ("P", "LI"), ("LI", "LI")], "parent string, child string")
-    return e.join(F.broadcast(rules), ["parent", "child"], "left_anti")

@@ -84,12 +84,15 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
     return k.where(found).select("doc_id", "seq", F.col("last.seq").alias("target"))
 
 
-@MORE.query("abbreviations", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{2,6}\b')) AS abbreviation FROM documents) SELECT abbreviation, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CASE abbreviation WHEN 'IT' THEN 'Information Technology' WHEN 'ED' THEN 'Education' WHEN 'IS' THEN 'Information System' END AS expansion FROM w GROUP BY 1""")
+_KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in T.ABBREVIATIONS.items())
+
+
+@MORE.query("abbreviations", f"""WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS t(abbreviation, expansion)), w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS abbreviation FROM documents)
+SELECT abbreviation, expansion, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN k USING (abbreviation) GROUP BY ALL""")
 def abbreviations(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 151: abbreviations with expansions from a dictionary."""
-    known = spark.createDataFrame([("IT", "Information Technology"), ("ED", "Education"), ("IS", "Information System")], "abbreviation string, expansion string")
-    w = t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9_])[A-Z]{2,6}(?![A-Za-z0-9_])"), 0)).alias("abbreviation"))
-    return w.groupBy("abbreviation").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).join(F.broadcast(known), "abbreviation", "left")
+    """Operator 151: known abbreviations that stand alone, with their expansions, in whole texts."""
+    w = t(spark, d, "documents").select("doc_id", F.explode(T.abbreviation_spans(F.col("text"))).alias("a"))
+    return w.groupBy(F.col("a.token").alias("abbreviation"), F.col("a.expansion").alias("expansion")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @MORE.query("finding_remediation", "SELECT l_returnflag AS code, CASE l_returnflag WHEN 'R' THEN 'retag' WHEN 'A' THEN 'add metadata' END AS remedy, count(*) AS n, count(DISTINCT l_orderkey) AS n_documents FROM lineitem GROUP BY ALL")

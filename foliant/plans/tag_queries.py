@@ -62,3 +62,11 @@ def sampled_documents(spark: SparkSession, d: str) -> DataFrame:
     """Operator 174: a random sample of 25 of the documents in some languages; the draw is a hash of the id and a seed."""
     docs = read_table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
     return docs.orderBy(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":17")), 256), "doc_id").limit(25).select("doc_id", "lang")
+
+
+@TAGS.query("tag_containment", f"""{_OPEN}, e AS (SELECT CASE WHEN k = 0 THEN 'Document' ELSE 'Sect' END AS parent, 'Sect' AS type FROM pt WHERE level IS NOT NULL UNION ALL SELECT 'Sect', role FROM pt WHERE level IS NOT NULL UNION ALL SELECT role, 'Span' FROM pt WHERE level IS NOT NULL OR role = 'P'
+UNION ALL SELECT CASE WHEN k = 0 THEN 'Document' ELSE 'Sect' END, 'P' FROM pt WHERE role = 'P' UNION ALL SELECT CASE WHEN k = 0 THEN 'Document' ELSE 'Sect' END, 'L' FROM pt WHERE role = 'LI' AND coalesce(prev, '') <> 'LI' UNION ALL SELECT 'L', 'LI' FROM pt WHERE role = 'LI'
+UNION ALL SELECT 'LI', unnest(['Lbl', 'LBody']) FROM pt WHERE parted) SELECT parent, type, count(*) AS n, parent <> 'LI' AS allowed FROM e GROUP BY ALL""")
+def tag_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 230: tags of all documents by what they stand in, and whether that is allowed; the parts of a list item are not among what it may hold."""
+    return tags.containment(tags.tag_tree(_blocks(spark, d))).groupBy("parent", "type", "allowed").agg(F.count("*").alias("n"))
