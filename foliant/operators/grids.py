@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.grouped import map_groups
+from foliant.operators.grouped import map_groups, once
 from foliant.operators.layout import PAGE, coalesce_segments, crossing_rules, drifting_clusters
 
 TABLE = [*PAGE, "table_id"]
@@ -19,7 +19,7 @@ TABLE = [*PAGE, "table_id"]
 def merged_rules(segments: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0) -> DataFrame:
     """Segments (doc_id, page_number, orient, at, start, end) put on common lines and joined over gaps, with a segment_id and the table_id of what they cross."""
     key = [*PAGE, "orient"]
-    lines = segments.groupBy(*key).agg(F.collect_list(F.col("at").cast("double")).alias("ats")).select(*key, F.explode(drifting_clusters(F.col("ats"), tolerance)).alias("c"))
+    lines = segments.groupBy(*key).agg(F.collect_list(F.col("at").cast("double")).alias("ats")).select(*key, once(drifting_clusters(F.col("ats"), tolerance)).alias("c")).select(*key, F.explode("c").alias("c"))
     on = segments.join(lines, key).where("at BETWEEN c.low AND c.high").select(*key, F.round(F.col("c.total") / F.col("c.n"), 3).alias("at"), "start", "end")
     runs = coalesce_segments(on, (*key, "at"), gap, least).drop("run")
     number = F.row_number().over(W.partitionBy(*PAGE).orderBy("orient", "at", "start"))
@@ -34,7 +34,7 @@ def merge_signals(rules: DataFrame, tolerance: float = 2.0) -> DataFrame:
     by = rules.groupBy(*TABLE).agg(F.collect_list(F.struct("orient", "at", "start", "end")).alias("rules"))
     lines = lambda o: drifting_clusters(F.transform(F.filter("rules", lambda r: r["orient"] == o), lambda r: r["at"]), tolerance)
     places = lambda c: F.transform(c, lambda x: F.round(x["total"] / x["n"], 3))
-    g = by.withColumns({"h": lines("h"), "v": lines("v")}).withColumns({"ys": places("h"), "xs": places("v")}).where("size(ys) >= 3 AND size(xs) >= 3")
+    g = by.withColumns({"h": once(lines("h")), "v": once(lines("v"))}).withColumns({"ys": once(places("h")), "xs": once(places("v"))}).where("size(ys) >= 3 AND size(xs) >= 3")
 
     def missing(divider: str, bands: str, kind: str) -> Column:
         """Stretches of inner dividers between neighbouring lines of the other way that no rule covers."""
@@ -108,9 +108,9 @@ def table_candidates(grids: DataFrame, blocks: DataFrame) -> DataFrame:
     x, y = F.get("xs", F.lit(0)), F.get("ys", F.lit(0))
     box = F.struct(x.alias("x"), y.alias("y"), (F.element_at("xs", -1) - x).alias("w"), (F.element_at("ys", -1) - y).alias("h"))
     g = grids.withColumns({"box": box, "n_rows": F.size("ys") - 1, "n_columns": F.size("xs") - 1, "n_signals": F.size("signals")}).where("box.w >= 64 AND box.h >= 36").join(points, list(PAGE))
-    g = g.withColumn("points", F.filter("points", lambda p: _inside(p, F.col("box"), 4.0))).withColumn("n_blocks", F.size("points").cast("long"))
+    g = g.withColumn("points", once(F.filter("points", lambda p: _inside(p, F.col("box"), 4.0)))).withColumn("n_blocks", F.size("points").cast("long"))
     ids = lambda c: F.array_sort(F.transform(F.filter("points", lambda p: _inside(p, c, 2.0)), lambda p: p["block_id"]))
-    g = g.withColumn("cells", F.transform("cells", lambda c: c.withField("block_ids", ids(c))))
+    g = g.withColumn("cells", once(F.transform("cells", lambda c: c.withField("block_ids", ids(c)))))
     size = F.col("n_rows") * F.col("n_columns")
     filled = F.size(F.filter("cells", lambda c: F.size(c["block_ids"]) > 0))
     held = F.size(F.array_distinct(F.flatten(F.transform("cells", lambda c: c["block_ids"]))))

@@ -7,10 +7,16 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 
+def once(value: Column) -> Column:
+    """``value``, worked out where it stands: the optimizer does not move what counts as non-deterministic, as the partition number does, into lambdas or filters."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
     for b in batches:
         yield from map(kind._make, zip(*(c.to_pylist() for c in b.columns)))
