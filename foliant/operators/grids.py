@@ -53,11 +53,16 @@ def merge_signals(rules: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
 
 _PARTS = ("row", "col", "row_span", "column_span")
+#: Between the ids of a cell's blocks while they are one text.
+PARTED = "\x1f"
 
 
 def grid_cells(grids: DataFrame) -> DataFrame:
-    """Grids of ``merge_signals`` with ``cells`` (row, col, row_span, column_span, x, y, w, h): from the top left, a free place grows right over
-    missing dividers, then down where all its columns allow it."""
+    """Grids of ``merge_signals`` with n_blocks and ``cells`` (row, col, row_span, column_span, x, y, w, h, block_ids): from the top left, a free
+    place grows right over missing dividers, then down where all its columns allow it.
+
+    Where there is an array ``points`` (block_id, cx, cy), a cell has the ids of those in it or two points off, if they are in the table or four off.
+    """
 
     def grow(table: list) -> list[tuple]:
         out = []
@@ -78,28 +83,28 @@ def grid_cells(grids: DataFrame) -> DataFrame:
                         low += 1
                     taken |= {(i, k) for i in range(r, low + 1) for k in range(c, last + 1)}
                     cells.append((r, c, low - r + 1, last - c + 1))
-            out.append((t.doc_id, t.page_number, t.table_id, t.ys, t.xs, t.kinds, t.rows, t.cols, *map(list, zip(*cells))))
+            near = lambda v, low, high, by: low - by <= v <= high + by
+            own = [p for p in t.points or () if near(p["cx"], t.xs[0], t.xs[-1], 4) and near(p["cy"], t.ys[0], t.ys[-1], 4)]
+            ids = [PARTED.join(sorted(p["block_id"] for p in own if near(p["cx"], t.xs[c], t.xs[c + right], 2) and near(p["cy"], t.ys[r], t.ys[r + below], 2))) for r, c, below, right in cells]
+            out.append((t.doc_id, t.page_number, t.table_id, t.ys, t.xs, t.kinds, t.rows, t.cols, len(own), ids, *map(list, zip(*cells))))
         return out
 
     each = [F.col(f"signals.{k}").alias(name) for k, name in (("kind", "kinds"), ("row", "rows"), ("col", "cols"))]
     arrays = "ys array<double>, xs array<double>, kinds array<string>, rows array<int>, cols array<int>"
-    found = map_groups(grids.select(*TABLE, "ys", "xs", *each), TABLE, [], grow, f"doc_id long, page_number int, table_id long, {arrays}, " + ", ".join(f"_{p} array<int>" for p in _PARTS))
+    points = F.col("points") if "points" in grids.columns else F.lit(None).cast("array<struct<block_id:string,cx:double,cy:double>>")
+    found = map_groups(grids.select(*TABLE, "ys", "xs", *each, points.alias("points")), TABLE, [], grow, f"doc_id long, page_number int, table_id long, {arrays}, n_blocks long, _ids array<string>, " + ", ".join(f"_{p} array<int>" for p in _PARTS))
 
     def cell(z: Column) -> Column:
         row, col, down, right = (z[f"_{p}"] for p in _PARTS)
         x, y = F.get("xs", col), F.get("ys", row)
-        return F.struct(row.alias("row"), col.alias("col"), down.alias("row_span"), right.alias("column_span"), x.alias("x"), y.alias("y"), F.round(F.get("xs", col + right) - x, 3).alias("w"), F.round(F.get("ys", row + down) - y, 3).alias("h"))
+        return F.struct(row.alias("row"), col.alias("col"), down.alias("row_span"), right.alias("column_span"), x.alias("x"), y.alias("y"), F.round(F.get("xs", col + right) - x, 3).alias("w"), F.round(F.get("ys", row + down) - y, 3).alias("h"), F.filter(F.split(z["_ids"], PARTED), lambda i: i != "").alias("block_ids"))
 
     signals = F.transform(F.arrays_zip("kinds", "rows", "cols"), lambda z: F.struct(z["kinds"].alias("kind"), z["rows"].alias("row"), z["cols"].alias("col")))
-    return found.select(*TABLE, "ys", "xs", signals.alias("signals"), F.transform(F.arrays_zip(*[f"_{p}" for p in _PARTS]), cell).alias("cells"))
-
-
-def _inside(p: Column, box: Column, tolerance: float) -> Column:
-    return p["cx"].between(box["x"] - tolerance, box["x"] + box["w"] + tolerance) & p["cy"].between(box["y"] - tolerance, box["y"] + box["h"] + tolerance)
+    return found.select(*TABLE, "ys", "xs", "n_blocks", signals.alias("signals"), F.transform(F.arrays_zip(*[f"_{p}" for p in _PARTS], "_ids"), cell).alias("cells"))
 
 
 def table_candidates(grids: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Tables among ``grids`` (``grid_cells``): table_id, x, y, w, h, n_rows, n_columns, n_signals, n_blocks, confidence and cells with the block_ids in them.
+    """Tables among ``grids`` (``merge_signals``): table_id, x, y, w, h, n_rows, n_columns, n_signals, n_blocks, confidence and cells with the block_ids in them.
 
     A table is at least 64 wide and 36 high and holds two blocks; two fifths of its cells have text, or it holds many blocks. Its confidence
     grows with rows, columns, blocks and signals. Tables of a page are numbered by their first segment.
@@ -107,10 +112,8 @@ def table_candidates(grids: DataFrame, blocks: DataFrame) -> DataFrame:
     points = blocks.groupBy(*PAGE).agg(F.collect_list(F.struct("block_id", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))).alias("points"))
     x, y = F.get("xs", F.lit(0)), F.get("ys", F.lit(0))
     box = F.struct(x.alias("x"), y.alias("y"), (F.element_at("xs", -1) - x).alias("w"), (F.element_at("ys", -1) - y).alias("h"))
-    g = grids.withColumns({"box": box, "n_rows": F.size("ys") - 1, "n_columns": F.size("xs") - 1, "n_signals": F.size("signals")}).where("box.w >= 64 AND box.h >= 36").join(points, list(PAGE))
-    g = g.withColumn("points", once(F.filter("points", lambda p: _inside(p, F.col("box"), 4.0)))).withColumn("n_blocks", F.size("points").cast("long"))
-    ids = lambda c: F.array_sort(F.transform(F.filter("points", lambda p: _inside(p, c, 2.0)), lambda p: p["block_id"]))
-    g = g.withColumn("cells", once(F.transform("cells", lambda c: c.withField("block_ids", ids(c)))))
+    g = grid_cells(grids.withColumn("box", box).where("box.w >= 64 AND box.h >= 36").join(points, list(PAGE)))
+    g = g.withColumns({"box": box, "n_rows": F.size("ys") - 1, "n_columns": F.size("xs") - 1, "n_signals": F.size("signals"), "cells": once(F.col("cells"))})
     size = F.col("n_rows") * F.col("n_columns")
     filled = F.size(F.filter("cells", lambda c: F.size(c["block_ids"]) > 0))
     held = F.size(F.array_distinct(F.flatten(F.transform("cells", lambda c: c["block_ids"]))))
