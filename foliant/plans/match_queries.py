@@ -66,8 +66,8 @@ def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return matching.match_operators(ops, tags), ops, tags
 
 
-@MATCHES.query("operator_tags", f"{_OPS} SELECT doc_id, page_number, op_seq, tag_order, confidence FROM best")
-def operator_tags(spark: SparkSession, d: str) -> DataFrame:
+@MATCHES.query("tags_of_operators", f"{_OPS} SELECT doc_id, page_number, op_seq, tag_order, confidence FROM best")
+def tags_of_operators(spark: SparkSession, d: str) -> DataFrame:
     """Operator 51: text operators and the tags in whose boxes they lie."""
     return _matched(spark, d)[0]
 
