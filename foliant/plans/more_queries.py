@@ -88,10 +88,10 @@ _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in T.ABBREVIATIONS.items())
 
 
 @MORE.query("abbreviations", f"""WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS t(abbreviation, expansion)), w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS abbreviation FROM documents)
-SELECT abbreviation, expansion, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN k USING (abbreviation) GROUP BY ALL""")
+SELECT abbreviation, expansion, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w LEFT JOIN k USING (abbreviation) WHERE expansion IS NOT NULL OR regexp_full_match(abbreviation, '[A-Z]{{2,6}}') GROUP BY ALL""")
 def abbreviations(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 151: known abbreviations that stand alone, with their expansions, in whole texts."""
-    w = t(spark, d, "documents").select("doc_id", F.explode(T.abbreviation_spans(F.col("text"))).alias("a"))
+    """Operator 151: abbreviations that stand alone in whole texts, with their expansions where they are known."""
+    w = t(spark, d, "documents").select("doc_id", F.explode(T.abbreviation_spans(F.col("text"), known_only=False)).alias("a"))
     return w.groupBy(F.col("a.token").alias("abbreviation"), F.col("a.expansion").alias("expansion")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
