@@ -51,7 +51,7 @@ class SecretScan:
     """What counts as novel: characters around a candidate that it is measured against, and its size added per character.
 
     Candidates are looked for within twice ``around`` of a sensitive word. The dictionary takes parts of identifiers that
-    ``min_docs`` documents have near such a word, the most frequent first, up to ``words``; a task reports as many.
+    ``min_docs`` documents have near such a word, the most frequent first, up to ``words``.
     """
 
     around: int = 64
@@ -85,20 +85,27 @@ _PART = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 
 
 def context_words(docs: DataFrame, p: SecretScan = SecretScan(), text_col: str = "text") -> str:
-    """The parts of identifiers near sensitive words of all documents, the most frequent last, where a match is cheapest."""
+    """The parts of identifiers near sensitive words of all documents, the most frequent last, where a match is cheapest.
+
+    Counts are exact: a task hands on what it has counted whenever that grows large, and sums are taken over all tasks.
+    """
     reach, most = 2 * p.around, p.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 near = [text[max(0, m.start() - reach) : m.end() + reach] for m in _SENSITIVE.finditer(text)]
                 if near:
                     seen.update({w for t in near for w in _PART.findall(t)})
                     if len(seen) > 50 * most:
-                        seen = Counter(dict(seen.most_common(10 * most)))
-        top = seen.most_common(most)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+                        yield counted()
+                        seen.clear()
+        yield counted()
 
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return " ".join(r.word for r in most_frequent(cut(found.where(F.col("n") >= p.min_docs)), most)[::-1])
