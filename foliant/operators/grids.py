@@ -6,11 +6,16 @@ find is looked up in that row, which holds some hundred rules.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.grouped import map_groups, once
+from foliant.operators.grouped import map_groups, map_rows, once
 from foliant.operators.layout import PAGE, coalesce_segments, crossing_rules, drifting_clusters
 
 TABLE = [*PAGE, "table_id"]
@@ -57,6 +62,51 @@ _PARTS = ("row", "col", "row_span", "column_span")
 PARTED = "\x1f"
 
 
+def _grown(n: int, m: int, signals: list[tuple]) -> list[tuple]:
+    """(row, col, row_span, column_span) of the cells of a grid of ``n`` by ``m`` places with ``signals`` (kind, row, col)."""
+    right = {(r, c) for k, r, c in signals if k == "colspan"}
+    down = {(r, c) for k, r, c in signals if k == "rowspan"}
+    taken, cells = set(), []
+    for r in range(n):
+        for c in range(m):
+            if (r, c) in taken:
+                continue
+            last = c
+            while last + 1 < m and (r, last) in right:
+                last += 1
+            low = r
+            while low + 1 < n and all((low, k) in down for k in range(c, last + 1)):
+                low += 1
+            taken |= {(i, k) for i in range(r, low + 1) for k in range(c, last + 1)}
+            cells.append((r, c, low - r + 1, last - c + 1))
+    return cells
+
+
+def _held(ys: list[float], xs: list[float], cells: list[tuple], points: list[tuple]) -> tuple[int, list[list]]:
+    """How many ``points`` (block_id, cx, cy) are in a table or four off, and the sorted ids per cell of those in it or two off."""
+    ids: list[list] = [[] for _ in cells]
+    over: dict[tuple, list] = {}
+    for k, (r, c, below, right) in enumerate(cells):
+        for i in range(r, r + below):
+            for j in range(c, c + right):
+                over.setdefault((i, j), []).append(k)
+    n = 0
+
+    def places(at: list[float], v: float) -> range:
+        """The bands between lines ``at`` that reach ``v``, two off at most."""
+        return range(max(0, bisect_left(at, v - 2) - 1), min(len(at) - 1, bisect_right(at, v + 2)))
+
+    for name, x, y in points:
+        if not (xs[0] - 4 <= x <= xs[-1] + 4 and ys[0] - 4 <= y <= ys[-1] + 4):
+            continue
+        n += 1
+        for k in {k for i in places(ys, y) if ys[i] - 2 <= y <= ys[i + 1] + 2 for j in places(xs, x) if xs[j] - 2 <= x <= xs[j + 1] + 2 for k in over.get((i, j), ())}:
+            ids[k].append(name)
+    for some in ids:
+        some.sort()
+    return n, ids
+
+
 def grid_cells(grids: DataFrame) -> DataFrame:
     """Grids of ``merge_signals`` with n_blocks and ``cells`` (row, col, row_span, column_span, x, y, w, h, block_ids): from the top left, a free
     place grows right over missing dividers, then down where all its columns allow it.
@@ -67,26 +117,9 @@ def grid_cells(grids: DataFrame) -> DataFrame:
     def grow(table: list) -> list[tuple]:
         out = []
         for t in table:
-            n, m = len(t.ys) - 1, len(t.xs) - 1
-            right = {(r, c) for k, r, c in zip(t.kinds, t.rows, t.cols) if k == "colspan"}
-            down = {(r, c) for k, r, c in zip(t.kinds, t.rows, t.cols) if k == "rowspan"}
-            taken, cells = set(), []
-            for r in range(n):
-                for c in range(m):
-                    if (r, c) in taken:
-                        continue
-                    last = c
-                    while last + 1 < m and (r, last) in right:
-                        last += 1
-                    low = r
-                    while low + 1 < n and all((low, k) in down for k in range(c, last + 1)):
-                        low += 1
-                    taken |= {(i, k) for i in range(r, low + 1) for k in range(c, last + 1)}
-                    cells.append((r, c, low - r + 1, last - c + 1))
-            near = lambda v, low, high, by: low - by <= v <= high + by
-            own = [p for p in t.points or () if near(p["cx"], t.xs[0], t.xs[-1], 4) and near(p["cy"], t.ys[0], t.ys[-1], 4)]
-            ids = [PARTED.join(sorted(p["block_id"] for p in own if near(p["cx"], t.xs[c], t.xs[c + right], 2) and near(p["cy"], t.ys[r], t.ys[r + below], 2))) for r, c, below, right in cells]
-            out.append((t.doc_id, t.page_number, t.table_id, t.ys, t.xs, t.kinds, t.rows, t.cols, len(own), ids, *map(list, zip(*cells))))
+            cells = _grown(len(t.ys) - 1, len(t.xs) - 1, list(zip(t.kinds, t.rows, t.cols)))
+            n, ids = _held(t.ys, t.xs, cells, [(p["block_id"], p["cx"], p["cy"]) for p in t.points or ()])
+            out.append((t.doc_id, t.page_number, t.table_id, t.ys, t.xs, t.kinds, t.rows, t.cols, n, [PARTED.join(i) for i in ids], *map(list, zip(*cells))))
         return out
 
     each = [F.col(f"signals.{k}").alias(name) for k, name in (("kind", "kinds"), ("row", "rows"), ("col", "cols"))]
@@ -127,3 +160,166 @@ def table_candidates(grids: DataFrame, blocks: DataFrame) -> DataFrame:
 def candidate_cells(tables: DataFrame) -> DataFrame:
     """A row per cell of ``table_candidates``, with its table's confidence."""
     return tables.select(*TABLE, "confidence", F.inline("cells"))
+
+
+_ROUNDED: dict[float, float] = {}
+
+
+def _round3(v: float) -> float:
+    """``v`` with three decimals as Spark's round gives them."""
+    if v not in _ROUNDED:
+        if len(_ROUNDED) > 100_000:
+            _ROUNDED.clear()
+        _ROUNDED[v] = float(Decimal(repr(v)).quantize(Decimal("0.001"), ROUND_HALF_UP))
+    return _ROUNDED[v]
+
+
+def _clusters(values: list[float], tolerance: float) -> list[list]:
+    """``drifting_clusters`` of plain values: [total, n, low, high] each."""
+    out: list[list] = []
+    for v in sorted(values):
+        if out and abs(v - out[-1][0] / out[-1][1]) <= tolerance:
+            out[-1][0] += v
+            out[-1][1] += 1
+            out[-1][3] = v
+        else:
+            out.append([v, 1, v, v])
+    return out
+
+
+def _merged(rules: list[tuple], tolerance: float, gap: float, least: float) -> list[tuple]:
+    """(orient, at, start, end) of ``merged_rules`` for the segments of a page, in order."""
+    out = []
+    for orient in sorted({r[0] for r in rules}):
+        own = [r for r in rules if r[0] == orient]
+        lines: dict[float, list] = {}
+        found = _clusters([r[1] for r in own], tolerance)
+        highs = [c[3] for c in found]
+        for _, at, start, end in own:
+            c = found[bisect_left(highs, at)]
+            lines.setdefault(_round3(c[0] / c[1]), []).append((start, end))
+        for at in sorted(lines):
+            runs: list[list] = []
+            far = None
+            for start, end in sorted(lines[at]):
+                if far is not None and start - far <= gap:
+                    runs[-1][1] = far = max(far, end)
+                else:
+                    runs.append([start, end])
+                    far = end if far is None else max(far, end)
+            out += [(orient, at, start, end) for start, end in runs if end - start >= least]
+    return out
+
+
+def _page_grids(rules: list[tuple], tolerance: float, gap: float, least: float, crossing: float) -> list[tuple]:
+    """(table_id, ys, xs, signals, cells, boxes) of the grids of a page: what ``merged_rules``, ``merge_signals`` and ``grid_cells`` find."""
+    merged = _merged(rules, tolerance, gap, least)
+    parent = list(range(len(merged)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    up = sorted((r[1], k) for k, r in enumerate(merged) if r[0] == "v")
+    for i, (orient, at, start, end) in enumerate(merged):
+        if orient == "h":
+            for _, k in up[bisect_left(up, (start - crossing,)) : bisect_right(up, (end + crossing, len(merged)))]:
+                if merged[k][2] - crossing <= at <= merged[k][3] + crossing:
+                    a, b = sorted((root(i), root(k)))
+                    parent[b] = a
+    tables: dict[int, list] = {}
+    for k, r in enumerate(merged):
+        tables.setdefault(root(k), []).append(r)
+    out = []
+    for first, own in sorted(tables.items()):
+        lines = {o: _clusters([r[1] for r in own if r[0] == o], tolerance) for o in "hv"}
+        at = {o: [_round3(c[0] / c[1]) for c in lines[o]] for o in "hv"}
+        if len(at["h"]) < 3 or len(at["v"]) < 3:
+            continue
+        signals = []
+        for kind, divider, other in (("colspan", "v", "h"), ("rowspan", "h", "v")):
+            for line in range(1, len(lines[divider]) - 1):
+                over = [r for r in own if r[0] == divider and lines[divider][line][2] <= r[1] <= lines[divider][line][3]]
+                for band, (low, high) in enumerate(zip(at[other], at[other][1:])):
+                    if not any(r[2] <= low + tolerance and r[3] >= high - tolerance for r in over):
+                        signals.append((kind, band, line - 1) if kind == "colspan" else (kind, line - 1, band))
+        ys, xs = at["h"], at["v"]
+        cells = _grown(len(ys) - 1, len(xs) - 1, signals)
+        boxes = [(r, c, down, right, xs[c], ys[r], _round3(xs[c + right] - xs[c]), _round3(ys[r + down] - ys[r])) for r, c, down, right in cells]
+        out.append((first + 1, ys, xs, signals, cells, boxes))
+    return out
+
+
+#: Forms of ruled pages that a task keeps, as many pages are ruled alike.
+FORMS = 20_000
+
+
+def _each_page(batches: Iterator[pa.RecordBatch], tolerance: float, gap: float, least: float, crossing: float) -> Iterator[tuple]:
+    """(batch, row, grids) of every page; pages with the same rules are worked out once while the task remembers them."""
+    known: dict[tuple, list] = {}
+    for b in batches:
+        column = b.column(b.schema.get_field_index("rules"))
+        at, parts = column.offsets.to_pylist(), column.values
+        orients = parts.field("orient").to_pylist()
+        places = [parts.field(c).to_pylist() for c in ("at", "start", "end")]
+        for k in range(b.num_rows):
+            rules = tuple(zip(orients[at[k] : at[k + 1]], *(p[at[k] : at[k + 1]] for p in places)))
+            found = known.get(rules)
+            if found is None:
+                if len(known) >= FORMS:
+                    known.clear()
+                found = known[rules] = _page_grids([r for r in rules if None not in r], tolerance, gap, least, crossing)
+            yield b, k, found
+
+
+_SIGNALS = "signals array<struct<kind:string,row:int,col:int>>"
+_CELLS = "cells array<struct<row:int,col:int,row_span:int,column_span:int,x:double,y:double,w:double,h:double,block_ids:array<string>>>"
+
+
+def page_grids(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0) -> DataFrame:
+    """(doc_id, page_number, table_id, ys, xs, signals, cells): ``grid_cells`` without blocks of ``merge_signals`` of ``merged_rules``, in one pass.
+
+    ``pages``: doc_id, page_number and an array ``rules`` of (orient, at, start, end); a page is one row, and nothing is dealt out anew.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
+        for b, k, grids in _each_page(batches, tolerance, gap, least, crossing):
+            if b is not last:
+                last, docs, numbers = b, b.column(0).to_pylist(), b.column(1).to_pylist()
+            for name, ys, xs, signals, _, boxes in grids:
+                yield docs[k], numbers[k], name, ys, xs, signals, [(*x, ()) for x in boxes]
+
+    rules = F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in ("at", "start", "end")]))
+    return map_rows(pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules")), go, f"doc_id long, page_number int, table_id long, ys array<double>, xs array<double>, {_SIGNALS}, {_CELLS}")
+
+
+def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0) -> DataFrame:
+    """The columns of ``table_candidates`` in one pass over ``pages`` with arrays ``rules`` and ``blocks`` (block_id, text, x, y, w, h, ...)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
+        for b, k, grids in _each_page(batches, tolerance, gap, least, crossing):
+            if b is not last:
+                last, docs, numbers = b, b.column(0).to_pylist(), b.column(1).to_pylist()
+                at, parts = b.column(3).offsets.to_pylist(), b.column(3).values
+                points = list(zip(*(parts.field(c).to_pylist() for c in ("block_id", "cx", "cy"))))
+            number, own = 0, points[at[k] : at[k + 1]]
+            for _, ys, xs, signals, cells, boxes in grids:
+                if xs[-1] - xs[0] < 64 or ys[-1] - ys[0] < 36:
+                    continue
+                n, ids = _held(ys, xs, cells, own)
+                rows, cols = len(ys) - 1, len(xs) - 1
+                size = rows * cols
+                if n < 2 or sum(map(bool, ids)) / len(cells) < 0.4 and len({i for some in ids for i in some}) < max(8, -(-size * 35 // 100)):
+                    continue
+                number += 1
+                sure = 0.62 + min(0.18, rows * 0.03) + min(0.12, cols * 0.03) + min(0.08, n / size * 0.08) + min(0.06, len(signals) * 0.02)
+                yield docs[k], numbers[k], f"vector-table:{numbers[k]}:{number}", xs[0], ys[0], xs[-1] - xs[0], ys[-1] - ys[0], rows, cols, len(signals), n, _round3(min(sure, 0.97)), [(*x, i) for x, i in zip(boxes, ids)]
+
+    rules = F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in ("at", "start", "end")]))
+    points = F.transform("blocks", lambda p: F.struct(p["block_id"].alias("block_id"), (p["x"] + p["w"] / 2).alias("cx"), (p["y"] + p["h"] / 2).alias("cy")))
+    own = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules"), points.alias("points"))
+    return map_rows(own, go, f"doc_id long, page_number int, table_id string, x double, y double, w double, h double, n_rows int, n_columns int, n_signals int, n_blocks long, confidence double, {_CELLS}")
