@@ -125,18 +125,40 @@ def with_source(tags: DataFrame, nodes: DataFrame) -> DataFrame:
     return tags.join(s, ["doc_id", "source_seq"], "left")
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_id, row, n_cells, n_th, header_like, body_like, hint, first_th) per row of (doc_id, table_id, row, col, type, text, table_section)."""
+def table_rows(cells: DataFrame, real: Column | None = None, *more: Column) -> DataFrame:
+    """(doc_id, table_id, row, counts, rank, n_cells, n_th, header_like, body_like, hint, first_th) per row of (doc_id, table_id, row, col, type, text, table_section).
+
+    Where ``real`` tells which cells count, rows without any have n_cells 0 and no rank. ``more`` are aggregates of all cells of a row.
+    """
+    real = F.lit(True) if real is None else real
     th = F.col("type") == "TH"
-    letters = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), " "), "[^a-zA-Z]", "")
-    hint = F.collect_set(F.when(F.col("table_section").isin("head", "body", "foot"), F.col("table_section")))
-    by = cells.groupBy("doc_id", "table_id", "row").agg(F.count("*").alias("n_cells"), F.count_if(th).alias("n_th"), letters.alias("letters"), hint.alias("hints"), F.max(F.col("type") == "TD").alias("has_td"), F.min_by(th, "col").alias("first_th"))
+    letters = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(real, F.struct("col", "text")))), lambda s: s["text"]), " "), "[^a-zA-Z]", "")
+    hint = F.collect_set(F.when(real & F.col("table_section").isin("head", "body", "foot"), F.col("table_section")))
+    by = cells.groupBy("doc_id", "table_id", "row").agg(F.count_if(real).alias("n_cells"), F.count_if(real & th).alias("n_th"), letters.alias("letters"), hint.alias("hints"), F.max(real & (F.col("type") == "TD")).alias("has_td"), F.min_by(th, F.when(real, F.col("col"))).alias("first_th"), *more)
+    others = by.columns[9:]
+    # One column for all windows, so that they share one sort.
+    by = by.withColumn("counts", F.col("n_cells") > 0)
     upper = (F.length("letters") > 0) & (F.col("letters") == F.upper("letters"))
-    rank = F.row_number().over(W.partitionBy("doc_id", "table_id").orderBy("row")) - 1
-    like = (F.col("n_th") == F.col("n_cells")) | ((F.col("row") < 2) & (F.col("n_th") / F.col("n_cells") >= 0.75)) | ((F.col("row") == 0) & upper)
+    rank = F.row_number().over(W.partitionBy("doc_id", "table_id", "counts").orderBy("row")) - 1
+    like = (F.col("n_th") == F.col("n_cells")) | ((F.col("row") < 2) & (F.col("n_th") / F.nullif("n_cells", F.lit(0)) >= 0.75)) | ((F.col("row") == 0) & upper)
     has = lambda s: F.array_contains("hints", s)
     section = F.when(has("foot"), "foot").when(has("head") & ~has("body"), "head").otherwise("body")
-    return by.select("doc_id", "table_id", "row", rank.alias("rank"), "n_cells", "n_th", like.alias("header_like"), (~like & F.col("has_td")).alias("body_like"), section.alias("hint"), "first_th")
+    return by.select("doc_id", "table_id", "row", "counts", rank.alias("rank"), "n_cells", "n_th", like.alias("header_like"), (~like & F.col("has_td")).alias("body_like"), section.alias("hint"), "first_th", *others)
+
+
+def row_sections(r: DataFrame) -> DataFrame:
+    """Rows of ``table_rows`` with their section: head, body, foot, or none for rows right below the table; null where no cell counts."""
+    own = W.partitionBy("doc_id", "table_id", "counts")
+    upto = own.orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    r = r.withColumn("by_rows", (F.count("*").over(own) >= 2) & F.min((F.col("n_cells") >= 2) & (F.col("n_th") == 1) & F.col("first_th")).over(own))
+    r = r.withColumn("first_body", F.min(F.when(F.col("body_like"), F.col("rank"))).over(own))
+    fits = (F.col("hint") != "foot") & (F.col("header_like") | (F.col("hint") == "head"))
+    r = r.withColumn("run", F.min(fits).over(upto))
+    head = (F.col("rank") < F.col("first_body")) & ~F.col("by_rows") & F.col("run")
+    r = r.withColumn("section", F.when(F.coalesce(head, F.lit(False)), "head").otherwise(F.col("hint")))
+    no_body = F.count_if(F.col("section") == "body").over(own) == 0
+    section = F.when((F.col("section") == "head") & no_body, "none").otherwise(F.col("section"))
+    return r.drop("by_rows", "first_body", "run").withColumn("section", F.when(F.col("counts"), section))
 
 
 def table_sections(cells: DataFrame) -> DataFrame:
@@ -145,16 +167,7 @@ def table_sections(cells: DataFrame) -> DataFrame:
     Rows that look like headers, or are said to be, form the head up to the first that looks like body, unless every row
     begins with its own header. A head without a body is taken apart, so that its rows stand below the table.
     """
-    all_, upto = W.partitionBy("doc_id", "table_id"), W.partitionBy("doc_id", "table_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    r = table_rows(cells)
-    r = r.withColumn("by_rows", (F.count("*").over(all_) >= 2) & F.min((F.col("n_cells") >= 2) & (F.col("n_th") == 1) & F.col("first_th")).over(all_))
-    r = r.withColumn("first_body", F.min(F.when(F.col("body_like"), F.col("rank"))).over(all_))
-    fits = (F.col("hint") != "foot") & (F.col("header_like") | (F.col("hint") == "head"))
-    r = r.withColumn("run", F.min(fits).over(upto))
-    head = (F.col("rank") < F.col("first_body")) & ~F.col("by_rows") & F.col("run")
-    r = r.withColumn("section", F.when(F.coalesce(head, F.lit(False)), "head").otherwise(F.col("hint")))
-    no_body = F.count_if(F.col("section") == "body").over(all_) == 0
-    return r.select("doc_id", "table_id", "row", F.when((F.col("section") == "head") & no_body, "none").otherwise(F.col("section")).alias("section"))
+    return row_sections(table_rows(cells)).select("doc_id", "table_id", "row", "section")
 
 
 def spurious_tables(cells: DataFrame) -> DataFrame:
@@ -175,19 +188,22 @@ def header_links(cells: DataFrame) -> DataFrame:
     ``cells``: doc_id, table_id, cell_id, type, section, row, col, row_span, column_span. A header in a head section, or one
     without a section in the table's first row, heads its columns; any other heads its rows. Cells reach as far as their spans.
     """
-    c = cells.withColumns({"row_end": F.col("row") + F.coalesce("row_span", F.lit(1)) - 1, "col_end": F.col("col") + F.coalesce("column_span", F.lit(1)) - 1})
-    top = F.min("row").over(W.partitionBy("doc_id", "table_id"))
-    over = (F.col("section") == "head") | (F.col("section").isNull() & (F.col("row") == top))
+    key = ["doc_id", "table_id"]
+    end = lambda at, span: F.col(at) + F.greatest(F.lit(1), F.coalesce(span, F.lit(1))) - 1
+    c = cells.select(*key, "cell_id", "type", "section", "row", "col", end("row", "row_span").alias("row_end"), end("col", "column_span").alias("col_end"))
+    table = W.partitionBy(*key)
+    over = (F.col("section") == "head") | (F.col("section").isNull() & (F.col("row") == F.min("row").over(table)))
     c = c.withColumn("over", F.coalesce(over, F.lit(False)))
-    th, td, key = c.where("type = 'TH'"), c.where("type = 'TD'"), ["doc_id", "table_id"]
-    spread = lambda df, a, b: df.withColumn("at", F.explode(F.sequence(a, b)))
-    links = None
-    for by_column, (a, b) in ((True, ("col", "col_end")), (False, ("row", "row_end"))):
-        heads = spread(th.where("over" if by_column else "NOT over"), a, b).select(*key, "at", F.struct(F.lit(0 if by_column else 1).alias("kind"), "row", "col", F.col("cell_id").alias("head")).alias("h"))
-        some = spread(td, a, b).join(heads, [*key, "at"]).select(*key, "cell_id", "h")
-        links = some if links is None else links.unionByName(some)
-    by = links.groupBy(*key, "cell_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    return td.select(*key, "cell_id").join(by, [*key, "cell_id"], "left").select(*key, "cell_id", F.coalesce(F.transform("hs", lambda h: h["head"]), F.array().cast("array<string>")).alias("headers"))
+    th = F.col("type") == "TH"
+    head = F.struct(F.when(F.col("over"), 0).otherwise(1).alias("kind"), "row", "col", F.col("cell_id").alias("head"), "col_end")
+    # Heads of columns are few; those of rows meet the cells row by row, so that no cell sees those of the whole table.
+    c = c.withColumn("tops", F.collect_list(F.when(th & F.col("over"), head)).over(table))
+    c = c.withColumn("at", F.explode_outer(F.sequence("row", "row_end")))
+    c = c.withColumn("sides", F.collect_list(F.when(th & ~F.col("over") & F.col("at").isNotNull(), head)).over(W.partitionBy(*key, "at")))
+    td = c.where("type = 'TD'").withColumn("sides", F.flatten(F.collect_list("sides").over(W.partitionBy(*key, "cell_id")))).where(F.col("at").eqNullSafe(F.col("row")))
+    tops = F.filter("tops", lambda h: (h["col"] <= F.col("col_end")) & (h["col_end"] >= F.col("col")))
+    place = lambda h: h.dropFields("col_end")
+    return td.select(*key, "cell_id", F.transform(F.array_sort(F.array_distinct(F.transform(F.concat(tops, "sides"), place))), lambda h: h["head"]).alias("headers"))
 
 
 def field_role(subtype: Column) -> Column:
