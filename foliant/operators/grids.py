@@ -9,12 +9,14 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.operators.grouped import map_groups, map_rows, once
 from foliant.operators.layout import PAGE, coalesce_segments, crossing_rules, drifting_clusters
 
@@ -296,8 +298,30 @@ def page_grids(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, leas
     return map_rows(pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules")), go, f"doc_id long, page_number int, table_id long, ys array<double>, xs array<double>, {_SIGNALS}, {_CELLS}")
 
 
-def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0) -> DataFrame:
-    """The columns of ``table_candidates`` in one pass over ``pages`` with arrays ``rules`` and ``blocks`` (block_id, text, x, y, w, h, ...)."""
+def _head_rows(cells: list[tuple], ids: list[list], marks: dict[str, tuple], base: float | None) -> set[int]:
+    """The rows from the first on that are headers, as ``tables.ruled_table_cells`` tells them; ``marks``: bold (1), label (2), number (4) and size of a block."""
+    rows: dict[int, list] = {}
+    for (r, _, below, right), some in zip(cells, ids):
+        own = rows.setdefault(r, [[], False])
+        own[0] += [marks[i] for i in some if i in marks]
+        own[1] |= below > 1 or right > 1
+    heads: set[int] = set()
+    for r in sorted(rows):
+        found, merged = rows[r]
+        bold, labels, numbers = (sum(bool(m & bit) for m, _ in found) / len(found) if found else 0.0 for bit in (1, 2, 4))
+        sizes = [s for _, s in found if s is not None]
+        larger = base is not None and (sum(sizes) / len(sizes) if sizes else base) >= base * 1.04
+        if not (r == 0 and merged or bold >= 0.6 or labels >= 0.75 and numbers <= 0.5 or r == 0 and labels >= 0.6 and larger):
+            break
+        heads.add(r)
+    return heads
+
+
+def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0, heads: bool = False) -> DataFrame:
+    """The columns of ``table_candidates`` in one pass over ``pages`` with arrays ``rules`` and ``blocks`` (block_id, text, x, y, w, h, ...).
+
+    With ``heads`` cells say whether their row is a header; blocks then have font_size and font_name, and ids of their own on a page.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         last = None
@@ -306,7 +330,13 @@ def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0,
                 last, docs, numbers = b, b.column(0).to_pylist(), b.column(1).to_pylist()
                 at, parts = b.column(3).offsets.to_pylist(), b.column(3).values
                 points = list(zip(*(parts.field(c).to_pylist() for c in ("block_id", "cx", "cy"))))
+                signs = list(zip(*(parts.field(c).to_pylist() for c in ("mark", "size")))) if heads else []
             number, own = 0, points[at[k] : at[k + 1]]
+            if heads:
+                pairs = signs[at[k] : at[k + 1]]
+                marks = {p[0]: m for p, m in zip(own, pairs) if m[0] is not None}
+                sizes = [s for _, s in pairs if s is not None]
+                base = median(sizes) if sizes else None
             for _, ys, xs, signals, cells, boxes in grids:
                 if xs[-1] - xs[0] < 64 or ys[-1] - ys[0] < 36:
                     continue
@@ -317,9 +347,16 @@ def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0,
                     continue
                 number += 1
                 sure = 0.62 + min(0.18, rows * 0.03) + min(0.12, cols * 0.03) + min(0.08, n / size * 0.08) + min(0.06, len(signals) * 0.02)
+                if heads:
+                    first = _head_rows(cells, ids, marks, base)
+                    boxes = [(*x, x[0] in first) for x in boxes]
                 yield docs[k], numbers[k], f"vector-table:{numbers[k]}:{number}", xs[0], ys[0], xs[-1] - xs[0], ys[-1] - ys[0], rows, cols, len(signals), n, _round3(min(sure, 0.97)), [(*x, i) for x, i in zip(boxes, ids)]
 
     rules = F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in ("at", "start", "end")]))
-    points = F.transform("blocks", lambda p: F.struct(p["block_id"].alias("block_id"), (p["x"] + p["w"] / 2).alias("cx"), (p["y"] + p["h"] / 2).alias("cy")))
+    text = lambda p: F.coalesce(p["font_name"].rlike("(?i)bold"), F.lit(False)), lambda p: F.coalesce(T.looks_header(p["text"]), F.lit(False)), lambda p: F.coalesce(T.looks_numeric(p["text"]), F.lit(False))
+    mark = lambda p: F.when(p["text"].isNotNull(), sum((t(p).cast("int") * 2**k for k, t in enumerate(text)), F.lit(0)))
+    signs = lambda p: [mark(p).alias("mark"), p["font_size"].cast("double").alias("size")] if heads else []
+    points = F.transform("blocks", lambda p: F.struct(p["block_id"].alias("block_id"), (p["x"] + p["w"] / 2).alias("cx"), (p["y"] + p["h"] / 2).alias("cy"), *signs(p)))
     own = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules"), points.alias("points"))
-    return map_rows(own, go, f"doc_id long, page_number int, table_id string, x double, y double, w double, h double, n_rows int, n_columns int, n_signals int, n_blocks long, confidence double, {_CELLS}")
+    cells = _CELLS.replace("block_ids:", "header:boolean,block_ids:") if heads else _CELLS
+    return map_rows(own, go, f"doc_id long, page_number int, table_id string, x double, y double, w double, h double, n_rows int, n_columns int, n_signals int, n_blocks long, confidence double, {cells}")
