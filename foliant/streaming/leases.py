@@ -1,6 +1,6 @@
 """Leases of agents as keyed streams: heartbeats extend a lease, silence ends it.
 
-``lease_expiries`` reports every lease that ran out, by a timer where no heartbeat follows; ``agent_leases`` keeps a status per agent and
+``lease_expiries`` reports every lease that ran out, once the watermark has passed its end; ``agent_leases`` keeps a status per agent and
 counts a lease as expired when the next heartbeat comes.
 """
 
@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GRACE_MS = 30_000
@@ -53,71 +53,24 @@ def agent_leases(heartbeats: DataFrame, interval_ms: int = 20_000) -> DataFrame:
 EXPIRY = "agent_id long, beats long, last_beat timestamp, expired_at timestamp"
 
 
-class _Silence(StatefulProcessor):
-    """Heartbeats wait until the watermark has passed them, so that their order of arrival does not matter; a timer ends the last lease."""
-
-    def __init__(self, life_ms: int) -> None:
-        self.life = life_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.lease = handle.getValueState("lease", "last long, beats long")
-        self.waiting = handle.getListState("waiting", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = sorted(at for pdf in rows for at in pdf["at"].tolist())
-        if new:
-            self.waiting.appendList([(at,) for at in new])
-        # A lease can only run out where the next heartbeat is farther away than it lives.
-        for at, after in zip(new, [*new[1:], None]):
-            if after is None or after - at >= self.life:
-                self.handle.registerTimer(at + self.life)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(x[0] for x in self.waiting.get()) if self.waiting.exists() else []
-        last, beats = self.lease.get() if self.lease.exists() else (None, 0)
-        out = []
-        for at in (x for x in waiting if x <= now):
-            if last is not None and at - last >= self.life:
-                out.append((key[0], beats, last))
-                beats = 0
-            last, beats = at, beats + 1
-        if last is not None and last + self.life <= now:
-            out.append((key[0], beats, last))
-            last = None
-        if waiting:
-            self.waiting.clear()
-            if later := [(x,) for x in waiting if x > now]:
-                self.waiting.put(later)
-        if last is None:
-            self.lease.clear()
-        else:
-            self.lease.update((last, beats))
-            self.handle.registerTimer(last + self.life)
-        at = lambda ms: pd.to_datetime(pd.Series(ms, dtype="int64"), unit="ms")
-        yield pd.DataFrame({"agent_id": [r[0] for r in out], "beats": [r[1] for r in out], "last_beat": at([r[2] for r in out]), "expired_at": at([r[2] + self.life for r in out])})
-
-    def close(self) -> None:
-        pass
-
-
 def lease_expiries(heartbeats: DataFrame, interval_ms: int = 20_000, delay: str = "1 minute") -> DataFrame:
     """Leases that ran out over a stream of (agent_id, ts): beats, the last of them, and when the lease ended.
 
-    A lease lives as long as ``lease_ms`` after its last heartbeat. Heartbeats may be late by ``delay`` and in any order; what is later still is
-    dropped, as an agent that lost its lease is not heard. Rows without an agent or a time are left out. The result does not depend on how rows are
-    dealt to batches: a lease is reported once the watermark has passed its end. Needs the RocksDB state store (``rocksdb_state``).
+    A lease lives as long as ``lease_ms`` after its last heartbeat; it is a session of the agent that the watermark closes. Heartbeats may be late by
+    ``delay`` and in any order; what is later still counts only while its own lease would be open, as an agent that lost its lease is not heard. Rows
+    without an agent or a time are left out. The result does not depend on how rows are dealt to batches. A replay may hold many open leases, which
+    the RocksDB state store (``rocksdb_state``) keeps on disk.
     """
-    own = heartbeats.where("agent_id IS NOT NULL AND ts IS NOT NULL").selectExpr("CAST(agent_id AS bigint) AS agent_id", "CAST(ts AS timestamp) AS ts").withWatermark("ts", delay)
-    rows = own.selectExpr("agent_id", "ts", "unix_millis(ts) AS at")
-    return rows.groupBy("agent_id").transformWithStateInPandas(_Silence(lease_ms(interval_ms)), EXPIRY, "append", "eventTime")
+    life = lease_ms(interval_ms)
+    own = heartbeats.where("agent_id IS NOT NULL AND ts IS NOT NULL").selectExpr("CAST(agent_id AS bigint) AS agent_id", "timestamp_millis(unix_millis(CAST(ts AS timestamp))) AS ts").withWatermark("ts", delay)
+    # Sessions that touch are one, leases are not.
+    by = own.groupBy(F.session_window("ts", f"{life * 1000 - 1} microseconds").alias("lease"), "agent_id").agg(F.count("*").alias("beats"), F.max("ts").alias("last_beat"))
+    return by.select("agent_id", "beats", "last_beat", F.timestamp_millis(F.unix_millis("last_beat") + life).alias("expired_at"))
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """The session with the state store that timers need, and as before afterwards."""
+    """The session with the state store on disk, and as before afterwards."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
