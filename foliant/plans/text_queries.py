@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import language as L
 from foliant.functions import text as T
+from foliant.operators.grouped import once
 from foliant.operators.pages import bad_sources, best_of, needs_recognition, sampled_operators
 from foliant.plans.registry import Registry
 from foliant.sources.blocks import BLOCKS_SQL, JS_SPACE, NORM, PAGE_H, PAGE_W, blocks_from_documents
@@ -98,7 +99,9 @@ def profile_route(spark: SparkSession, d: str) -> DataFrame:
     """Operators 37 to 39: profile by operators per page, form, producer, script and citations."""
     ops = _blocks(spark, d).groupBy("doc_id").agg((F.count("*") / F.countDistinct("page_number")).alias("ops"), F.countDistinct("page_number").alias("n_pages"), F.array_join(F.collect_list("text"), " ").alias("t"))
     maker = F.when(F.col("doc_id") % 8 == 0, "Designer 6.5").when(F.col("doc_id") % 3 == 0, "pdfTeX-1.40").otherwise("Word")
-    rows = ops.withColumn("s", L.dominant_script(L.script_counts(F.col("t")))).withColumn("density", L.citation_density(F.col("t")))
+    # Counts are columns before they are compared; otherwise every comparison would read the text again.
+    ops = ops.withColumn("t", once(F.col("t"))).withColumns({"c": once(L.script_counts(F.col("t"))), "density": once(L.citation_density(F.col("t")))})
+    rows = ops.withColumn("s", once(L.dominant_script(F.col("c"))))
     p = L.route_profile(F.col("ops"), F.col("n_pages"), F.col("doc_id") % 4 == 0, maker, F.col("s.script"), F.col("s.ratio"), F.col("density"))
     return rows.select("doc_id", p.alias("p"), F.round("ops", 6).alias("ops_per_page")).select("doc_id", "p.profile", "p.confidence", "ops_per_page")
 
@@ -144,12 +147,15 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, x, k), rp AS (SELECT
 SELECT doc_id, round(sus, 6) AS suspicious, CASE WHEN chars = 0 THEN 0.0 ELSE round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.42::DOUBLE * 0.9 + least(chars / 180.0::DOUBLE, 1.0) * 0.24 + least(words / 32.0::DOUBLE, 1.0) * 0.12 + 0.3::DOUBLE * 0.05 + alnum * 0.17 - sus * 0.12 - rep * 0.08)), 3) END::DOUBLE AS score FROM z""")
 def recognition_score(spark: SparkSession, d: str) -> DataFrame:
     """Operators 21, 22: score of a text as if recognized with confidence 90 in three blocks."""
-    t = T.normalize_text(F.col("text"))
-    c = T.without_space(F.col("text"))
+    # Each figure is a column before others use it; otherwise every use would read the text again.
+    rows = _docs(spark, d).select("doc_id", once(T.normalize_text(F.col("text"))).alias("t"), once(T.without_space(F.col("text"))).alias("c"))
+    t, c = F.col("t"), F.col("c")
     words = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
     alnum = F.when(c == "", F.lit(0.0)).otherwise(F.regexp_count(c, F.lit("[A-Za-z0-9]")) / F.nullif(F.length(c), F.lit(0)))
-    sus = T.suspicious_ratio(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.round(sus, 6).alias("suspicious"), T.candidate_score(F.lit(90.0), F.length(c), words, F.lit(3), alnum, sus, T.repeated_ratio(F.col("text"))).alias("score"))
+    figures = {"words": words, "alnum": alnum, "sus": T.suspicious_ratio(c, c), "repeated": T.repeated_ratio(c, c)}
+    rows = rows.select("doc_id", F.length(c).alias("chars"), *[once(v).alias(k) for k, v in figures.items()])
+    score = T.candidate_score(F.lit(90.0), F.col("chars"), F.col("words"), F.lit(3), F.col("alnum"), F.col("sus"), F.col("repeated"))
+    return rows.select("doc_id", F.round("sus", 6).alias("suspicious"), score.alias("score"))
 
 
 @TEXT.query("repeated_ratio", r"""WITH r AS (SELECT doc_id, regexp_replace(text, '[\s]+', '', 'g') AS c FROM documents), ch AS (SELECT doc_id, c, i, substr(c, i, 1) AS x FROM (SELECT doc_id, c, unnest(generate_series(1, length(c))) AS i FROM r)),
