@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import run_style
+from foliant.operators.grouped import once
 from foliant.operators.layout import _or_null
 
 # What marks a legal filing, and mergers by preference for each rule with the rule's confidence.
@@ -89,51 +90,56 @@ def role_features(nodes: DataFrame, blocks: DataFrame, pages: DataFrame) -> Data
     own = {"heading_level": "int", "confidence": "double", "source_block_type": "string", "region_kind": "string", "artifact_type": "string", "n_merged": "int"}
     middle = blocks.where("font_size > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("font_size")).alias("s")).select("doc_id", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("median"))
     b = blocks.select("doc_id", F.col("block_id").alias("source_block_id"), F.col("page_number").alias("b_page"), F.col("font_size").alias("b_size"), F.col("font_name").alias("b_font"), *[_or_null(blocks, c, k).alias(f"b_{c}") for c, k in extra.items()])
-    n = nodes.withColumns({f"n_{c}": _or_null(nodes, c, k) for c, k in own.items()})
+    # Figures are columns before features use them; otherwise every use, and every bound of a bucket, would read the text again.
+    t, chars, letters, tokens = (F.col(c) for c in ("_t", "_chars", "_letters", "_tokens"))
+    ratio = lambda a, c: F.when(c > 0, a / F.nullif(c, F.lit(0))).otherwise(0.0)
+    n = nodes.withColumns({f"n_{c}": _or_null(nodes, c, k) for c, k in own.items()}).withColumn("_t", once(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")))
+    n = n.withColumns({"_chars": once(F.length(t)), "_letters": once(F.regexp_count(t, F.lit("[A-Za-z]"))), "_tokens": once(F.array_remove(F.split(t, r"\s+"), ""))})
+    ends = {"_token0": F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), "_token1": F.coalesce(F.get(tokens, F.size(tokens) - 1), F.lit(""))}
+    figures = {"_words": F.size(tokens), "_digits": ratio(F.regexp_count(t, F.lit(r"\d")), chars), "_upper": ratio(F.regexp_count(t, F.lit("[A-Z]")), letters), **ends}
+    n = n.withColumns({k: once(v) for k, v in figures.items()}).drop("_tokens", "_letters")
     w = W.partitionBy("doc_id").orderBy("reading_order", "page_number", "y", "x", "seq")
     prev, after = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
     n = n.withColumns({
-        "p_text": prev("text"), "a_text": after("text"), "has_p": prev("seq").isNotNull(), "has_a": after("seq").isNotNull(), "p_gap": F.abs(F.col("y") - prev(F.col("y") + F.col("h"))),
+        "p_words": prev("_words"), "a_words": after("_words"), "has_p": prev("seq").isNotNull(), "has_a": after("seq").isNotNull(), "p_gap": F.abs(F.col("y") - prev(F.col("y") + F.col("h"))),
         "a_gap": F.abs(after("y") - (F.col("y") + F.col("h"))), "p_dx": F.col("x") - prev("x"), "a_dx": after("x") - F.col("x"), "n_total": F.count("*").over(W.partitionBy("doc_id")),
     })
     size = pages.select("doc_id", F.col("page_number").alias("b_page"), F.col("width").alias("page_w"), F.col("height").alias("page_h"))
     n = n.join(b, ["doc_id", "source_block_id"], "left").withColumn("b_page", F.coalesce("b_page", "page_number")).join(size, ["doc_id", "b_page"], "left").join(middle, "doc_id", "left")
-    pw, ph = F.greatest(F.coalesce("page_w", F.lit(612.0)), F.lit(1.0)), F.greatest(F.coalesce("page_h", F.lit(792.0)), F.lit(1.0))
+    wide, high = F.greatest(F.coalesce("page_w", F.lit(612.0)), F.lit(1.0)), F.greatest(F.coalesce("page_h", F.lit(792.0)), F.lit(1.0))
     x, y, width, height = (F.coalesce(c, F.lit(0.0)) for c in "xywh")
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-    words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda v: v != ""))
-    tokens = F.filter(F.split(t, r"\s+"), lambda v: v != "")
-    chars, letters = F.length(t), F.regexp_count(t, F.lit("[A-Za-z]"))
-    ratio = lambda a, c: F.when(c > 0, a / F.nullif(c, F.lit(0))).otherwise(0.0)
-    part = lambda v, of, k: F.greatest(F.least(F.floor(v / of * k), F.lit(k - 1)), F.lit(0)).cast("string")
+    places = {"_x": x / wide, "_y": y / high, "_w": width / wide, "_h": height / high, "_bottom": (y + height) / high}
+    sizes = {"_size": F.coalesce("b_size", F.lit(0.0)) / F.greatest(F.coalesce("median", F.lit(10.0)), F.lit(1.0)), "_order": F.coalesce("reading_order", F.lit(0)) / F.col("n_total"), "_font": F.lower(F.coalesce("b_font", F.lit("")))}
+    n = n.withColumns({k: once(v) for k, v in (places | sizes).items()})
+    part = lambda c, k: F.greatest(F.least(F.floor(F.col(c) * k), F.lit(k - 1)), F.lit(0)).cast("string")
     yes = lambda c: F.when(c, "yes").otherwise("no")
     has = lambda p: yes(t.rlike(p))
     some = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("none"))
     level = lambda c: F.nullif(F.col(c), F.lit(0)).cast("string")
-    font = F.lower(F.coalesce("b_font", F.lit("")))
+    font = F.col("_font")
     family = F.when(font == "", "unknown").when(font.rlike("mono|courier|consolas|code"), "mono").when(font.rlike("serif|times|georgia|garamond"), "serif").when(font.rlike("symbol|dingbat|zapf"), "symbol").otherwise("sans-or-other")
     cell = lambda c, bounds: F.when(F.col(c).isNull(), "none").otherwise(bucket(F.col(c), bounds))
     side = lambda there, dx: F.when(~F.col(there), "none").when(F.abs(dx) < 4, "aligned").when(F.col(dx) > 0, "indented").otherwise("outdented")
     gap = lambda there, c: F.when(~F.col(there), "none").otherwise(bucket(F.col(c), [3, 8, 16, 32, 64, 128]))
     features = {
-        "page:xq": part(x, pw, 5), "page:yq": part(y, ph, 8), "page:w": bucket(width / pw, [0.08, 0.18, 0.35, 0.65, 0.9]), "page:h": bucket(height / ph, [0.015, 0.03, 0.06, 0.12]),
-        "page:left": bucket(x / pw, [0.08, 0.18, 0.32, 0.5]), "page:top": yes(y / ph < 0.12), "page:bottom": yes((y + height) / ph > 0.88),
-        "text:chars": bucket(chars, [1, 8, 20, 60, 140, 320]), "text:words": bucket(F.size(tokens), [1, 3, 8, 18, 40, 90]), "text:digits": bucket(ratio(F.regexp_count(t, F.lit(r"\d")), chars), [0.02, 0.15, 0.4, 0.75]),
-        "text:upper": bucket(ratio(F.regexp_count(t, F.lit("[A-Z]")), letters), [0.2, 0.55, 0.85]), "text:empty": yes(chars == 0), "text:bullet": has(r"^\s*[•*+\-o]\s+"),
+        "page:xq": part("_x", 5), "page:yq": part("_y", 8), "page:w": bucket(F.col("_w"), [0.08, 0.18, 0.35, 0.65, 0.9]), "page:h": bucket(F.col("_h"), [0.015, 0.03, 0.06, 0.12]),
+        "page:left": bucket(F.col("_x"), [0.08, 0.18, 0.32, 0.5]), "page:top": yes(F.col("_y") < 0.12), "page:bottom": yes(F.col("_bottom") > 0.88),
+        "text:chars": bucket(chars, [1, 8, 20, 60, 140, 320]), "text:words": bucket(F.col("_words"), [1, 3, 8, 18, 40, 90]), "text:digits": bucket(F.col("_digits"), [0.02, 0.15, 0.4, 0.75]),
+        "text:upper": bucket(F.col("_upper"), [0.2, 0.55, 0.85]), "text:empty": yes(chars == 0), "text:bullet": has(r"^\s*[•*+\-o]\s+"),
         "text:numbered": has(r"(?i)^\s*(\(?\d+[\).]|\(?[A-Za-z][\).]|[ivxlcdm]+[\).])\s+"), "text:ends-colon": has(":$"), "text:ends-period": has("[.!?]$"), "text:contains-url": has(r"(?i)(https?:\/\/|www\.|\.gov|\.org|\.edu)"),
         "text:punct-heavy": has(r"[|]{1,}|\s{3,}"), "text:table-markers": has(r"(?i)\b(total|amount|rate|date|code|description|item|qty|quantity)\b"), "text:note-marker": has(r"^\s*(\*|†|\[\d+\]|\d{1,2})\s*$"),
-        "text:currency": has("[$€£]"), "text:percent": has("%"), "text:first-token": _token(F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))), "text:last-token": _token(F.coalesce(F.get(tokens, F.size(tokens) - 1), F.lit(""))),
+        "text:currency": has("[$€£]"), "text:percent": has("%"), "text:first-token": _token(F.col("_token0")), "text:last-token": _token(F.col("_token1")),
         "text:publication-notice": has(r"(?i)\b(federal register|scheduled to be published|govinfo|billing code)\b"),
         "layout:block-type": F.coalesce(F.nullif(F.col("b_block_type"), F.lit("")), F.lit("unknown")), "layout:heading-level": F.coalesce(level("b_heading_level"), level("n_heading_level"), F.lit("none")), "layout:font-class": family,
-        "layout:font-ratio": bucket(F.coalesce("b_size", F.lit(0.0)) / F.greatest(F.coalesce("median", F.lit(10.0)), F.lit(1.0)), [0.82, 0.96, 1.08, 1.3, 1.7]), "layout:synthetic": yes(F.coalesce("b_synthetic", F.lit(False))),
+        "layout:font-ratio": bucket(F.col("_size"), [0.82, 0.96, 1.08, 1.3, 1.7]), "layout:synthetic": yes(F.coalesce("b_synthetic", F.lit(False))),
         "layout:table-role": some("b_table_role"), "layout:table-section": some("b_table_section"), "layout:table-row": cell("b_table_row_index", [1, 2, 4, 8, 16]), "layout:table-column": cell("b_table_column_index", [1, 2, 4, 8, 16]),
         "layout:table-confidence": cell("b_table_cell_confidence", [0.45, 0.7, 0.86, 0.94]), "layout:table-detection": some("b_table_detection_method"),
         "node:heading-level": F.coalesce(level("n_heading_level"), F.lit("none")), "node:column": F.coalesce(F.col("column_hint").cast("string"), F.lit("none")), "node:confidence": bucket(F.col("n_confidence"), [0.35, 0.55, 0.75, 0.9]),
-        "node:order": bucket(F.coalesce("reading_order", F.lit(0)) / F.col("n_total"), [0.08, 0.2, 0.5, 0.8, 0.95]), "node:source-block-type": some("n_source_block_type"), "node:region-kind": some("n_region_kind"),
-        "node:artifact-type": some("n_artifact_type"), "node:merged": yes(F.coalesce("n_n_merged", F.lit(0)) > 1), "neighbor:prev-words": bucket(words("p_text"), [1, 3, 8, 18, 40]), "neighbor:next-words": bucket(words("a_text"), [1, 3, 8, 18, 40]),
+        "node:order": bucket(F.col("_order"), [0.08, 0.2, 0.5, 0.8, 0.95]), "node:source-block-type": some("n_source_block_type"), "node:region-kind": some("n_region_kind"),
+        "node:artifact-type": some("n_artifact_type"), "node:merged": yes(F.coalesce("n_n_merged", F.lit(0)) > 1), "neighbor:prev-words": bucket(F.col("p_words"), [1, 3, 8, 18, 40]), "neighbor:next-words": bucket(F.col("a_words"), [1, 3, 8, 18, 40]),
         "neighbor:prev-gap": gap("has_p", "p_gap"), "neighbor:next-gap": gap("has_a", "a_gap"), "neighbor:prev-x": side("has_p", "p_dx"), "neighbor:next-x": side("has_a", "a_dx"),
     }
-    return n.withColumn("features", F.array_sort(F.array(*[F.concat(F.lit(f"{k}:"), v) for k, v in features.items()]))).select(*nodes.columns, "features")
+    return n.withColumn("features", once(F.sort_array(F.array(*[F.concat(F.lit(f"{k}:"), v) for k, v in features.items()])))).select(*nodes.columns, "features")
 
 
 def role_metrics(predictions: DataFrame) -> DataFrame:
