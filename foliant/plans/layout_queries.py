@@ -233,5 +233,5 @@ def smallest_box_hit(spark: SparkSession, d: str) -> DataFrame:
 @LAYOUT.query("distinct_boxes")
 def distinct_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Operators 26, 27: greedy removal of equal texts at nearly the same place."""
-    b = _blocks(spark, d).withColumn("comparable", T.comparable(F.col("text"))).withColumn("y", F.floor(F.col("y") / 60) * 60)
+    b = _blocks(spark, d).select("doc_id", "page_number", "seq", T.comparable(F.col("text")).alias("comparable"), "x", (F.floor(F.col("y") / 60) * 60).alias("y"), "w", "h")
     return O.distinct_boxes(b).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_kept"))
