@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import pairwise
+from operator import attrgetter, itemgetter
 from statistics import fmean, median
 
 from pyspark.sql import DataFrame
@@ -43,19 +46,19 @@ class Line:
     def share(self, test) -> float:
         return sum(map(test, self.items)) / len(self.items)
 
-    @property
+    @cached_property
     def numeric(self) -> float:
         return self.share(lambda b: bool(NUMERIC.search(b.text)))
 
-    @property
+    @cached_property
     def headers(self) -> float:
         return self.share(lambda b: len(b.text) <= 48 and bool(LETTER.search(b.text)) and not NUMERIC.search(b.text))
 
-    @property
+    @cached_property
     def size(self) -> float:
         return fmean(b.font_size for b in self.items)
 
-    @property
+    @cached_property
     def span(self) -> float:
         return self.items[-1].x + self.items[-1].w - self.items[0].x
 
@@ -63,38 +66,44 @@ class Line:
 def running_clusters(items: list, value, tolerance: float) -> list[list]:
     """Items in the order of ``value``, in clusters around a running mean."""
     out: list[list] = []
+    last: list = []
     total = 0.0
     for item in sorted(items, key=value):
         v = value(item)
-        if out and abs(v - total / len(out[-1])) <= tolerance:
-            out[-1].append(item)
+        if last and abs(v - total / len(last)) <= tolerance:
+            last.append(item)
             total += v
         else:
-            out.append([item])
+            out.append(last := [item])
             total = v
     return out
 
 
 def nearest_pairs(left: list[float], right: list[float], tolerance: float) -> list[tuple[int, int]]:
     """Each value of ``left`` in turn takes the nearest value of ``right`` that is free, within ``tolerance``."""
-    free, out = set(range(len(right))), []
+    free, out = dict(enumerate(right)), []
     for i, v in enumerate(left):
-        near = [(abs(v - right[k]), k) for k in free if abs(v - right[k]) <= tolerance]
-        if near:
-            free.discard(k := min(near)[1])
-            out.append((i, k))
+        nearest, least = None, tolerance
+        for k, r in free.items():
+            d = abs(v - r)
+            if d < least or d == least and nearest is None:
+                nearest, least = k, d
+        if nearest is not None:
+            del free[nearest]
+            out.append((i, nearest))
     return out
 
 
 def table_rows(blocks: list, base: float, g: Grid) -> list[Line]:
     """Rows of at least two short blocks that are spread out and have a real gap."""
-    short = [b for b in blocks if 0 < len(b.text) <= g.longest and b.w <= g.width * 0.68 and b.h <= max(24, base * 2.4)]
+    wide, high, apart, least = g.width * 0.68, max(24, base * 2.4), max(14, base * 0.8), max(g.width * 0.16, 72)
+    short = [b for b in blocks if 0 < len(b.text) <= g.longest and b.w <= wide and b.h <= high]
     rows = []
     for k, items in enumerate(running_clusters(short, lambda b: b.y + b.h / 2, max(g.row_tolerance, base * 0.9))):
-        row = Line(sorted(items, key=lambda b: b.x), k)
-        wide = any(b.x - (a.x + a.w) >= max(14, base * 0.8) for a, b in zip(row.items, row.items[1:]))
-        if len(items) > 1 and row.span >= max(g.width * 0.16, 72) and wide:
-            rows.append(row)
+        if len(items) > 1:
+            row = Line(sorted(items, key=attrgetter("x")), k)
+            if row.span >= least and any(b.x - (a.x + a.w) >= apart for a, b in pairwise(row.items)):
+                rows.append(row)
     return rows
 
 
@@ -119,14 +128,28 @@ class Band:
     g: Grid
 
     def __post_init__(self) -> None:
-        items = [(r.number, b) for r in self.rows for b in r.items]
-        reach = max(12, median(b.w for _, b in items) * 0.65, self.g.width * 0.025, self.base * 1.1)
+        items = [(b.x, r.number) for r in self.rows for b in r.items]
+        self.reach = max(12, median([b.w for r in self.rows for b in r.items]) * 0.65, self.g.width * 0.025, self.base * 1.1)
         least = max(2, math.ceil(len(self.rows) * 0.6))
-        found = [c for c in running_clusters(items, lambda x: x[1].x, reach) if len({n for n, _ in c}) >= least]
-        self.anchors = sorted(fmean(b.x for _, b in c) for c in found)
-        self.cells = {r.number: sorted((k, r.items[i]) for i, k in nearest_pairs([b.x for b in r.items], self.anchors, reach)) for r in self.rows} if self.anchors else {}
-        self.stable = [r for r in self.rows if len(self.cells.get(r.number, ())) >= 2]
-        self.header = has_header(self.stable)
+        found = [c for c in running_clusters(items, itemgetter(0), self.reach) if len({n for _, n in c}) >= least]
+        self.anchors = sorted(fmean([x for x, _ in c]) for c in found)
+
+    def places(self, row: Line) -> list[tuple]:
+        """(column, block) of the blocks of ``row`` that are in a column."""
+        return sorted((k, row.items[i]) for i, k in nearest_pairs([b.x for b in row.items], self.anchors, self.reach))
+
+    # A band that is only tried needs its columns; the rest is asked for once, of the bands that stay.
+    @cached_property
+    def cells(self) -> dict[int, list[tuple]]:
+        return {r.number: self.places(r) for r in self.rows}
+
+    @cached_property
+    def stable(self) -> list[Line]:
+        return [r for r in self.rows if len(self.cells[r.number]) >= 2]
+
+    @cached_property
+    def header(self) -> bool:
+        return has_header(self.stable)
 
     @property
     def sure(self) -> bool:
@@ -164,18 +187,18 @@ class Band:
 
 def page_bands(rows: list[Line], base: float, g: Grid) -> list[Band]:
     """Bands of consecutive rows: a row joins if it is near, shares two edges, is of like length and fits the columns."""
-    bands: list[list[Line]] = []
+    bands: list[Band] = []
     for row in rows:
         if bands:
-            last = bands[-1][-1]
-            gap = min(b.y for b in row.items) - max(b.y + b.h for b in last.items)
-            shared = len(nearest_pairs([b.x for b in last.items], [b.x for b in row.items], max(12, g.width * 0.03, base * 1.2)))
-            alike = shared >= 2 and abs(len(last.items) - len(row.items)) <= 1
-            if gap <= max(22, base * 3.2) and alike and any(r.number == row.number for r in Band([*bands[-1], row], base, g).stable):
-                bands[-1].append(row)
-                continue
-        bands.append([row])
-    return [Band(b, base, g) for b in bands if len(b) > 1]
+            last = bands[-1].rows[-1]
+            gap = min([b.y for b in row.items]) - max([b.y + b.h for b in last.items])
+            if gap <= max(22, base * 3.2) and abs(len(last.items) - len(row.items)) <= 1:
+                shared = len(nearest_pairs([b.x for b in last.items], [b.x for b in row.items], max(12, g.width * 0.03, base * 1.2)))
+                if shared >= 2 and len((grown := Band([*bands[-1].rows, row], base, g)).places(row)) >= 2:
+                    bands[-1] = grown
+                    continue
+        bands.append(Band([row], base, g))
+    return [b for b in bands if len(b.rows) > 1]
 
 
 def loose_bands(blocks: list, base: float, g: Grid) -> list[Band]:
@@ -218,12 +241,13 @@ def text_grid_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
     """(doc_id, page_number, block_id, table_id, table_role, table_row, table_column, confidence) of cells in text-grid tables."""
 
     def detect(items: list) -> list[tuple]:
-        base = median(b.font_size for b in items)
+        base = median([b.font_size for b in items])
         out = []
         for k, band in enumerate((b for b in page_bands(table_rows(items, base, g), base, g) if b.sure), 1):
+            doc, page, sure, name = items[0].doc_id, items[0].page_number, band.confidence, f"table:{items[0].page_number}:{k}"
             for i, row in enumerate(band.stable):
                 role = "header" if band.header and i == 0 else "cell"
-                out += [(b.doc_id, b.page_number, b.block_id, f"table:{b.page_number}:{k}", role, i, column, band.confidence) for column, b in band.cells[row.number]]
+                out += [(doc, page, b.block_id, name, role, i, column, sure) for column, b in band.cells[row.number]]
         return out
 
     return map_groups(blocks.select(*_BLOCK), PAGE, ["seq"], detect, OUT)
@@ -236,12 +260,13 @@ def borderless_tables(blocks: DataFrame, g: Grid = Grid()) -> DataFrame:
     """Like ``text_grid_tables``, for rows that merely line up; ids say borderless."""
 
     def detect(items: list) -> list[tuple]:
-        base = median(b.font_size for b in items)
+        base = median([b.font_size for b in items])
         out = []
         for k, band in enumerate((b for b in loose_bands(items, base, g) if b.loose), 1):
+            doc, page, sure, name = items[0].doc_id, items[0].page_number, band.loose_confidence, f"table:{items[0].page_number}:borderless:{k}"
             for i, row in enumerate(band.stable):
                 role = "header" if band.header and i == 0 else "cell"
-                out += [(b.doc_id, b.page_number, b.block_id, f"table:{b.page_number}:borderless:{k}", role, i, column, band.loose_confidence) for column, b in band.cells[row.number]]
+                out += [(doc, page, b.block_id, name, role, i, column, sure) for column, b in band.cells[row.number]]
         return out
 
     return map_groups(blocks.select(*_BLOCK), PAGE, ["seq"], detect, OUT)
