@@ -65,12 +65,13 @@ def recognition_plan(explicit: Column, language: Column, confidence: Column) ->
 
 def script_counts(text: Column) -> Column:
     """Struct of characters by script and of others; spaces and control characters don't count."""
-    n = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
-    skipped = "\\u0000-\\u0020\\u0080-\\u009F"
-    latin = (n(SCRIPTS["latin"]) - n("\\u0020\\u0080-\\u009F")).alias("latin")
-    rest = [n(SCRIPTS[s]).alias(s) for s in ("cjk", "arabic", "hebrew", "cyrillic")]
-    other = F.regexp_count(text, F.lit(f"[^{skipped}{''.join(SCRIPTS.values())}]")).alias("other")
-    return F.struct(latin, *rest, other)
+    # A count is what a text loses with runs of these characters; what is neither latin nor skipped is looked for in texts beyond ASCII only.
+    without = lambda t, chars: F.regexp_replace(t, F.lit(f"[{chars}]+"), F.lit(""))
+    beyond = F.when(F.octet_length(text) == F.length(text), "").otherwise(without(text, "\\u0000-\\u024F"))
+    n = F.length(beyond)
+    latin = F.length(without(text, "\\u0000-\\u0020\\u0080-\\u009F")) - n
+    rest = {s: n - F.length(without(beyond, SCRIPTS[s])) for s in SCRIPTS if s != "latin"}
+    return F.struct(latin.alias("latin"), *[c.alias(s) for s, c in rest.items()], (n - sum(rest.values(), F.lit(0))).alias("other"))
 
 
 def dominant_script(counts: Column) -> Column:
