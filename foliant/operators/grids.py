@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -254,26 +256,61 @@ def _page_grids(rules: list[tuple], tolerance: float, gap: float, least: float,
     return out
 
 
-#: Forms of ruled pages that a task keeps, as many pages are ruled alike.
+#: Forms of ruled pages that a worker remembers, as many pages are ruled alike.
 FORMS = 20_000
+_forms: dict[tuple, list] = {}
 
 
-def _each_page(batches: Iterator[pa.RecordBatch], tolerance: float, gap: float, least: float, crossing: float) -> Iterator[tuple]:
-    """(batch, row, grids) of every page; pages with the same rules are worked out once while the task remembers them."""
-    known: dict[tuple, list] = {}
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in which a page, two keys and arrays, is one row: rows of one that follow each other become one."""
+    rest = None
     for b in batches:
-        column = b.column(b.schema.get_field_index("rules"))
-        at, parts = column.offsets.to_pylist(), column.values
-        orients = parts.field("orient").to_pylist()
-        places = [parts.field(c).to_pylist() for c in ("at", "start", "end")]
-        for k in range(b.num_rows):
-            rules = tuple(zip(orients[at[k] : at[k + 1]], *(p[at[k] : at[k + 1]] for p in places)))
-            found = known.get(rules)
-            if found is None:
-                if len(known) >= FORMS:
-                    known.clear()
-                found = known[rules] = _page_grids([r for r in rules if None not in r], tolerance, gap, least, crossing)
-            yield b, k, found
+        b = b if rest is None else pa.concat_batches([rest, b])
+        keys = [c.to_numpy(zero_copy_only=False) for c in b.columns[:2]]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, b.num_rows), bool), (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))))
+        if not len(starts):
+            continue
+        if starts[-1]:
+            yield _joined(b, starts)
+        rest = b.slice(starts[-1])
+    if rest is not None:
+        yield _joined(rest, np.array([0, rest.num_rows]))
+
+
+def _joined(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """Rows from one of ``starts`` to the next as one, without those from the last on."""
+    at, ends = pa.array(starts[:-1]), pa.array(starts)
+    lists = [pa.ListArray.from_arrays(c.offsets.take(ends), c.values) for c in b.columns[2:]]
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:2]), *lists], names=b.schema.names)
+
+
+def _grids_of_pages(column: pa.ListArray, how: tuple[float, ...]) -> list[list]:
+    """``_page_grids`` of every page of a batch by its array of rules; pages with the same rules are worked out once while the worker remembers them."""
+    at, parts = column.offsets.to_pylist(), column.values
+    orients, ends = parts.field("orient"), [parts.field(c) for c in ("at", "start", "end")]
+    codes = pc.index_in(orients, value_set=pa.array(["h", "v"])).fill_null(-1)
+    columns = [codes, *(pc.fill_null(c, 0.0) for c in ends), *(pc.is_null(c).cast(pa.int8()) for c in (orients, *ends) if parts.null_count or c.null_count)]
+    # What is missing adds columns; these are not mistaken for others, as their number is in the key.
+    signs = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+    out = []
+    for i, j in zip(at, at[1:]):
+        key = signs[i:j].tobytes(), len(columns), tuple(orients[i:j].to_pylist()) if (signs[i:j, 0] < 0).any() else (), how
+        found = _forms.get(key)
+        if found is None:
+            if len(_forms) >= FORMS:
+                _forms.clear()
+            rules = zip(*(c[i:j].to_pylist() for c in (orients, *ends)))
+            found = _forms[key] = _page_grids([r for r in rules if None not in r], *how)
+        out.append(found)
+    return out
+
+
+def _rules(pages: DataFrame) -> Column:
+    """The array ``rules`` as texts and doubles, as it stands if it holds them."""
+    names = ("orient", "at", "start", "end")
+    if [(f.name, f.dataType.simpleString()) for f in pages.schema["rules"].dataType.elementType] == [(n, "string" if n == "orient" else "double") for n in names]:
+        return F.col("rules")
+    return F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in names[1:]]))
 
 
 _SIGNALS = "signals array<struct<kind:string,row:int,col:int>>"
@@ -283,80 +320,206 @@ _CELLS = "cells array<struct<row:int,col:int,row_span:int,column_span:int,x:doub
 def page_grids(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0) -> DataFrame:
     """(doc_id, page_number, table_id, ys, xs, signals, cells): ``grid_cells`` without blocks of ``merge_signals`` of ``merged_rules``, in one pass.
 
-    ``pages``: doc_id, page_number and an array ``rules`` of (orient, at, start, end); a page is one row, and nothing is dealt out anew.
+    ``pages``: doc_id, page_number and an array ``rules`` of (orient, at, start, end); a page is one row, or some that follow each other, and nothing is dealt out anew.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last = None
-        for b, k, grids in _each_page(batches, tolerance, gap, least, crossing):
-            if b is not last:
-                last, docs, numbers = b, b.column(0).to_pylist(), b.column(1).to_pylist()
-            for name, ys, xs, signals, _, boxes in grids:
-                yield docs[k], numbers[k], name, ys, xs, signals, [(*x, ()) for x in boxes]
-
-    rules = F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in ("at", "start", "end")]))
-    return map_rows(pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules")), go, f"doc_id long, page_number int, table_id long, ys array<double>, xs array<double>, {_SIGNALS}, {_CELLS}")
-
-
-def _head_rows(cells: list[tuple], ids: list[list], marks: dict[str, tuple], base: float | None) -> set[int]:
-    """The rows from the first on that are headers, as ``tables.ruled_table_cells`` tells them; ``marks``: bold (1), label (2), number (4) and size of a block."""
-    rows: dict[int, list] = {}
-    for (r, _, below, right), some in zip(cells, ids):
-        own = rows.setdefault(r, [[], False])
-        own[0] += [marks[i] for i in some if i in marks]
-        own[1] |= below > 1 or right > 1
-    heads: set[int] = set()
-    for r in sorted(rows):
-        found, merged = rows[r]
-        bold, labels, numbers = (sum(bool(m & bit) for m, _ in found) / len(found) if found else 0.0 for bit in (1, 2, 4))
-        sizes = [s for _, s in found if s is not None]
-        larger = base is not None and (sum(sizes) / len(sizes) if sizes else base) >= base * 1.04
-        if not (r == 0 and merged or bold >= 0.6 or labels >= 0.75 and numbers <= 0.5 or r == 0 and labels >= 0.6 and larger):
-            break
-        heads.add(r)
-    return heads
+        for b in _whole_pages(batches):
+            for doc, number, grids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _grids_of_pages(b.column(2), (tolerance, gap, least, crossing))):
+                for name, ys, xs, signals, _, boxes in grids:
+                    yield doc, number, name, ys, xs, signals, [(*x, ()) for x in boxes]
+
+    return map_rows(pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), _rules(pages).alias("rules")), go, f"doc_id long, page_number int, table_id long, ys array<double>, xs array<double>, {_SIGNALS}, {_CELLS}")
+
+
+class _Tables:
+    """Grids of a batch's pages that are large enough, one a row: ``page`` and, for each different grid, its lines, cells and which cell covers a place."""
+
+    def __init__(self, pages: list[list]) -> None:
+        kinds: dict[int, int] = {}
+        self.kinds: list[tuple] = []
+        page, kind = [], []
+        for k, grids in enumerate(pages):
+            for g in grids:
+                ys, xs = g[1], g[2]
+                if xs[-1] - xs[0] < 64 or ys[-1] - ys[0] < 36:
+                    continue
+                if id(g) not in kinds:
+                    kinds[id(g)] = len(self.kinds)
+                    self.kinds.append(g)
+                page.append(k)
+                kind.append(kinds[id(g)])
+        self.page, self.kind = np.array(page, int), np.array(kind, int)
+        self.n_cells = np.array([len(g[4]) for g in self.kinds], int)
+
+    def held(self, chosen: np.ndarray, starts: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tables ``chosen``, whose pages' points begin at ``starts``: the number of points in each or four off, and pairs of cell (numbered from the first table's on) and point in it or two off."""
+        kind = self.kind[chosen]
+        used, of = np.unique(kind, return_inverse=True)
+        lines = [self._padded([self.kinds[u][k] for u in used]) for k in (1, 2)]
+        first, size = starts[self.page[chosen]], starts[self.page[chosen] + 1] - starts[self.page[chosen]]
+        table = np.repeat(np.arange(len(chosen)), size)
+        point = np.arange(len(table)) + np.repeat(first - np.cumsum(size) + size, size)
+        form = of[table]
+        near, bands = np.ones(len(point), bool), []
+        for at, v in zip(lines, (y[point], x[point])):
+            low, high = np.nanmin(at, axis=1)[form], np.nanmax(at, axis=1)[form]
+            near &= (low - 4 <= v) & (v <= high + 4)
+            bands.append((at[form, :-1] - 2 <= v[:, None]) & (v[:, None] <= at[form, 1:] + 2))
+        # Where a point is near a line it is in two bands; every pair of bands is a place.
+        counts = [b.sum(axis=1) * near for b in bands]
+        flat = [np.nonzero(b & near[:, None])[1] for b in bands]
+        begin = [np.cumsum(c) - c for c in counts]
+        every = counts[0] * counts[1]
+        p = np.repeat(np.arange(len(point)), every)
+        t = np.arange(len(p)) - np.repeat(np.cumsum(every) - every, every)
+        row, col = (flat[k][begin[k][p] + i] for k, i in enumerate(np.divmod(t, counts[1][p]))) if len(p) else (t, t)
+        base = np.cumsum(self.n_cells[kind]) - self.n_cells[kind]
+        cells, hits = [], []
+        for layer in self._covers(used, lines):
+            cell = layer[form[p], row, col]
+            there = cell >= 0
+            cells.append((base[table[p]] + cell)[there])
+            hits.append(point[p][there])
+        return np.bincount(table[near], minlength=len(chosen)), np.concatenate(cells), np.concatenate(hits)
+
+    @staticmethod
+    def _padded(rows: list[list[float]]) -> np.ndarray:
+        out = np.full((len(rows), max(map(len, rows))), np.nan)
+        for k, r in enumerate(rows):
+            out[k, : len(r)] = r
+        return out
+
+    def _covers(self, used: np.ndarray, lines: list[np.ndarray]) -> list[np.ndarray]:
+        """By grid and place the number of the cell over it or -1, as often as cells overlap."""
+        layers: list[np.ndarray] = []
+        for g, u in enumerate(used):
+            for k, (r, c, below, right) in enumerate(self.kinds[u][4]):
+                for i in range(r, r + below):
+                    for j in range(c, c + right):
+                        free = next((layer for layer in layers if layer[g, i, j] < 0), None)
+                        if free is None:
+                            layers.append(free := np.full((len(used), lines[0].shape[1], lines[1].shape[1]), -1))
+                        free[g, i, j] = k
+        return layers
+
+
+#: Points times lines of a grid that are compared at once.
+AT_ONCE = 4_000_000
+
+
+def _found_tables(b: pa.RecordBatch, how: tuple[float, ...], heads: bool) -> Iterator[pa.RecordBatch]:
+    """``page_candidates`` of a batch of pages."""
+    tables = _Tables(_grids_of_pages(b.column(2), how))
+    starts, points = b.column(3).offsets.to_numpy(), b.column(3).values
+    sizes = np.diff(starts)[tables.page] * np.array([len(g[1]) + len(g[2]) for g in tables.kinds], int)[tables.kind] if len(tables.page) else np.zeros(0, int)
+    # Tables of a page stay together.
+    parts = (np.cumsum(sizes) // AT_ONCE)[np.searchsorted(tables.page, tables.page)]
+    for part in np.unique(parts):
+        yield from _tables_of(b, tables, np.flatnonzero(parts == part), starts, points, heads)
+
+
+def _tables_of(b: pa.RecordBatch, tables: _Tables, chosen: np.ndarray, starts: np.ndarray, points: pa.StructArray, heads: bool) -> Iterator[pa.RecordBatch]:
+    names = points.field("block_id")
+    n, cell, point = tables.held(chosen, starts, *(points.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy")))
+    words = names.dictionary_encode()
+    order = {w: k for k, w in enumerate(sorted(words.dictionary.to_pylist()))}
+    rank = np.array([order[w] for w in words.dictionary.to_pylist()], int)[words.indices.to_numpy(zero_copy_only=False)]
+    by = np.lexsort((point, rank[point], cell))
+    cell, point = cell[by], point[by]
+    once_each = np.ones(len(cell), bool)
+    once_each[1:] = (cell[1:] != cell[:-1]) | (point[1:] != point[:-1])
+    cell, point = cell[once_each], point[once_each]
+
+    kind, page = tables.kind[chosen], tables.page[chosen]
+    count = tables.n_cells[kind]
+    table = np.repeat(np.arange(len(chosen)), count)
+    ids = np.bincount(cell, minlength=len(table))
+    shape = np.array([(len(g[1]) - 1, len(g[2]) - 1, len(g[3])) for g in tables.kinds], int)[kind]
+    rows, cols, signals = shape.T
+    size = rows * cols
+    filled = np.bincount(table[ids > 0], minlength=len(chosen))
+    enough = filled / count >= 0.4
+    for k in np.flatnonzero(~enough):
+        own = slice(*np.searchsorted(table[cell], (k, k + 1)))
+        enough[k] = len(set(rank[point[own]].tolist())) >= max(8, -(-int(size[k]) * 35 // 100))
+    kept = np.flatnonzero(enough & (n >= 2))
+    if not len(kept):
+        return
+    sure = 0.62 + np.minimum(0.18, rows * 0.03) + np.minimum(0.12, cols * 0.03) + np.minimum(0.08, n / size * 0.08) + np.minimum(0.06, signals * 0.02)
+    own = np.isin(table, kept)
+    boxes = [np.concatenate([_box_columns(tables.kinds[k])[i] for k in kind[kept]]) for i in range(8)]
+    fields = [pa.array(v, pa.int32()) for v in boxes[:4]] + [pa.array(v) for v in boxes[4:]]
+    if heads:
+        fields.append(pa.array(_head_flags(tables, chosen, table, cell, point, starts, points)[own]))
+    fields.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ids[own]))).astype(np.int32)), names.take(pa.array(point[own[cell]]))))
+    labels = ["row", "col", "row_span", "column_span", "x", "y", "w", "h", *(["header"] if heads else []), "block_ids"]
+    cells = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count[kept]))).astype(np.int32)), pa.StructArray.from_arrays(fields, names=labels))
+    of = page[kept]
+    numbers = b.column(1).take(pa.array(of)).to_pylist()
+    # A page's tables lie together.
+    new = np.concatenate(([True], of[1:] != of[:-1]))
+    number = np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0)) + 1
+    frame = np.array([(g[2][0], g[1][0], g[2][-1] - g[2][0], g[1][-1] - g[1][0]) for g in tables.kinds])[kind[kept]]
+    columns = [
+        b.column(0).take(pa.array(of)), pa.array(numbers, pa.int32()), pa.array([f"vector-table:{p}:{k}" for p, k in zip(numbers, number.tolist())]), *map(pa.array, np.ascontiguousarray(frame.T)),
+        *(pa.array(v[kept], pa.int32()) for v in (rows, cols, signals)), pa.array(n[kept], pa.int64()), pa.array([_round3(v) for v in np.minimum(sure[kept], 0.97).tolist()]), cells,
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page_number", "table_id", "x", "y", "w", "h", "n_rows", "n_columns", "n_signals", "n_blocks", "confidence", "cells"])
+
+
+def _box_columns(grid: tuple) -> list[np.ndarray]:
+    """row, col, row_span, column_span, x, y, w, h of a grid's cells."""
+    return list(np.array(grid[5], float).T)
+
+
+def _head_flags(tables: _Tables, chosen: np.ndarray, table: np.ndarray, cell: np.ndarray, point: np.ndarray, starts: np.ndarray, points: pa.StructArray) -> np.ndarray:
+    """Which cells are in the rows from the first on that are headers, as ``tables.ruled_table_cells`` tells them; ``mark`` of a point: bold (1), label (2), number (4)."""
+    kind = tables.kind[chosen]
+    at = np.concatenate([np.array([c[0] for c in tables.kinds[k][4]]) for k in kind])
+    wide = np.concatenate([np.array([c[2] > 1 or c[3] > 1 for c in tables.kinds[k][4]]) for k in kind])
+    # Cells of a row lie together.
+    row = np.cumsum(np.concatenate(([True], (at[1:] != at[:-1]) | (table[1:] != table[:-1])))) - 1
+    marks, sizes = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("mark", "size"))
+    told = ~np.isnan(marks[point])
+    own, mark, size = row[cell][told], marks[point][told].astype(int), sizes[point][told]
+    total = row[-1] + 1
+    n = np.bincount(own, minlength=total)
+    bold, labels, numbers = (np.bincount(own, (mark & bit > 0).astype(float), minlength=total) / np.maximum(n, 1) for bit in (1, 2, 4))
+    known = ~np.isnan(size)
+    n_sizes, sum_sizes = np.bincount(own[known], minlength=total), np.bincount(own[known], size[known], minlength=total)
+    merged = np.bincount(row, wide, minlength=total) > 0
+    of_row, row_at = np.zeros(total, int), np.zeros(total, int)
+    of_row[row], row_at[row] = table, at
+    head = (bold >= 0.6) | (labels >= 0.75) & (numbers <= 0.5) | (row_at == 0) & merged
+    for r in np.flatnonzero(~head & (row_at == 0) & (labels >= 0.6)):
+        k = tables.page[chosen[of_row[r]]]
+        page = sizes[starts[k] : starts[k + 1]]
+        page = page[~np.isnan(page)]
+        if len(page):
+            base = median(page.tolist())
+            head[r] = (sum_sizes[r] / n_sizes[r] if n_sizes[r] else base) >= base * 1.04
+    # A row is one if all rows of its table before it are.
+    begin = np.concatenate(([True], of_row[1:] != of_row[:-1]))
+    since = np.maximum.accumulate(np.where(begin, np.arange(total), 0))
+    misses = np.cumsum(~head)
+    return (misses - (misses - ~head)[since] == 0)[row]
 
 
 def page_candidates(pages: DataFrame, tolerance: float = 2.0, gap: float = 14.0, least: float = 24.0, crossing: float = 3.0, heads: bool = False) -> DataFrame:
-    """The columns of ``table_candidates`` in one pass over ``pages`` with arrays ``rules`` and ``blocks`` (block_id, text, x, y, w, h, ...).
+    """The columns of ``table_candidates`` in one pass over ``pages`` as in ``page_grids`` with arrays ``rules`` and ``blocks`` (block_id, text, x, y, w, h, ...).
 
     With ``heads`` cells say whether their row is a header; blocks then have font_size and font_name, and ids of their own on a page.
     """
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last = None
-        for b, k, grids in _each_page(batches, tolerance, gap, least, crossing):
-            if b is not last:
-                last, docs, numbers = b, b.column(0).to_pylist(), b.column(1).to_pylist()
-                at, parts = b.column(3).offsets.to_pylist(), b.column(3).values
-                points = list(zip(*(parts.field(c).to_pylist() for c in ("block_id", "cx", "cy"))))
-                signs = list(zip(*(parts.field(c).to_pylist() for c in ("mark", "size")))) if heads else []
-            number, own = 0, points[at[k] : at[k + 1]]
-            if heads:
-                pairs = signs[at[k] : at[k + 1]]
-                marks = {p[0]: m for p, m in zip(own, pairs) if m[0] is not None}
-                sizes = [s for _, s in pairs if s is not None]
-                base = median(sizes) if sizes else None
-            for _, ys, xs, signals, cells, boxes in grids:
-                if xs[-1] - xs[0] < 64 or ys[-1] - ys[0] < 36:
-                    continue
-                n, ids = _held(ys, xs, cells, own)
-                rows, cols = len(ys) - 1, len(xs) - 1
-                size = rows * cols
-                if n < 2 or sum(map(bool, ids)) / len(cells) < 0.4 and len({i for some in ids for i in some}) < max(8, -(-size * 35 // 100)):
-                    continue
-                number += 1
-                sure = 0.62 + min(0.18, rows * 0.03) + min(0.12, cols * 0.03) + min(0.08, n / size * 0.08) + min(0.06, len(signals) * 0.02)
-                if heads:
-                    first = _head_rows(cells, ids, marks, base)
-                    boxes = [(*x, x[0] in first) for x in boxes]
-                yield docs[k], numbers[k], f"vector-table:{numbers[k]}:{number}", xs[0], ys[0], xs[-1] - xs[0], ys[-1] - ys[0], rows, cols, len(signals), n, _round3(min(sure, 0.97)), [(*x, i) for x, i in zip(boxes, ids)]
-
-    rules = F.transform("rules", lambda r: F.struct(r["orient"].alias("orient"), *[r[c].cast("double").alias(c) for c in ("at", "start", "end")]))
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_pages(batches):
+            yield from _found_tables(b, (tolerance, gap, least, crossing), heads)
+
     text = lambda p: F.coalesce(p["font_name"].rlike("(?i)bold"), F.lit(False)), lambda p: F.coalesce(T.looks_header(p["text"]), F.lit(False)), lambda p: F.coalesce(T.looks_numeric(p["text"]), F.lit(False))
     mark = lambda p: F.when(p["text"].isNotNull(), sum((t(p).cast("int") * 2**k for k, t in enumerate(text)), F.lit(0)))
     signs = lambda p: [mark(p).alias("mark"), p["font_size"].cast("double").alias("size")] if heads else []
     points = F.transform("blocks", lambda p: F.struct(p["block_id"].alias("block_id"), (p["x"] + p["w"] / 2).alias("cx"), (p["y"] + p["h"] / 2).alias("cy"), *signs(p)))
-    own = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), rules.alias("rules"), points.alias("points"))
+    own = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), _rules(pages).alias("rules"), points.alias("points"))
     cells = _CELLS.replace("block_ids:", "header:boolean,block_ids:") if heads else _CELLS
-    return map_rows(own, go, f"doc_id long, page_number int, table_id string, x double, y double, w double, h double, n_rows int, n_columns int, n_signals int, n_blocks long, confidence double, {cells}")
+    return own.mapInArrow(go, f"doc_id long, page_number int, table_id string, x double, y double, w double, h double, n_rows int, n_columns int, n_signals int, n_blocks long, confidence double, {cells}")
