@@ -60,16 +60,15 @@ k AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) <= 2 THEN 1.0::DOUBLE ELSE 0.8
 best AS (SELECT doc_id, page_number, op_seq, min(seq) AS tag_order, arg_min(confidence, seq) AS confidence, any_value(op) AS op FROM k GROUP BY ALL)"""
 
 
-def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _matched(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
     b = _blocks(spark, d)
-    tags, ops = b.withColumn("tag_order", F.col("seq")), _ops(b)
-    return matching.match_operators(ops, tags), ops, tags
+    return matching.match_operators(_ops(b), b.withColumn("tag_order", F.col("seq")), texts=texts)
 
 
 @MATCHES.query("tags_of_operators", f"{_OPS} SELECT doc_id, page_number, op_seq, tag_order, confidence FROM best")
 def tags_of_operators(spark: SparkSession, d: str) -> DataFrame:
     """Operator 51: text operators and the tags in whose boxes they lie."""
-    return _matched(spark, d)[0]
+    return _matched(spark, d)
 
 
 @MATCHES.query("matched_tags", f"""{_OPS}, drawn AS (SELECT b.doc_id, b.page_number, tag_order, count(*) AS n_ops, avg(confidence) AS confidence, length(trim(string_agg(op, '' ORDER BY op_seq))) AS n FROM best b GROUP BY ALL)
@@ -77,4 +76,4 @@ SELECT d.doc_id, d.page_number, tag_order, row_number() OVER (PARTITION BY d.doc
 FROM drawn d JOIN t ON t.doc_id = d.doc_id AND t.page_number = d.page_number AND t.seq = tag_order""")
 def matched_tags(spark: SparkSession, d: str) -> DataFrame:
     """Operator 51: tags with their operators, numbered by page, and how much of their text these draw."""
-    return matching.matched_tags(*_matched(spark, d))
+    return matching.matched_tags(_matched(spark, d, texts=True))
